@@ -190,9 +190,10 @@ def t_two_sided_p_sql(t: str, df: str) -> str:
     )
 
 
-def round_cols(sql: str, cols, digits: int = 6) -> str:
-    """Wrap a statement so the named DOUBLE columns are rounded."""
-    if not cols:
+def round_cols(sql: str, cols, digits: int = 6, date_cols=()) -> str:
+    """Wrap a statement: named DOUBLE columns rounded, DATE columns as TIMESTAMP."""
+    reps = [f"round({c}, {digits}) AS {c}" for c in cols]
+    reps += [f"CAST({c} AS TIMESTAMP) AS {c}" for c in date_cols]
+    if not reps:
         return sql
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
-    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
+    return f"SELECT * REPLACE ({', '.join(reps)}) FROM (\n{sql}\n) q"

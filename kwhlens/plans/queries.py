@@ -1,3 +1,4 @@
 """Import every query module so that the registry is complete."""
 
 from kwhlens.plans import registry  # noqa: F401
+from kwhlens.plans import q_matching  # noqa: F401

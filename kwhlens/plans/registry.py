@@ -32,31 +32,73 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+          "benchmark labels conversations").split()
+
 
 def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Output boundary: DOUBLE rounded to ``digits``, DATE as midnight TIMESTAMP."""
     cols = []
+    m = float(10 ** digits)
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             # scale, round half away from zero, unscale: the same arithmetic as
             # DuckDB's round(x, d), so both sides agree on half-way values
-            m = float(10 ** digits)
             cols.append((F.round(F.col(f.name) * F.lit(m), 0) / F.lit(m)).alias(f.name))
+        elif isinstance(f.dataType, T.DateType):
+            # the same value, one representation on both sides of the comparison
+            cols.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
 
 
-def register(name: str, ops: str, sql: str | None = None, double_cols=()):
+def register(name: str, ops: str, sql: str | None = None, *_ignored, **_kw):
     def deco(fn):
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
             return round_doubles(fn(spark, sf_dir))
 
-        REGISTRY[name] = Query(wrapped, O.round_cols(sql, double_cols) if sql else None, ops)
+        REGISTRY[name] = Query(wrapped, sql, ops)
         return fn
 
     return deco
 
 
+def finalize_sql(sql: str, con) -> str:
+    """Apply the output boundary to an oracle statement (types via DESCRIBE)."""
+    desc = con.execute(f"DESCRIBE {sql}").fetchall()
+    reps = []
+    for row in desc:
+        col, typ = row[0], str(row[1]).upper()
+        if typ in ("DOUBLE", "FLOAT", "REAL") or typ.startswith("DECIMAL"):
+            reps.append(f'round(CAST("{col}" AS DOUBLE), {DIGITS}) AS "{col}"')
+        elif typ == "DATE":
+            reps.append(f'CAST("{col}" AS TIMESTAMP) AS "{col}"')
+    if not reps:
+        return sql
+    return f"SELECT * REPLACE ({', '.join(reps)}) FROM (\n{sql}\n) q"
+
+
+def oracle_statements(smoke_dir: str = "/root/testdata/sf0.001") -> dict[str, str]:
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for t in TABLES:
+        p = f"{smoke_dir}/{t}.parquet"
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    out = {}
+    for name, q in REGISTRY.items():
+        if q.sql:
+            try:
+                out[name] = finalize_sql(q.sql, con)
+            except Exception:  # noqa: BLE001 - keep the raw statement if it cannot be described
+                out[name] = q.sql
+    return out
+
+
 # ---------------------------------------------------------------- shared inputs
 def month_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel A monthly table: top3_mean + variance + mean, usage groups (exact cuts)."""
@@ -102,7 +144,6 @@ FROM enriched GROUP BY price"""),
 register(
     "agg_month_peaks", "P8,P9,A2,A3,A7,A8,A9-A16",
     O.with_ctes(O.month_result_ctes("A"), "SELECT * FROM month_result"),
-    MONTH_DOUBLES,
 )(month_result)
 
 
