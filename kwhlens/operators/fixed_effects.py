@@ -215,7 +215,7 @@ def twfe_wls(
     weight_col: str = "match_weight",
     cluster_col: str = "aID",
     valid: DataFrame | None = None,
-    persist: str = "cache",
+    persist: str = "checkpoint",
 ) -> DataFrame:
     """Residualise on entity/time effects, WLS of y on regressors, cluster-robust se.
 
@@ -230,6 +230,9 @@ def twfe_wls(
     regs = list(regressors)
     K = len(regs)
     data = data.dropna(subset=[outcome_col, entity_col, time_col, weight_col, cluster_col, *regs])
+    data = materialize(
+        data.select(group_key, entity_col, time_col, weight_col, cluster_col, outcome_col, *regs), persist
+    )
     res = residualize_twfe(data, [outcome_col, *regs], entity_col, time_col, weight_col, group_key)
     res = materialize(
         res.select(group_key, entity_col, cluster_col, F.col(weight_col).cast("double").alias("_w"),
@@ -319,14 +322,18 @@ def fit_basic_did(
     weight_col: str = "match_weight",
     cluster_col: str = "aID",
     min_treated: int | None = None,
-    persist: str = "cache",
+    persist: str = "checkpoint",
 ) -> DataFrame:
     """D3 (pooled) / D4 (``group_cols=['cohort_id']``, ``min_treated``): ``Y = α_i + λ_t + βD``.
 
     Output: ``[group cols,] outcome, coef, std_error, p_value, ci_lower,
     ci_upper, [n_treated, n_periods,] n_obs, n_entities``.
     """
-    keyed = _group_key(panel, group_cols)
+    from kwhlens.session import materialize
+
+    cols = list(dict.fromkeys([*group_cols, outcome_col, "D", "treatment", "aID", "month_id", entity_col, time_col,
+                               weight_col, cluster_col]))
+    keyed = materialize(_group_key(panel.select(*cols), group_cols), persist)
     extra: list[str] = []
     data = keyed
     if min_treated is not None:
@@ -373,7 +380,7 @@ def fit_event_study(
     weight_col: str = "match_weight",
     cluster_col: str = "aID",
     min_treated: int | None = None,
-    persist: str = "cache",
+    persist: str = "checkpoint",
 ) -> DataFrame:
     """D6 (pooled) / D7 (``group_cols=['cohort_id']``): event-time coefficients.
 
@@ -383,14 +390,18 @@ def fit_event_study(
     Output: ``[group cols, n_treated,] outcome, event_time, coef, std_error,
     p_value, ci_lower, ci_upper``.
     """
+    from kwhlens.session import materialize
+
     ks = event_terms(event_window, reference)
-    keyed = _group_key(panel, group_cols)
+    cols = list(dict.fromkeys([*group_cols, outcome_col, "event_time", "treatment", "aID", "month_id", "D",
+                               entity_col, time_col, weight_col, cluster_col]))
+    keyed = materialize(_group_key(panel.select(*cols), group_cols), persist)
     data = keyed
     if min_treated is not None:
         cs = _cohort_stats(keyed, group_cols)
         data = keyed.join(F.broadcast(cs.where(F.col("n_treated") >= min_treated).select("_g")), "_g", "left_semi")
     data = make_event_dummies(data, event_window, reference)
-    data = data.dropna(subset=[outcome_col, entity_col, time_col, weight_col, cluster_col])
+    data = materialize(data.dropna(subset=[outcome_col, entity_col, time_col, weight_col, cluster_col]), persist)
     regs = [f"_ev_{i}" for i in range(len(ks))]
     # validity per group: sum > 0 and sample variance > 0
     vaggs = []
@@ -404,7 +415,7 @@ def fit_event_study(
         ])).alias("term"),
     ).where(F.col("term").isNotNull())
     res = twfe_wls(data, outcome_col, regs, "_g", entity_col, time_col, weight_col, cluster_col,
-                   valid=valid, persist=persist)
+                   valid=materialize(valid, persist), persist=persist)
     kmap = F.create_map(*[x for i, k in enumerate(ks) for x in (F.lit(f"_ev_{i}"), F.lit(k))])
     res = res.withColumn("event_time", kmap[F.col("term")])
     extra = []

@@ -21,6 +21,7 @@ from kwhlens.sources import fixtures as fx
 from kwhlens.sources import readers as R
 
 DIGITS = 6
+NUDGE = 1e-9
 
 
 @dataclass
@@ -42,9 +43,12 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     m = float(10 ** digits)
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            # scale, round half away from zero, unscale: the same arithmetic as
-            # DuckDB's round(x, d), so both sides agree on half-way values
-            cols.append((F.round(F.col(f.name) * F.lit(m), 0) / F.lit(m)).alias(f.name))
+            # nudge by 1e-9 away from zero, scale, round, unscale: the same
+            # arithmetic as the oracle's round(x + sign(x)*1e-9, d).  Exact
+            # decimal half-way values (k/2^n) no longer sit on the rounding
+            # boundary, where 1-ulp differences between engines would flip them
+            x = F.col(f.name) + F.signum(F.col(f.name)) * F.lit(NUDGE)
+            cols.append((F.round(x * F.lit(m), 0) / F.lit(m)).alias(f.name))
         elif isinstance(f.dataType, T.DateType):
             # the same value, one representation on both sides of the comparison
             cols.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))
@@ -71,7 +75,8 @@ def finalize_sql(sql: str, con) -> str:
     for row in desc:
         col, typ = row[0], str(row[1]).upper()
         if typ in ("DOUBLE", "FLOAT", "REAL") or typ.startswith("DECIMAL"):
-            reps.append(f'round(CAST("{col}" AS DOUBLE), {DIGITS}) AS "{col}"')
+            x = f'CAST("{col}" AS DOUBLE)'
+            reps.append(f'round({x} + sign({x}) * {NUDGE!r}, {DIGITS}) AS "{col}"')
         elif typ == "DATE":
             reps.append(f'CAST("{col}" AS TIMESTAMP) AS "{col}"')
     if not reps:
