@@ -172,6 +172,7 @@ def normal_two_sided_p_sql(t: str) -> str:
 
 def t_two_sided_p_sql(t: str, df: str) -> str:
     """Student-t two-sided p (A&S 26.7.3/4) with closed-form series terms via lgamma."""
+    df = f"({df})"  # an expression such as ``n - 1`` must bind before ``%`` and ``/``
     th = f"atan(abs({t}) / sqrt({df}))"
     c2 = f"pow(cos({th}), 2)"
     even_terms = (
