@@ -75,7 +75,8 @@ def _order(vals: Sequence[str], desc: bool = False) -> str:
     return ", ".join([m] + [f"{c} ASC NULLS FIRST" for c in sorted(vals)])
 
 
-def summary_profile(vals: Sequence[str], suffixes: Sequence[str], out_vars: Sequence[str]) -> str:
+def summary_profile(vals: Sequence[str], suffixes: Sequence[str], out_vars: Sequence[str], src: str = "risk",
+                    name: str = "prof") -> str:
     win = f"PARTITION BY Ti, id ORDER BY {_order(vals)}"
     sel = [f"CAST(row_number() OVER ({win}) AS DOUBLE) AS x"]
     aggs = ["count(*) AS n_obs"]
@@ -98,13 +99,13 @@ def summary_profile(vals: Sequence[str], suffixes: Sequence[str], out_vars: Sequ
         t = f"_{s}" if s else ""
         trends.append(f"(n_obs*sxy{t} - sx{t}*sy{t}) / NULLIF(n_obs*sx2{t} - sx{t}*sx{t}, 0) AS trend{t}")
     return f"""
-rr AS (SELECT *, {", ".join(sel)} FROM risk),
-prof0 AS (
-  SELECT Ti, id, adoption_month, {Q}, {", ".join(aggs)} FROM rr GROUP BY Ti, id, adoption_month, {Q}
+{name}_rr AS (SELECT *, {", ".join(sel)} FROM {src}),
+{name}0 AS (
+  SELECT Ti, id, adoption_month, {Q}, {", ".join(aggs)} FROM {name}_rr GROUP BY Ti, id, adoption_month, {Q}
   HAVING count(*) >= 2
 ),
-prof1 AS (SELECT *, {", ".join(trends)} FROM prof0),
-prof AS (SELECT Ti, id, adoption_month, {Q}, {", ".join(out_vars)} FROM prof1)"""
+{name}1 AS (SELECT *, {", ".join(trends)} FROM {name}0),
+{name} AS (SELECT Ti, id, adoption_month, {Q}, {", ".join(out_vars)} FROM {name}1)"""
 
 
 def summary_vars_all(suffixes: Sequence[str]) -> list[str]:
@@ -244,3 +245,26 @@ def balance(features: Sequence[str], src: str, pool: bool) -> str:
                 f" AND count(CASE WHEN {Q} = 'control' THEN 1 END) > 0"
             )
     return "\nUNION ALL\n".join(parts)
+
+
+def validation_rows(start: int, end: int, vals: Sequence[str], name: str) -> str:
+    """Base rows of matched units (``mids``) in ``[Ti - start, Ti - end)`` months."""
+    v = ", ".join(f"b.{c}" for c in vals)
+    return f"""
+{name} AS (
+  SELECT m.id, m.Ti, m.{Q}, b.month, b.adoption_month, {v}
+  FROM mids m JOIN base b ON b.id = m.id
+  WHERE b.month < CAST(m.Ti - INTERVAL {int(end)} MONTH AS DATE)
+    AND b.month >= CAST(m.Ti - INTERVAL {int(start)} MONTH AS DATE)
+)"""
+
+
+def tagged_balance(features: Sequence[str], src: str, check: str, start: int, end: int) -> str:
+    """Pooled and per-cohort balance of ``src`` in the long validation layout."""
+    tag = f"'{check}' AS \"check\", {int(start)} AS window_start, {int(end)} AS window_end"
+    return (
+        f"SELECT {tag}, 'overall' AS scope, CAST(NULL AS DATE) AS Ti, covariate, treated_mean, control_mean, SMD"
+        f" FROM ({balance(features, src, True)}) o\nUNION ALL\n"
+        f"SELECT {tag}, 'by_ti' AS scope, Ti, covariate, treated_mean, control_mean, SMD"
+        f" FROM ({balance(features, src, False)}) b"
+    )

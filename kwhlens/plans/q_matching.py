@@ -185,3 +185,49 @@ register("love_data", "B3",
            "SELECT *, abs(SMD) AS abs_SMD, abs(SMD) > 0.1 AS above_threshold FROM bal"),
          ["treated_mean", "control_mean", "SMD", "abs_SMD"])(
     lambda s, d: B.love_data(B.balance_table(N.build_matched_profiles(*_l1(s, d)), SUMMARY_L1, pool=True)))
+
+
+# ------------------------------------------------------------------ V (hold-out balance of the L1 matches)
+V_MATCH = SUMMARY_L1
+V_EXTRA = [v for v in ALL7 if v not in SUMMARY_L1]
+CAL_V = Fp.calendar_feature_names(CAL_MONTHS, 2, [""])
+
+
+def _validation(s, d, **kw):
+    _, m = _l1(s, d)
+    return B.validation_balance(m, base(s, d), SUMMARY_L1, **kw)
+
+
+def _v_sql(part: str) -> str:
+    ctes = (sql_summary_z() + "," + OM.knn_blocked(SUMMARY_L1, 5, 0.3, "peak_mean") + "," + OM.matched_ids_cte()
+            + "," + OM.validation_rows(24, 12, PANEL_D, "vr_sum") + "," + OM.validation_rows(24, 0, PANEL_D, "vr_cal")
+            + "," + OM.summary_profile(PANEL_D, [""], ALL7, src="vr_sum", name="vprof")
+            + "," + OM.calendar_profile(CAL_MONTHS, 2, [""], src="vr_cal", name="vcal"))
+    bodies = {
+        "matching": OM.tagged_balance(V_MATCH, "vprof", "matching", 24, 12),
+        "non_matching": OM.tagged_balance(V_EXTRA, "vprof", "non_matching", 24, 12),
+        "calendar": OM.tagged_balance(CAL_V, "vcal", "calendar", 24, 0),
+    }
+    body = "\nUNION ALL\n".join(bodies.values()) if part == "all" else bodies[part]
+    return q(ctes, body)
+
+
+register("validation_match", "V1,V2", _v_sql("matching"))(
+    lambda s, d: _validation(s, d, check_calendar=False).where(F.col("check") == "matching"))
+register("validation_extra", "V1,V3", _v_sql("non_matching"))(
+    lambda s, d: _validation(s, d, check_calendar=False).where(F.col("check") == "non_matching"))
+register("validation_calendar", "V1,V4", _v_sql("calendar"))(
+    lambda s, d: _validation(s, d).where(F.col("check") == "calendar"))
+register("validation_full", "V5", _v_sql("all"))(lambda s, d: _validation(s, d))
+
+
+def _v_dim_sql() -> str:
+    valid = " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in CAL_V)
+    ctes = (sql_summary_z() + "," + OM.knn_blocked(SUMMARY_L1, 5, 0.3, "peak_mean") + "," + OM.matched_ids_cte()
+            + "," + OM.validation_rows(24, 0, PANEL_D, "vr_cal")
+            + "," + OM.calendar_profile(CAL_MONTHS, 2, [""], src="vr_cal", name="vcal"))
+    return q(ctes, f"SELECT CAST({valid} AS INTEGER) AS valid_dim, count(*) AS count FROM vcal GROUP BY 1")
+
+
+register("validation_valid_dim", "V4", _v_dim_sql())(
+    lambda s, d: B.calendar_valid_dim_distribution(_l1(s, d)[1], base(s, d)))
