@@ -16,12 +16,13 @@ import os
 import re
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from kwhlens import get_session  # noqa: E402
+from kwhlens.session import checkpoint_dir  # noqa: E402
 from kwhlens.operators import aggregate as A  # noqa: E402
 from kwhlens.operators import effects as E  # noqa: E402
 from kwhlens.operators import fixed_effects as D  # noqa: E402
@@ -46,7 +47,8 @@ def main():
     sf = float(m.group(1)) if m else None
 
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
-    scratch = tempfile.mkdtemp(prefix="kwhlens-bench-")
+    # stage outputs go to the shared folder the session names for checkpoints
+    scratch = f"{checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
     month_path = f"{scratch}/month_data"
 
     def month_result():

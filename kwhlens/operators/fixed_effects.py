@@ -163,25 +163,34 @@ def residualize_twfe(
     # time effects: one row per (group, month) — bounded by the calendar
     bt = b.withColumnRenamed("_g", group_key).withColumnRenamed("_t", "__t")
     out = work.withColumn("__t", F.col(time_col).cast("string")).join(F.broadcast(bt), [group_key, "__t"], "inner")
-    we = Window.partitionBy(group_key, entity_col)
-    w = F.col(weight_col).cast("double")
-    for j, c in enumerate(cols):
-        d = F.col(c).cast("double") - F.col(f"_b{j}")
-        out = out.withColumn(f"{c}__d", d)
-        out = out.withColumn(
-            f"{c}__r", F.col(f"{c}__d") - F.sum(w * F.col(f"{c}__d")).over(we) / F.sum(w).over(we)
-        )
+    # wide expression lists are written as SQL strings: one call per projection
+    win = f"OVER (PARTITION BY `{group_key}`, `{entity_col}`)"
+    w = f"CAST(`{weight_col}` AS DOUBLE)"
+    out = out.selectExpr("*", *[f"CAST(`{c}` AS DOUBLE) - `_b{j}` AS `{c}__d`" for j, c in enumerate(cols)])
+    out = out.selectExpr(
+        "*", *[f"`{c}__d` - sum({w} * `{c}__d`) {win} / sum({w}) {win} AS `{c}__r`" for c in cols]
+    )
     return out.drop("__t", *[f"_b{j}" for j in range(p)], *[f"{c}__d" for c in cols])
 
 
 # --------------------------------------------------------------------------- WLS
+def _upper_pairs(K: int) -> list[tuple[int, int]]:
+    """(k, m) with m >= k in row-major order (numpy ``triu_indices`` order)."""
+    return [(k, m) for k in range(K) for m in range(k, K)]
+
+
+def _sym(v, K: int) -> np.ndarray:
+    """K×K symmetric matrix from its row-major upper triangle."""
+    A = np.zeros((K, K))
+    A[np.triu_indices(K)] = np.asarray(v, dtype=float)
+    return A + A.T - np.diag(np.diag(A))
+
+
 def _gram_solve_fn(K: int):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, r in pdf.iterrows():
-            G = np.array(r["gram"], dtype=float).reshape(K, K)
-            c = np.array(r["xty"], dtype=float)
-            beta = np.linalg.pinv(G, rcond=PINV_RCOND) @ c
+            beta = np.linalg.pinv(_sym(r["gram"], K), rcond=PINV_RCOND) @ np.asarray(r["xty"], dtype=float)
             rows.append({"_g": r["_g"], "beta": beta.tolist()})
         return pd.DataFrame(rows, columns=["_g", "beta"])
 
@@ -192,12 +201,10 @@ def _cov_fn(K: int):
     def cov(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, r in pdf.iterrows():
-            G = np.array(r["gram"], dtype=float).reshape(K, K)
-            meat = np.array(r["meat"], dtype=float).reshape(K, K)
             n, g, k = float(r["n_obs"]), float(r["n_clusters"]), float(r["k_params"])
-            Gi = np.linalg.pinv(G, rcond=PINV_RCOND)
+            Gi = np.linalg.pinv(_sym(r["gram"], K), rcond=PINV_RCOND)
             corr = (g / (g - 1.0)) * ((n - 1.0) / (n - k)) if g > 1 and n > k else float("nan")
-            V = corr * (Gi @ meat @ Gi)
+            V = corr * (Gi @ _sym(r["meat"], K) @ Gi)
             se = np.sqrt(np.clip(np.diag(V), 0, None))
             rows.append({"_g": r["_g"], "se": se.tolist()})
         return pd.DataFrame(rows, columns=["_g", "se"])
@@ -215,10 +222,15 @@ def twfe_wls(
     weight_col: str = "match_weight",
     cluster_col: str = "aID",
     valid: DataFrame | None = None,
-    persist: str = "checkpoint",
+    persist: str = "table",
+    input_persist: str = "table",
 ) -> DataFrame:
     """Residualise on entity/time effects, WLS of y on regressors, cluster-robust se.
 
+    ``input_persist`` cuts the lineage of the input (read twice: partial sums
+    and the join back); callers whose input is already a cheap projection of
+    a materialised table pass ``'none'``.
+
     ``valid`` (optional): rows ``(group_key, term)`` listing the regressors to
     report per group; others are still in the model (all-zero columns do not
     change the estimates) but are dropped from the output and from K.
@@ -229,20 +241,20 @@ def twfe_wls(
 
     regs = list(regressors)
     K = len(regs)
+    pairs = _upper_pairs(K)
     data = data.dropna(subset=[outcome_col, entity_col, time_col, weight_col, cluster_col, *regs])
     data = materialize(
-        data.select(group_key, entity_col, time_col, weight_col, cluster_col, outcome_col, *regs), persist
+        data.select(group_key, entity_col, time_col, weight_col, cluster_col, outcome_col, *regs), input_persist
     )
     res = residualize_twfe(data, [outcome_col, *regs], entity_col, time_col, weight_col, group_key)
     res = materialize(
-        res.select(group_key, entity_col, cluster_col, F.col(weight_col).cast("double").alias("_w"),
-                   F.col(f"{outcome_col}__r").alias("_y"),
-                   *[F.col(f"{c}__r").alias(f"_r{k}") for k, c in enumerate(regs)]),
+        res.selectExpr(group_key, entity_col, cluster_col, f"CAST(`{weight_col}` AS DOUBLE) AS _w",
+                       f"`{outcome_col}__r` AS _y", *[f"`{c}__r` AS _r{k}" for k, c in enumerate(regs)]),
         persist,
     )
-    w = F.col("_w")
-    gram = F.array(*[F.sum(w * F.col(f"_r{k}") * F.col(f"_r{m}")) for k in range(K) for m in range(K)])
-    xty = F.array(*[F.sum(w * F.col(f"_r{k}") * F.col("_y")) for k in range(K)])
+    # Gram (upper triangle, symmetric) and X'Wy as single SQL array expressions
+    gram = F.expr("array(" + ", ".join(f"sum(_w * _r{k} * _r{m})" for k, m in pairs) + ")")
+    xty = F.expr("array(" + ", ".join(f"sum(_w * _r{k} * _y)" for k in range(K)) + ")")
     stats = res.groupBy(group_key).agg(
         gram.alias("gram"), xty.alias("xty"),
         F.count(F.lit(1)).alias("n_obs"), F.count_distinct(entity_col).alias("n_entities"),
@@ -253,13 +265,14 @@ def twfe_wls(
         .withColumnRenamed("_g", group_key)
     )
     # one row per group: broadcast
-    fitted = sum((F.col("beta")[k] * F.col(f"_r{k}") for k in range(K)), F.lit(0.0))
-    e = res.join(F.broadcast(beta), group_key).withColumn("_e", F.col("_y") - fitted)
+    fitted = " + ".join(f"beta[{k}] * _r{k}" for k in range(K))
+    e = res.join(F.broadcast(beta), group_key).withColumn("_e", F.expr(f"_y - ({fitted})"))
+    # cluster scores s_g = Σ w·x̃·e (one row per cluster), meat = Σ_g s_g s_gᵀ
     scores = e.groupBy(group_key, cluster_col).agg(
-        *[F.sum(w * F.col(f"_r{k}") * F.col("_e")).alias(f"_s{k}") for k in range(K)]
+        F.expr("array(" + ", ".join(f"sum(_w * _r{k} * _e)" for k in range(K)) + ")").alias("_s")
     )
     meat = scores.groupBy(group_key).agg(
-        F.array(*[F.sum(F.col(f"_s{k}") * F.col(f"_s{m}")) for k in range(K) for m in range(K)]).alias("meat"),
+        F.expr("array(" + ", ".join(f"sum(_s[{k}] * _s[{m}])" for k, m in pairs) + ")").alias("meat"),
         F.count(F.lit(1)).alias("n_clusters"),
     )
     if valid is not None:
@@ -322,7 +335,7 @@ def fit_basic_did(
     weight_col: str = "match_weight",
     cluster_col: str = "aID",
     min_treated: int | None = None,
-    persist: str = "checkpoint",
+    persist: str = "table",
 ) -> DataFrame:
     """D3 (pooled) / D4 (``group_cols=['cohort_id']``, ``min_treated``): ``Y = α_i + λ_t + βD``.
 
@@ -341,7 +354,8 @@ def fit_basic_did(
         keep = cs.where(F.col("n_treated") >= min_treated)
         data = keyed.join(F.broadcast(keep.select("_g")), "_g", "left_semi")
         extra = ["n_treated", "n_periods"]
-    res = twfe_wls(data, outcome_col, ["D"], "_g", entity_col, time_col, weight_col, cluster_col, persist=persist)
+    res = twfe_wls(data, outcome_col, ["D"], "_g", entity_col, time_col, weight_col, cluster_col, persist=persist,
+                   input_persist="none")
     if extra:
         res = res.join(F.broadcast(cs), "_g")
     res = _attach_groups(res, keyed, group_cols)
@@ -363,10 +377,10 @@ def make_event_dummies(panel: DataFrame, event_window=(-12, 12), reference: int
     """Keep rows inside the window; ``event_k = 1(event_time = k ∧ treated)``."""
     lo, hi = event_window
     df = panel.where(F.col(event_col).between(lo, hi))
-    tr = F.col(treatment_col) == 1
-    return df.withColumns(
-        {f"_ev_{i}": ((F.col(event_col) == k) & tr).cast("int") for i, k in enumerate(event_terms(event_window, reference))}
-    )
+    return df.selectExpr("*", *[
+        f"CAST(`{event_col}` = {k} AND `{treatment_col}` = 1 AS INT) AS _ev_{i}"
+        for i, k in enumerate(event_terms(event_window, reference))
+    ])
 
 
 def fit_event_study(
@@ -380,7 +394,7 @@ def fit_event_study(
     weight_col: str = "match_weight",
     cluster_col: str = "aID",
     min_treated: int | None = None,
-    persist: str = "checkpoint",
+    persist: str = "table",
 ) -> DataFrame:
     """D6 (pooled) / D7 (``group_cols=['cohort_id']``): event-time coefficients.
 
@@ -401,21 +415,18 @@ def fit_event_study(
         cs = _cohort_stats(keyed, group_cols)
         data = keyed.join(F.broadcast(cs.where(F.col("n_treated") >= min_treated).select("_g")), "_g", "left_semi")
     data = make_event_dummies(data, event_window, reference)
-    data = materialize(data.dropna(subset=[outcome_col, entity_col, time_col, weight_col, cluster_col]), persist)
+    data = data.dropna(subset=[outcome_col, entity_col, time_col, weight_col, cluster_col])
     regs = [f"_ev_{i}" for i in range(len(ks))]
-    # validity per group: sum > 0 and sample variance > 0
-    vaggs = []
-    for r in regs:
-        vaggs += [F.sum(r).alias(f"{r}__s"), F.var_samp(r).alias(f"{r}__v")]
-    vstat = data.groupBy("_g").agg(*vaggs)
-    valid = vstat.select(
-        "_g",
-        F.explode(F.array(*[
-            F.when((F.col(f"{r}__s") > 0) & (F.col(f"{r}__v") > 0), F.lit(r)) for r in regs
-        ])).alias("term"),
-    ).where(F.col("term").isNotNull())
+    # validity per group: sum > 0 and sample variance > 0 (≤ groups × K rows)
+    flags = ", ".join(f"IF(sum({r}) > 0 AND var_samp({r}) > 0, '{r}', NULL)" for r in regs)
+    valid = (
+        data.groupBy("_g").agg(F.expr(f"filter(array({flags}), x -> x IS NOT NULL)").alias("_terms"))
+        .select("_g", F.explode("_terms").alias("term"))
+    )
+    # the K dummy columns are materialised before residualising: it keeps the
+    # optimiser from propagating null constraints through K aliased columns
     res = twfe_wls(data, outcome_col, regs, "_g", entity_col, time_col, weight_col, cluster_col,
-                   valid=materialize(valid, persist), persist=persist)
+                   valid=valid, persist=persist, input_persist=persist)
     kmap = F.create_map(*[x for i, k in enumerate(ks) for x in (F.lit(f"_ev_{i}"), F.lit(k))])
     res = res.withColumn("event_time", kmap[F.col("term")])
     extra = []
