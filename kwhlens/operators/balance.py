@@ -26,39 +26,44 @@ def smd(mean_t, mean_c, var_t, var_c) -> Column:
     return safe_div(mean_t - mean_c, F.sqrt((var_t + var_c) / 2.0))
 
 
+def _smd_sql(tm: str, cm: str, tv: str, cv: str) -> str:
+    """B4 as SQL text (same arithmetic as :func:`smd`)."""
+    den = f"sqrt(({tv} + {cv}) / 2.0)"
+    return f"try_divide({tm} - {cm}, CASE WHEN {den} != 0 THEN {den} END)"
+
+
 def balance_table(profiles: DataFrame, feature_cols: Sequence[str], pool: bool = True) -> DataFrame:
     """B1 (by cohort, ``pool=False``) / B2 (pooled): one row per covariate.
 
     One aggregate with conditional means / variances per group replaces the
-    reference's two aggregates + join; ``stack`` unpivots.  By cohort only
-    cohorts with both groups are reported (the reference's inner join).
+    reference's two aggregates + join; ``inline`` unpivots.  By cohort only
+    cohorts with both groups are reported (the reference's inner join).  The
+    per-feature expressions are SQL text, so the plan is built with a handful
+    of calls however many covariates there are.
     """
-    tr = F.col("group") == "treated"
-    co = F.col("group") == "control"
-    aggs = [F.count(F.when(tr, 1)).alias("_nt"), F.count(F.when(co, 1)).alias("_nc")]
+    tr, co = "`group` = 'treated'", "`group` = 'control'"
+    aggs = [f"count(CASE WHEN {tr} THEN 1 END) AS _nt", f"count(CASE WHEN {co} THEN 1 END) AS _nc"]
+    rows = []
     for i, c in enumerate(feature_cols):
         aggs += [
-            F.avg(F.when(tr, F.col(c))).alias(f"_tm{i}"),
-            F.avg(F.when(co, F.col(c))).alias(f"_cm{i}"),
-            F.var_samp(F.when(tr, F.col(c))).alias(f"_tv{i}"),
-            F.var_samp(F.when(co, F.col(c))).alias(f"_cv{i}"),
+            f"avg(CASE WHEN {tr} THEN `{c}` END) AS _tm{i}",
+            f"avg(CASE WHEN {co} THEN `{c}` END) AS _cm{i}",
+            f"var_samp(CASE WHEN {tr} THEN `{c}` END) AS _tv{i}",
+            f"var_samp(CASE WHEN {co} THEN `{c}` END) AS _cv{i}",
         ]
+        lit = c.replace("'", "\\'")
+        rows.append(
+            f"named_struct('covariate', '{lit}', 'treated_mean', CAST(_tm{i} AS DOUBLE),"
+            f" 'control_mean', CAST(_cm{i} AS DOUBLE), 'SMD', {_smd_sql(f'_tm{i}', f'_cm{i}', f'_tv{i}', f'_cv{i}')})"
+        )
+    agg_cols = [F.expr(a) for a in aggs]
     if pool:
-        wide = profiles.agg(*aggs)
+        wide = profiles.agg(*agg_cols)
         keys: list[str] = []
     else:
-        wide = profiles.groupBy("Ti").agg(*aggs).where((F.col("_nt") > 0) & (F.col("_nc") > 0))
+        wide = profiles.groupBy("Ti").agg(*agg_cols).where("_nt > 0 AND _nc > 0")
         keys = ["Ti"]
-    rows = F.explode(F.array(*[
-        F.struct(
-            F.lit(c).alias("covariate"),
-            F.col(f"_tm{i}").cast("double").alias("treated_mean"),
-            F.col(f"_cm{i}").cast("double").alias("control_mean"),
-            smd(F.col(f"_tm{i}"), F.col(f"_cm{i}"), F.col(f"_tv{i}"), F.col(f"_cv{i}")).alias("SMD"),
-        )
-        for i, c in enumerate(feature_cols)
-    ])).alias("_r")
-    return wide.select(*keys, rows).select(*keys, "_r.*")
+    return wide.selectExpr(*keys, f"inline(array({', '.join(rows)}))")
 
 
 def love_data(balance: DataFrame, threshold: float = SMD_THRESHOLD) -> DataFrame:
