@@ -47,7 +47,7 @@ def _salt(t: DataFrame, c: DataFrame, n_salt: int):
 
 
 def _prefix(df: DataFrame, p: str, keys: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(x).alias(x if x in keys else f"{p}{x}") for x in df.columns])
+    return df.selectExpr(*[f"`{x}`" if x in keys else f"`{x}` AS `{p}{x}`" for x in df.columns])
 
 
 def _bucket(f: Column, w: float) -> tuple[Column, Column]:
@@ -132,13 +132,11 @@ def default_min_valid_dim(dim: int, share: float = 0.3) -> int:
 
 
 def _missing_aware(cand: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
-    sq, cnt = F.lit(0.0), F.lit(0)
-    for c in feature_cols:
-        a, b = F.col(f"t_{c}_z"), F.col(f"c_{c}_z")
-        both = a.isNotNull() & b.isNotNull()
-        sq = sq + F.when(both, F.pow(a - b, 2)).otherwise(F.lit(0.0))
-        cnt = cnt + F.when(both, 1).otherwise(0)
-    return cand.withColumn("valid_dim", cnt).withColumn("_sq", sq)
+    both = [f"`t_{c}_z` IS NOT NULL AND `c_{c}_z` IS NOT NULL" for c in feature_cols]
+    sq = " + ".join(f"CASE WHEN {b} THEN pow(`t_{c}_z` - `c_{c}_z`, 2) ELSE 0.0 END"
+                    for b, c in zip(both, feature_cols))
+    cnt = " + ".join(f"CASE WHEN {b} THEN 1 ELSE 0 END" for b in both)
+    return cand.selectExpr("*", f"{cnt} AS valid_dim", f"{sq} AS _sq")
 
 
 def match_topk_allow_missing(
