@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analyses this engine reproduces are batch jobs over meter-reading tables
+(no incremental input, watermark, late data or per-key state), so there is no
+streaming operator to build.  Every operator in ``kwhlens.operators`` is a
+stateless DataFrame → DataFrame function; the monthly aggregation could be fed
+from ``readStream`` unchanged, but no query here needs it.
+"""
