@@ -123,6 +123,7 @@ def validation_balance(
     check_calendar: bool = True,
     calendar_months: Sequence[int] = (1, 2, 3, 11, 12),
     calendar_years: int = 2,
+    persist: str = "none",
 ) -> DataFrame:
     """V2–V5: balance of matched units on windows outside the matching window.
 
@@ -130,9 +131,14 @@ def validation_balance(
     ``scope`` ∈ {overall, by_ti}, ``Ti`` (NULL when pooled), covariate,
     treated/control means and SMD.  Matching variables not produced by the
     summary profile (lag or calendar features) are skipped, as in the
-    reference.
+    reference.  The matched ids (one row per matched unit and cohort) are
+    read by every check; inside one action Spark reuses their identical
+    exchanges, so ``persist`` (lineage cut) only pays off when the result
+    feeds several actions.
     """
-    ids = matched_ids(matches)
+    from kwhlens.session import materialize
+
+    ids = materialize(matched_ids(matches), persist)
     all_vars = all_summary_vars(base.columns)
     parts: list[DataFrame] = []
     mv = [v for v in match_vars if v in all_vars]

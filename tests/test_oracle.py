@@ -14,7 +14,7 @@ import __spark_entry__ as entry_mod  # noqa: E402
 FAST = ["input_profile", "readings_enriched_counts", "agg_month_peaks", "agg_hour_mean", "agg_median_quantile",
         "usage_groups", "risk_set_never", "profile_summary", "profile_calendar_multi", "knn_blocked", "knn_missing",
         "balance_by_cohort", "effect_group", "pretrend", "att_cohort", "pair_effect_hist", "panel_weighted",
-        "segment_heatmap_mean", "plan_cumulative", "peak_box"]
+        "segment_heatmap_mean", "plan_cumulative", "peak_box", "validation_full", "pretrend_pairs"]
 
 
 def _norm(v):
