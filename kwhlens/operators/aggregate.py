@@ -173,14 +173,16 @@ def aggregate_readings(
     result = None
     if day_methods:
         daily = day_partials(x, need_peaks).repartition("aID")
-        w_all = Window.partitionBy(*GROUP_KEYS)
+        # one partitioning and one ordering for both window columns: Spark
+        # evaluates them in a single Window operator over one sort
+        w_rank = Window.partitionBy(*GROUP_KEYS).orderBy(F.col("_pk").asc()) if need_peaks else None
+        w_all = (w_rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) if need_peaks
+                 else Window.partitionBy(*GROUP_KEYS))
         lvl = daily
         if "variance" in methods:
             lvl = lvl.withColumn("_gmean", F.sum("_s").over(w_all) / F.sum("_n").over(w_all))
         if need_peaks:
-            lvl = lvl.withColumn(
-                "_rank", F.row_number().over(Window.partitionBy(*GROUP_KEYS).orderBy(F.col("_pk").asc()))
-            )
+            lvl = lvl.withColumn("_rank", F.row_number().over(w_rank))
         n = F.sum("_n")
         aggs: dict[str, Column] = {}
         for m in day_methods:
