@@ -1,8 +1,9 @@
 """Session helpers: a local session for tests/bench and lineage cutting.
 
 On a cluster the session comes from the platform; the library never changes
-its settings.  ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the
-session and only falls back to a scratch folder when it is unset (tests).
+its settings.  ``checkpoint_dir`` reads ``spark.checkpoint.dir`` (or the folder
+the caller gave to ``setCheckpointDir``) and makes a scratch folder only for a
+``local`` master without either; elsewhere it raises.
 """
 
 from __future__ import annotations
@@ -40,22 +41,64 @@ def get_session(
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
+#: Scratch folders made for local sessions, by application id.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and intermediate tables.
+
+    ``spark.checkpoint.dir`` comes first, then the folder that the caller gave
+    to ``SparkContext.setCheckpointDir``; neither is changed.  A ``local``
+    session without both (tests) gets a scratch folder of its own; any other
+    session without both raises ``ValueError``, because executors do not see
+    the driver's local disk.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(named)
+        return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = sc.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="kwhlens-ckpt-")
+    sc.setCheckpointDir(_LOCAL_FOLDERS[app])
+    return _LOCAL_FOLDERS[app]
+
+
+class Scratch:
+    """Intermediate Parquet tables of one computation in the shared folder.
 
-    Only when the session names none (local tests) a fresh scratch folder is
-    created and registered.
+    ``table`` writes and rereads a frame (a lineage cut that survives lost
+    executors); ``drop`` removes one table; leaving the ``with`` block removes
+    all of them.  Use the block only around work that is finished inside it.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="kwhlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+
+    def __init__(self, spark: SparkSession, label: str = "kwhlens"):
+        self.spark = spark
+        self.path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str = "") -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.drop()
 
 
 def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
@@ -70,11 +113,7 @@ def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
     if how == "table":
-        # a Parquet table in the same shared folder: columnar, compressed,
-        # and read back with column pruning (unlike row-serialised checkpoints)
-        path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/kwhlens-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
+        return Scratch(df.sparkSession).table(df, "t")
     if how == "cache":
         return df.cache()
     if how == "none":
