@@ -65,4 +65,60 @@ reach AS (SELECT DISTINCT u AS doc_id, u AS other FROM edge
 comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)""",
+    # sha1 in hex, five digits at a time as four base32 letters
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string([
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT)
+               >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1) FOR i IN range(32)], '') AS payload_digest
+      FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN f USING (payload_digest)""",
+    "op6_fingerprint": rf"""
+WITH o AS (SELECT doc_id, coalesce(text, '') AS text,
+             coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC),
+                      first(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS following
+           FROM documents),
+e AS (SELECT doc_id, length(text) AS n_chars, text, following,
+        substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM o),
+t AS (SELECT doc_id, 'own' AS kind, text FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e
+      UNION ALL SELECT doc_id, 'next', following FROM e),
+w AS (SELECT doc_id, kind, {_words('text', r'\x20\x09-\x0D')} AS w FROM t),
+h AS (SELECT doc_id, kind, [substr(md5(array_to_string(w[i:i+4], ' ')), 1, 12)
+        FOR i IN range(1, greatest(len(w) - 3, least(len(w), 1) + 1))] AS h FROM w),
+s AS (SELECT doc_id, kind, CASE WHEN len(h) = 0 THEN [] WHEN list_min(h) < '200000000000'
+        THEN list_sort(list_distinct([x FOR x IN h IF x < '200000000000'])) ELSE [list_min(h)] END AS s FROM h),
+k AS (SELECT a.doc_id, a.s AS own, b.s AS edited, c.s AS nxt FROM s a JOIN s b USING (doc_id) JOIN s c USING (doc_id)
+      WHERE a.kind = 'own' AND b.kind = 'edited' AND c.kind = 'next')
+SELECT doc_id, n_chars, sha256(e.edited) AS edited_sha256, array_to_string(own, '') AS fingerprint,
+  array_to_string(k.edited, '') AS edited_fingerprint,
+  CASE WHEN len(own) + len(k.edited) = 0 THEN 1.0 ELSE CAST(len(list_intersect(own, k.edited)) AS DOUBLE)
+    / (len(own) + len(k.edited) - len(list_intersect(own, k.edited))) END AS near_edited,
+  CASE WHEN len(own) + len(nxt) = 0 THEN 1.0 ELSE CAST(len(list_intersect(own, nxt)) AS DOUBLE)
+    / (len(own) + len(nxt) - len(list_intersect(own, nxt))) END AS near_next
+FROM e JOIN k USING (doc_id)""",
+    "op2_lm_score": f"""
+WITH w AS (SELECT doc_id, {_words('text', _PUNCT)} AS w FROM documents WHERE text IS NOT NULL),
+tok AS (SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 THEN w[i-1] END AS v FROM w, unnest(range(1, len(w) + 1)) t(i)),
+tgt AS (SELECT DISTINCT doc_id, 1 AS t FROM labels WHERE quality = 1),
+marked AS (SELECT tok.*, coalesce(t, 0) AS t FROM tok LEFT JOIN tgt USING (doc_id)),
+total AS (SELECT count(*) AS n, sum(t) AS nt FROM marked),
+voc AS (SELECT w, count(*) AS c, sum(t) AS t FROM marked GROUP BY w
+        HAVING count(*) >= CAST(0.000001 AS DOUBLE) * (SELECT n FROM total)),
+size AS (SELECT count(*) AS size FROM voc),
+ids AS (SELECT doc_id, i, coalesce(a.w, '<unk>') AS w,
+          CASE WHEN m.i = 1 THEN '<s>' ELSE coalesce(b.w, '<unk>') END AS v, m.t
+        FROM marked m LEFT JOIN voc a ON a.w = m.w LEFT JOIN voc b ON b.w = m.v),
+uni AS (SELECT w, CAST(count(*) AS DOUBLE) AS c, CAST(sum(t) AS DOUBLE) AS t FROM ids GROUP BY w),
+ctx AS (SELECT v, CAST(count(*) AS DOUBLE) AS c, CAST(sum(t) AS DOUBLE) AS t FROM ids GROUP BY v),
+big AS (SELECT v, w, CAST(count(*) AS DOUBLE) AS c, CAST(sum(t) AS DOUBLE) AS t FROM ids GROUP BY v, w),
+low AS (SELECT w, (c + 1) / (n + size + 1) AS b, (t + 1) / (nt + size + 1) AS t FROM uni, total, size),
+loss AS (SELECT v, w, ln(CASE WHEN ctx.c > 0 THEN 0.7::DOUBLE * big.c / ctx.c + 0.3::DOUBLE * low.b ELSE low.b END)
+                    - ln(CASE WHEN ctx.t > 0 THEN 0.7::DOUBLE * big.t / ctx.t + 0.3::DOUBLE * low.t ELSE low.t END) AS loss
+         FROM big JOIN ctx USING (v) JOIN low USING (w)),
+score AS (SELECT doc_id, sum(loss) / count(*) AS score FROM ids JOIN loss USING (v, w) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(w.w), 0) AS BIGINT) AS n_words, round(score, 9) AS score
+FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN score USING (doc_id)""",
 }
