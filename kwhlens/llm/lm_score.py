@@ -147,7 +147,7 @@ def _document_map(shared):
                 row = np.repeat(np.arange(j - i), n)
                 at = np.minimum(np.searchsorted(common, key), max(0, len(common) - 1))
                 hit = common[at] == key if len(common) else np.zeros(len(key), bool)
-                known = np.bincount(row[hit], weights=losses[at[hit]], minlength=j - i)
+                known = np.bincount(row[hit], weights=losses[at[hit]], minlength=j - i).astype(np.float64)
                 r, k = row[~hit], key[~hit]
                 order = np.lexsort((k, r))
                 r, k = r[order], k[order]

@@ -16,6 +16,7 @@ bounded table of the Python worker; texts are put together from it by NumPy.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,11 @@ CHUNK_BYTES = 8 << 20
 _MARKS = ".,;:!?"
 
 
+def _all_letters(word: str) -> bool:
+    """True if the tokenizer sees letters only: also composed and in small letters, some of which end in a mark."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordEncoder:
     """Token ids of texts by way of their distinct words."""
 
@@ -75,8 +81,8 @@ class WordEncoder:
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
         core = [w[:-1] if w[-1] in self.mark else w for w in words]
-        plain = [i for i, c in enumerate(core) if c.isalpha()]
-        rest = [i for i, c in enumerate(core) if not c.isalpha()]
+        plain = [i for i, c in enumerate(core) if _all_letters(c)]
+        rest = [i for i, c in enumerate(core) if not _all_letters(c)]
         out: list = [None] * len(words)
         stems = list(dict.fromkeys(core[i] for i in plain))
         ids = dict(zip(stems, self._letters(stems)))
