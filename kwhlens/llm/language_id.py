@@ -203,5 +203,7 @@ def predict(docs: DataFrame, filters: MaskFilters, text_col: str = "text") -> Da
 
 def keep_known(docs: DataFrame, filters: MaskFilters, text_col: str = "text", least: float = 0.3) -> DataFrame:
     """Rows of ``docs`` in a language the filters know: not ``und``, and with a score of at least ``least``."""
-    known = predict(docs, filters, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return known.select(*docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever docs names its columns
+    found = predict(plain, filters, f"c{docs.columns.index(text_col)}")
+    known = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return known.select(*plain.columns).toDF(*docs.columns)

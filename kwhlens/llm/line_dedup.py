@@ -55,12 +55,13 @@ def drop_site_lines(docs: DataFrame, text_col: str = "text", host_col: str = "so
     lists = bad.groupBy("host").agg(F.collect_set("line_hash").alias("_bad")).withColumnRenamed("host", "_host")
     if bad.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
-    text, lines = F.col(text_col), F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _key(x)))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return (docs.select(*own).join(lists, F.col(host_col) == F.col("_host"), "left")
-            .withColumn("_kept", F.when(F.col("_bad").isNull(), lines).otherwise(kept))
-            .select(*[F.when(F.col("_bad").isNull(), text).otherwise(F.array_join("_kept", "\n")).alias(text_col)
-                      if c == text_col else F.col(c) for c in own],
-                    F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-                    F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long").alias("n_dropped")))
+    pages = docs.select(F.struct(*own).alias("page"), F.col(host_col).alias("host"),
+                        F.split(text_col, "\n").alias("lines")).join(lists, F.col("host") == F.col("_host"), "left")
+    kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _key(x)))
+    clean = pages.select("page", "lines", F.when(F.col("_bad").isNotNull(), kept).alias("kept"))
+    return clean.select(
+        *[F.when(F.col("kept").isNull(), F.col("page")[c]).otherwise(F.array_join("kept", "\n")).alias(c)
+          if c == text_col else F.col("page")[c].alias(c) for c in own],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
