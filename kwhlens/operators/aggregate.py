@@ -29,6 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kwhlens.functions.quantiles import exact_quantiles
 from kwhlens.operators.readings import (
     add_period,
     attach_tariff,
@@ -74,21 +75,19 @@ def household_totals(readings: DataFrame) -> DataFrame:
 def usage_groups(
     totals: DataFrame,
     quantiles: Sequence[float] = (0.25, 0.75),
-    mode: str = "approx",
+    mode: str = "exact",
     relative_error: float = 0.01,
 ) -> DataFrame:
     """Cut household totals at two quantiles → low / medium / high.
 
-    The cut points are a one-row aggregate (approximate GK sketch with the
-    given relative error, or exact ``percentile_disc``) joined back with a
-    broadcast of that single row — no driver round trip.
+    The cut points are a one-row table joined back with a broadcast of that
+    row: exact by counted bins (no task orders all households), or
+    ``mode="approx"`` by a sketch of the given relative error.
     """
     q1, q2 = float(quantiles[0]), float(quantiles[1])
     if mode == "exact":
-        cuts = totals.agg(
-            F.expr(f"percentile_disc({q1!r}) WITHIN GROUP (ORDER BY total_consumption)").alias("_q1"),
-            F.expr(f"percentile_disc({q2!r}) WITHIN GROUP (ORDER BY total_consumption)").alias("_q2"),
-        )
+        cuts = exact_quantiles(totals, [], "total_consumption", [q1, q2]).select(
+            F.col("q0").alias("_q1"), F.col("q1").alias("_q2"))
     else:
         acc = max(1, int(round(1.0 / relative_error)))
         qs = F.percentile_approx("total_consumption", [q1, q2], acc)
@@ -146,9 +145,9 @@ def aggregate_readings(
     use_price: bool = True,
     add_user_group_col: Sequence[float] | None = None,
     holidays=DEFAULT_HOLIDAYS,
-    quantile_mode: str = "approx",
+    quantile_mode: str = "exact",
     quantile_accuracy: int = 10000,
-    usage_quantile_mode: str = "approx",
+    usage_quantile_mode: str = "exact",
     usage_relative_error: float = 0.01,
 ) -> DataFrame:
     """The whole aggregation run as one lazy plan.

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kwhlens.functions.dates import month_label, month_start, months_between_periods
+from kwhlens.functions.quantiles import exact_quantiles
 from kwhlens.operators.effects import histogram
 from kwhlens.operators.readings import PLAN_GROUP_PATTERN, PLAN_PATTERN, normalize_tariff, plan_label
 
@@ -64,7 +65,7 @@ def adoption_by_usage(df: DataFrame) -> DataFrame:
     missing groups kept with NULL share)."""
     share = df.groupBy("usage_group").agg(F.avg("tariff_active").alias("share_active"))
     order = df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(USAGE_ORDER)], "usage_group string, order int")
-    return F.broadcast(order).join(share, "usage_group", "left").select("usage_group", "share_active", "order")
+    return order.join(share, "usage_group", "left").select("usage_group", "share_active", "order")
 
 
 def descriptive_event_study(df: DataFrame, value_col: str = "mean_consumption",
@@ -109,26 +110,25 @@ def cohort_panels(df: DataFrame, cohort_months: Sequence[str], mode: str = "raw"
                   value_col: str = "top3_mean_consumption") -> DataFrame:
     """Per cohort, treated vs. control mean per month (long: cohort, TIDPUNKT, group, value).
 
-    ``raw``: cohort adopters vs. never-adopters (the never-adopter rows are
-    paired with every requested cohort through a broadcast of that list);
+    ``raw``: cohort adopters vs. never-adopters; the never-adopters' months are
+    averaged once and the averages are listed for every requested cohort;
     ``matched``: a matched panel with ``cohort`` and ``treatment`` columns.
     """
-    spark = df.sparkSession
-    cohorts = spark.createDataFrame([(m,) for m in cohort_months], "cohort string")
+    month = month_start("TIDPUNKT").alias("TIDPUNKT")
+    mean = F.avg(value_col).alias(value_col)
+    wanted = F.array(*[F.lit(m) for m in sorted(set(cohort_months))])
     if mode == "raw":
-        tm = month_label(_tariff_month(df))
-        treated = df.where(tm.isin(list(cohort_months))).withColumn("cohort", tm).withColumn("group", F.lit("treated"))
-        control = df.where(F.col("tariff_start").isNull()).crossJoin(F.broadcast(cohorts)).withColumn(
-            "group", F.lit("control"))
-        data = treated.unionByName(control, allowMissingColumns=True)
-    elif mode == "matched":
-        data = df.withColumn("cohort", month_label("cohort")).join(F.broadcast(cohorts), "cohort").withColumn(
-            "group", F.when(F.col("treatment") == 1, "treated").when(F.col("treatment") == 0, "control"))
-        data = data.where(F.col("group").isNotNull())
-    else:
-        raise ValueError("mode must be 'raw' or 'matched'")
-    return data.groupBy("cohort", month_start("TIDPUNKT").alias("TIDPUNKT"), "group").agg(
-        F.avg(value_col).alias(value_col))
+        label = month_label(_tariff_month(df))
+        treated = df.where(label.isin(list(cohort_months))).groupBy(
+            label.alias("cohort"), month).agg(mean).withColumn("group", F.lit("treated"))
+        control = df.where(F.col("tariff_start").isNull()).groupBy(month).agg(mean).withColumn(
+            "group", F.lit("control")).withColumn("cohort", F.explode(wanted))
+        return treated.unionByName(control).select("cohort", "TIDPUNKT", "group", value_col)
+    if mode == "matched":
+        role = F.when(F.col("treatment") == 1, "treated").when(F.col("treatment") == 0, "control")
+        data = df.withColumn("cohort", month_label("cohort")).where(F.array_contains(wanted, F.col("cohort")))
+        return data.where(role.isNotNull()).groupBy("cohort", month, role.alias("group")).agg(mean)
+    raise ValueError(f"unknown mode {mode!r}: raw and matched are known")
 
 
 # --------------------------------------------------------------------------- T
@@ -153,7 +153,7 @@ def adoption_share(tariff: DataFrame, total_households) -> DataFrame:
     """
     monthly = adoption_monthly(tariff)
     grid = _month_grid(monthly)
-    filled = F.broadcast(grid).join(monthly.select("month", "n_households"), "month", "left").withColumn(
+    filled = grid.join(monthly.select("month", "n_households"), "month", "left").withColumn(
         "n_households", F.coalesce("n_households", F.lit(0)))
     if isinstance(total_households, DataFrame):
         tot = total_households.agg(F.count_distinct("aID").alias("_tot"))
@@ -179,7 +179,7 @@ def plan_cumulative(tariff: DataFrame) -> DataFrame:
     monthly = t.groupBy(month_start("tariff_start").alias("month"), "plan").agg(
         F.count_distinct("aID").alias("n_households"))
     grid = _month_grid(monthly).crossJoin(monthly.select("plan").distinct())
-    filled = F.broadcast(grid).join(monthly, ["month", "plan"], "left").withColumn(
+    filled = grid.join(monthly, ["month", "plan"], "left").withColumn(
         "n_households", F.coalesce("n_households", F.lit(0)))
     cum = F.expr("sum(n_households) OVER (PARTITION BY plan ORDER BY month "
                  "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -221,7 +221,7 @@ def peak_heatmap(df: DataFrame, mode: str = "count") -> DataFrame:
     """K3: month × hour, zero-filled 12 × 24."""
     v = _mode_value(mode)
     cells = peaks_long(df).groupBy("month", "hour").agg(v.alias("value"))
-    return F.broadcast(_grid(df.sparkSession)).join(cells, ["month", "hour"], "left").withColumn(
+    return _grid(df.sparkSession).join(cells, ["month", "hour"], "left").withColumn(
         "value", F.coalesce("value", F.lit(0.0)))
 
 
@@ -231,20 +231,21 @@ def peak_hist(df: DataFrame, bins: int = 30) -> DataFrame:
     return histogram(p, "consumption", ["_all"], bins).drop("_all")
 
 
-def peak_box(df: DataFrame, exact: bool = False, accuracy: int = 10000) -> DataFrame:
+def peak_box(df: DataFrame, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """K5: box statistics per peak rank; whiskers = furthest points within 1.5·IQR.
 
-    ``exact=True`` uses linear-interpolated quantiles (``percentile``);
-    the default sketch (``percentile_approx``) keeps memory bounded per rank.
+    Quartiles are interpolated linearly, exactly by counted bins;
+    ``exact=False`` takes them from a sketch instead.
     """
     p = peaks_long(df)
-    x = F.col("consumption")
+    x, quarters = F.col("consumption"), [0.25, 0.5, 0.75]
     if exact:
-        q = F.percentile(x, [0.25, 0.5, 0.75])
+        qs = exact_quantiles(p, ["peak_rank"], "consumption", quarters, interpolate=True).select(
+            "peak_rank", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     else:
-        q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
-    qs = p.groupBy("peak_rank").agg(q.alias("_q"), F.count(F.lit(1)).alias("n")).select(
-        "peak_rank", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+        qs = p.groupBy("peak_rank").agg(
+            F.percentile_approx(x, quarters, accuracy).alias("_q"), F.count(F.lit(1)).alias("n")).select(
+            "peak_rank", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     qs = qs.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
@@ -271,23 +272,24 @@ def segment_heatmap(df: DataFrame, agg: str = "count") -> DataFrame:
     Months: union of months with peaks in any segment; hours 0..23.
     ``count`` and ``sum`` are zero-filled, ``mean`` leaves empty cells NULL.
     """
-    if agg not in ("count", "sum", "mean"):
-        raise ValueError("modes must contain only 'sum' or 'mean'" if agg != "count" else agg)
-    p = peaks_long(_segment(df), keep=["segment"])
-    v = {"count": F.count(F.lit(1)).cast("double"), "sum": F.sum("consumption"), "mean": F.avg("consumption")}[agg]
-    cells = p.groupBy("segment", "month", "hour").agg(v.alias("value"))
-    months = p.select("month").distinct()
-    segs = df.sparkSession.createDataFrame([(s,) for s in SEGMENTS], "segment string")
-    hours = df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    grid = months.crossJoin(F.broadcast(hours)).crossJoin(F.broadcast(segs))
-    full = grid.join(cells, ["segment", "month", "hour"], "left")
-    if agg != "mean":
-        full = full.withColumn("value", F.coalesce("value", F.lit(0.0)))
-    diff = full.groupBy("month", "hour").agg(
-        (F.max(F.when(F.col("segment") == "after", F.col("value")))
-         - F.max(F.when(F.col("segment") == "before", F.col("value")))).alias("value")
-    ).withColumn("segment", F.lit("diff"))
-    return full.unionByName(diff.select("segment", "month", "hour", "value"))
+    made = {"count": F.count(F.lit(1)).cast("double"), "sum": F.sum("consumption"), "mean": F.avg("consumption")}
+    if agg not in made:
+        raise ValueError(f"agg must be one of {sorted(made)}, not {agg!r}")
+    cells = peaks_long(_segment(df), keep=["segment"]).groupBy("month", "hour", "segment").agg(made[agg].alias("v"))
+    # one row per month and hour with the value of each segment: at most 12 x 24 rows from here on
+    wide = cells.groupBy("month").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.struct("segment", "hour").alias("cell"), "v"))).alias("cells"))
+
+    def value(segment: str, hour: Column) -> Column:
+        v = F.try_element_at("cells", F.struct(F.lit(segment).alias("segment"), hour.alias("hour")))
+        return v if agg == "mean" else F.coalesce(v, F.lit(0.0))
+
+    hours = wide.select("month", "cells", F.explode(F.array(*[F.lit(h) for h in range(24)])).alias("hour"))
+    parts = [F.struct(F.lit(s).alias("segment"), value(s, F.col("hour")).alias("value")) for s in SEGMENTS]
+    parts.append(F.struct(F.lit("diff").alias("segment"),
+                          (value("after", F.col("hour")) - value("before", F.col("hour"))).alias("value")))
+    return hours.select("month", "hour", F.explode(F.array(*parts)).alias("p")).select(
+        "p.segment", "month", "hour", "p.value")
 
 
 def scale_limits(seg: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ Candidate pairs are treated × control units of the same cohort ``Ti``.  A
 cohort is a hot key by nature (few cohorts, many units each), so the join
 never runs on ``Ti`` alone:
 
-* **salting** — controls get ``salt = pmod(xxhash64(id), n_salt)``, treated
-  rows are replicated to every salt; each task sees 1/n_salt of a cohort's
-  controls.
+* **salting** — a cohort's controls are dealt over as many salts as its
+  measured size asks for (``rows_per_salt`` controls each); treated rows are
+  replicated to their cohort's salts only.
 * **blocking** (summary matching) — the admissible band
   ``|c − t| <= thr·|t|`` is turned into an equi-join on
   ``(sign, floor(ln|f| / w))`` with ``w = −ln(1−thr)``: the band spans at most
@@ -17,8 +17,7 @@ never runs on ``Ti`` alone:
   ``WindowGroupLimit`` before the shuffle, so at most k candidates per treated
   unit and map task cross the network.
 
-Ties in distance are broken by control id after rounding the distance to 9
-digits (floating-point noise must not decide the order).
+Equal distances are ordered by control id.
 """
 
 from __future__ import annotations
@@ -29,7 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 8
+#: Controls of a cohort that one salt holds.
+ROWS_PER_SALT = 20_000
 
 
 def _split(profiles_z: DataFrame, cols: Sequence[str]):
@@ -39,11 +39,12 @@ def _split(profiles_z: DataFrame, cols: Sequence[str]):
     return t, c
 
 
-def _salt(t: DataFrame, c: DataFrame, n_salt: int):
-    n_salt = max(1, int(n_salt))
-    c = c.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(n_salt)).cast("int"))
-    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n_salt - 1))))
-    return t, c
+def _salt(t: DataFrame, c: DataFrame, rows_per_salt: int):
+    # one row per cohort (adoption dates: bounded by the calendar)
+    sizes = c.groupBy("Ti").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, int(rows_per_salt)))).cast("int").alias("_salts"))
+    c = c.join(F.broadcast(sizes), "Ti").withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int"))
+    t = t.join(F.broadcast(sizes), "Ti").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    return t.drop("_salts"), c.drop("_salts")
 
 
 def _prefix(df: DataFrame, p: str, keys: Sequence[str]) -> DataFrame:
@@ -62,7 +63,7 @@ def candidate_pairs(
     complete_case: bool,
     block_col: str | None = None,
     blocking_threshold: float = 0.3,
-    n_salt: int = DEFAULT_SALTS,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Treated × control pairs of one cohort: ``Ti, t_id, c_id, t_<f>_z, c_<f>_z``."""
     zc = [f"{c}_z" for c in feature_cols]
@@ -87,7 +88,7 @@ def candidate_pairs(
             t = t.withColumn("_sgn", ts).withColumn("_bkt", F.explode(F.array(tb - 1, tb, tb + 1)))
             keys += ["_sgn", "_bkt"]
         theta = F.abs(F.col(f"c_{block_col}") - F.col(f"t_{block_col}")) <= F.lit(thr) * F.abs(F.col(f"t_{block_col}"))
-    t, c = _salt(t, c, n_salt)
+    t, c = _salt(t, c, rows_per_salt)
     tp, cp = _prefix(t, "t_", keys), _prefix(c, "c_", keys)
     cand = tp.join(cp, keys).where(F.col("t_id") != F.col("c_id"))
     if theta is not None:
@@ -96,7 +97,7 @@ def candidate_pairs(
 
 
 def _top_k(cand: DataFrame, k: int, extra: Sequence[str] = ()) -> DataFrame:
-    w = Window.partitionBy("Ti", "t_id").orderBy(F.round("distance", 9).asc(), F.col("c_id").asc())
+    w = Window.partitionBy("Ti", "t_id").orderBy(F.col("distance").asc(), F.col("c_id").asc())
     return (
         cand.withColumn("match_rank", F.row_number().over(w))
         .where(F.col("match_rank") <= k)
@@ -118,11 +119,11 @@ def match_topk(
     blocking_threshold: float = 0.3,
     use_peak_blocking: bool = True,
     peak_block_col: str = "peak_mean",
-    n_salt: int = DEFAULT_SALTS,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Complete-case Euclidean kNN, optional peak blocking on the raw feature."""
     block = peak_block_col if (use_peak_blocking and peak_block_col in feature_cols) else None
-    cand = candidate_pairs(profiles_z, feature_cols, True, block, blocking_threshold, n_salt)
+    cand = candidate_pairs(profiles_z, feature_cols, True, block, blocking_threshold, rows_per_salt)
     d2 = sum((F.pow(F.col(f"t_{c}_z") - F.col(f"c_{c}_z"), 2) for c in feature_cols), F.lit(0.0))
     return _top_k(cand.withColumn("distance", F.sqrt(d2)), k_neighbors)
 
@@ -145,24 +146,41 @@ def match_topk_allow_missing(
     k_neighbors: int = 5,
     min_valid_dim: int | None = None,
     min_valid_share: float = 0.3,
-    n_salt: int = DEFAULT_SALTS,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Distance over dimensions present on both sides, ``sqrt(Σ d² / valid_dim)``;
     pairs with fewer than ``max(2, int(0.3·dim))`` shared dimensions are dropped."""
     if min_valid_dim is None:
         min_valid_dim = default_min_valid_dim(len(feature_cols), min_valid_share)
-    cand = _missing_aware(candidate_pairs(profiles_z, feature_cols, False, None, n_salt=n_salt), feature_cols)
+    cand = _missing_aware(candidate_pairs(profiles_z, feature_cols, False, None, rows_per_salt=rows_per_salt), feature_cols)
     cand = cand.where(F.col("valid_dim") >= min_valid_dim).withColumn(
         "distance", F.sqrt(F.col("_sq") / F.col("valid_dim"))
     )
     return _top_k(cand, k_neighbors, extra=["valid_dim"])
 
 
-def valid_dim_distribution(profiles_z: DataFrame, feature_cols: Sequence[str],
-                           n_salt: int = DEFAULT_SALTS) -> DataFrame:
-    """Number of candidate pairs per count of shared dimensions."""
-    cand = _missing_aware(candidate_pairs(profiles_z, feature_cols, False, None, n_salt=n_salt), feature_cols)
-    return cand.groupBy("valid_dim").agg(F.count(F.lit(1)).alias("count")).orderBy("valid_dim")
+def valid_dim_distribution(profiles_z: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
+    """Number of candidate pairs per count of shared dimensions.
+
+    Only which features are present matters, so profiles are counted per
+    (cohort, role, presence mask) and masks are paired instead of units; pairs of a unit with
+    itself (one that is in both roles of a cohort) are taken off.
+    """
+    wide = len(feature_cols) > 63
+    if wide:
+        raise ValueError("at most 63 features")
+    mask = " + ".join(f"CASE WHEN `{c}_z` IS NOT NULL THEN {1 << i}L ELSE 0L END" for i, c in enumerate(feature_cols))
+    masked = profiles_z.selectExpr("Ti", "id", "`group`", f"{mask} AS mask").where("`group` IN ('treated', 'control')")
+    t, c = masked.where("`group` = 'treated'"), masked.where("`group` = 'control'")
+
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("Ti", F.col("mask").alias(f"{name}_mask")).agg(F.count(F.lit(1)).alias(f"{name}_n"))
+
+    shared = F.bit_count(F.col("t_mask").bitwiseAND(F.col("c_mask"))).cast("int").alias("valid_dim")
+    pairs = counted(t, "t").join(counted(c, "c"), "Ti").select(shared, (F.col("t_n") * F.col("c_n")).alias("n"))
+    own = t.select("Ti", "id", F.col("mask").alias("t_mask")).join(
+        c.select("Ti", "id", F.col("mask").alias("c_mask")), ["Ti", "id"]).select(shared, F.lit(-1).cast("long").alias("n"))
+    return pairs.union(own).groupBy("valid_dim").agg(F.sum("n").alias("count")).where("count > 0").orderBy("valid_dim")
 
 
 def matched_ids(matches: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ cand AS (
   SELECT t.Ti, t.id AS tid, c.id AS cid, sqrt({dist}) AS distance
   FROM tq t JOIN cq c ON t.Ti = c.Ti AND t.id <> c.id {theta}
 ),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY Ti, tid ORDER BY round(distance, 9), cid) AS match_rank FROM cand),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY Ti, tid ORDER BY distance, cid) AS match_rank FROM cand),
 matches AS (
   SELECT tid AS treated_id, cid AS control_id, Ti AS adoption_month, distance, CAST(match_rank AS INTEGER) AS match_rank
   FROM ranked WHERE match_rank <= {int(k)}
@@ -197,7 +197,7 @@ def knn_missing(features: Sequence[str], k: int, min_valid: int | None = None) -
     mv = default_min_valid_dim(len(features)) if min_valid is None else min_valid
     return knn_candidates_missing(features) + f""",
 cand AS (SELECT *, sqrt(sq / valid_dim) AS distance FROM cand0 WHERE valid_dim >= {mv}),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY Ti, tid ORDER BY round(distance, 9), cid) AS match_rank FROM cand),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY Ti, tid ORDER BY distance, cid) AS match_rank FROM cand),
 matches AS (
   SELECT tid AS treated_id, cid AS control_id, Ti AS adoption_month, distance, valid_dim,
          CAST(match_rank AS INTEGER) AS match_rank

@@ -36,14 +36,15 @@ def run_summary_matching(
     k_neighbors: int = 5,
     blocking_threshold: float = 0.3,
     summary_vars: Sequence[str] | None = None,
-    n_salt: int = N.DEFAULT_SALTS,
-    persist: str = "none",
+    rows_per_salt: int = N.ROWS_PER_SALT,
+    persist: str = "table",
 ) -> dict:
     """L1: summary features → z-scores → blocked kNN → matched profiles → balance.
 
     Default features per price: peak_mean, mean_consumption, peak_sd, trend;
     blocking on the first ``peak_mean*`` feature.  ``persist`` cuts lineage at
-    the z-scored profiles and the matches (reused by balance tables).
+    the z-scored profiles and the matches, which the balance tables reuse (by
+    default as tables in the shared folder; ``none`` keeps one lazy plan).
     """
     sfx = Fp.detect_price_suffixes(risk_rows.columns)
     if summary_vars is None:
@@ -57,7 +58,7 @@ def run_summary_matching(
         cands = [v for v in summary_vars if v.startswith("peak_mean_")]
         block = cands[0] if cands else "peak_mean"
     matches = N.match_topk(pz, summary_vars, k_neighbors, blocking_threshold,
-                           use_peak_blocking=block in summary_vars, peak_block_col=block, n_salt=n_salt)
+                           use_peak_blocking=block in summary_vars, peak_block_col=block, rows_per_salt=rows_per_salt)
     return _finish(risk_rows, pz, matches, summary_vars, persist)
 
 
@@ -65,13 +66,13 @@ def run_time_series_matching(
     risk_rows: DataFrame,
     lookback_months: int = 12,
     k_neighbors: int = 5,
-    n_salt: int = N.DEFAULT_SALTS,
-    persist: str = "none",
+    rows_per_salt: int = N.ROWS_PER_SALT,
+    persist: str = "table",
 ) -> dict:
     """L2: lag profile ``peak_lag_1..L`` → z-scores → missing-aware kNN."""
     cols = [f"peak_lag_{i}" for i in range(1, lookback_months + 1)]
     pz = materialize(Fp.standardize_by_control(Fp.build_lag_profiles(risk_rows, lookback_months), cols), persist)
-    matches = N.match_topk_allow_missing(pz, cols, k_neighbors, n_salt=n_salt)
+    matches = N.match_topk_allow_missing(pz, cols, k_neighbors, rows_per_salt=rows_per_salt)
     return _finish(risk_rows, pz, matches, cols, persist)
 
 
@@ -80,14 +81,14 @@ def run_calendar_matching(
     lookback_years: int = 2,
     match_months: Sequence[int] = CALENDAR_MONTHS,
     k_neighbors: int = 5,
-    n_salt: int = N.DEFAULT_SALTS,
-    persist: str = "none",
+    rows_per_salt: int = N.ROWS_PER_SALT,
+    persist: str = "table",
 ) -> dict:
     """L3: calendar-aligned profile → z-scores → missing-aware kNN."""
     prof = Fp.build_calendar_profiles(risk_rows, match_months, lookback_years)
     cols = Fp.calendar_feature_names(match_months, lookback_years, Fp.detect_price_suffixes(risk_rows.columns))
     pz = materialize(Fp.standardize_by_control(prof, cols), persist)
-    matches = N.match_topk_allow_missing(pz, cols, k_neighbors, n_salt=n_salt)
+    matches = N.match_topk_allow_missing(pz, cols, k_neighbors, rows_per_salt=rows_per_salt)
     return _finish(risk_rows, pz, matches, cols, persist)
 
 

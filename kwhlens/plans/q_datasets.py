@@ -191,7 +191,7 @@ qs2 AS (SELECT *, q3 - q1 AS iqr FROM qs)""",
               min(CASE WHEN p.consumption >= q.q1 - 1.5 * q.iqr THEN p.consumption END) AS whisker_low,
               max(CASE WHEN p.consumption <= q.q3 + 1.5 * q.iqr THEN p.consumption END) AS whisker_high
               FROM qs2 q JOIN pl p ON q.peak_rank = p.peak_rank GROUP BY 1, 2, 3, 4, 5, 6"""))(
-    lambda s, d: C.peak_box(mr_all(s, d), exact=True))
+    lambda s, d: C.peak_box(mr_all(s, d)))
 
 
 def seg_sql(agg: str) -> str:

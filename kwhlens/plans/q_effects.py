@@ -14,7 +14,7 @@ from kwhlens.plans import oracle as O
 from kwhlens.plans import oracle_matching as OM
 from kwhlens.plans import pipelines as L
 from kwhlens.plans.q_matching import calendar_z, q, sql_calendar_z, sql_summary_z, summary_z
-from kwhlens.plans.registry import month_result, register
+from kwhlens.plans.registry import REGISTRY, month_result, register
 
 S4 = L.SUMMARY_4
 OUT = "top3_mean_consumption"
@@ -241,6 +241,17 @@ for _n, _ops, _w, _bc, _pairs, _fn in REGISTRY_ATT:
     register(_n, _ops, _att_q(_w, _bc, _pairs, cohort=_bc))(_fn)
 
 
+for _n, _key, _pairs in [
+    ("effect_group", "overall", False), ("effect_group_cohort", "cohort", False), ("pretrend", "pretrend", False),
+    ("att_all", "att_all", False), ("att_3m", "att_3m", False), ("att_cohort", "att_by_cohort_all", False),
+    ("att_cohort_3m", "att_by_cohort_3m", False), ("effect_pair", "overall", True),
+    ("effect_pair_cohort", "cohort", True), ("att_pairs", "att_all", True),
+]:
+    register(f"full_analysis_{'pair_' if _pairs else ''}{_key}", "E9", REGISTRY[_n].sql)(
+        lambda s, d, key=_key, pairs=_pairs: E.run_full_analysis(
+            panel_m2(s, d) if pairs else panel_m1(s, d, "high"), pairs=pairs)[key])
+
+
 def _hist_sql(bins: int = 40, times=(-1, 0, 1, 2)) -> str:
     tl = ", ".join(str(t) for t in times)
     edge = "(CASE WHEN {i} = {n} THEN hi ELSE lo + {i} * ((hi - lo) / {n}.0) END)"

@@ -74,18 +74,18 @@ PANEL_D = ["top3_mean_consumption", "mean_consumption", "variance_consumption",
 WIDE_D = OM.value_cols(["high", "all"])
 
 # ------------------------------------------------------------------ R
-register("base_panel_single", "R1,R2", q(sql_base(("high",)), "SELECT * FROM base"), PANEL_D)(
+register("base_panel_single", "R1,R2", q(sql_base(("high",)), "SELECT * FROM base"))(
     lambda s, d: base(s, d, ("high",)))
-register("base_panel_wide", "R3", q(sql_base(("high", "all")), "SELECT * FROM base"), WIDE_D)(
+register("base_panel_wide", "R3", q(sql_base(("high", "all")), "SELECT * FROM base"))(
     lambda s, d: base(s, d, ("high", "all")))
 register("cohorts", "R4", q(sql_base(), "SELECT DISTINCT adoption_month AS Ti FROM base WHERE adoption_month IS NOT NULL"))(
     lambda s, d: R.get_distinct_ti(base(s, d)))
 register("user_status", "R5", q(sql_base(), "SELECT id, min(adoption_month) AS adoption_month FROM base GROUP BY id"))(
     lambda s, d: R.get_user_status(base(s, d)))
-register("risk_set_never", "R6-R9,R11", q(sql_risk(12), "SELECT * FROM risk"), PANEL_D)(lambda s, d: risk(s, d, 12))
-register("risk_set_notyet", "R7(risk_set)", q(sql_risk(12, control_type="risk_set"), "SELECT * FROM risk"), PANEL_D)(
+register("risk_set_never", "R6-R9,R11", q(sql_risk(12), "SELECT * FROM risk"))(lambda s, d: risk(s, d, 12))
+register("risk_set_notyet", "R7(risk_set)", q(sql_risk(12, control_type="risk_set"), "SELECT * FROM risk"))(
     lambda s, d: risk(s, d, 12, control_type="risk_set"))
-register("risk_set_season", "R10", q(sql_risk(24, match_months=CAL_MONTHS), "SELECT * FROM risk"), PANEL_D)(
+register("risk_set_season", "R10", q(sql_risk(24, match_months=CAL_MONTHS), "SELECT * FROM risk"))(
     lambda s, d: risk(s, d, 24, match_months=CAL_MONTHS))
 register("risk_set_sizes", "R12",
          q(sql_risk(12), f'SELECT Ti, {OM.Q}, count(*) AS count FROM risk GROUP BY Ti, {OM.Q}'))(
@@ -93,43 +93,40 @@ register("risk_set_sizes", "R12",
 
 # ------------------------------------------------------------------ F
 ALL7 = OM.summary_vars_all([""])
-register("profile_summary", "F2", q(sql_risk(12) + "," + OM.summary_profile(PANEL_D, [""], ALL7), "SELECT * FROM prof"),
-         ALL7)(lambda s, d: Fp.build_summary_profiles(risk(s, d, 12), ALL7))
+register("profile_summary", "F2", q(sql_risk(12) + "," + OM.summary_profile(PANEL_D, [""], ALL7), "SELECT * FROM prof"))(lambda s, d: Fp.build_summary_profiles(risk(s, d, 12), ALL7))
 WIDE7 = OM.summary_vars_all(["all", "high"])
 register("profile_summary_wide", "F1,F2",
-         q(sql_risk(12, ("high", "all")) + "," + OM.summary_profile(WIDE_D, ["all", "high"], WIDE7), "SELECT * FROM prof"),
-         WIDE7)(lambda s, d: Fp.build_summary_profiles(risk(s, d, 12, ("high", "all")), WIDE7))
+         q(sql_risk(12, ("high", "all")) + "," + OM.summary_profile(WIDE_D, ["all", "high"], WIDE7), "SELECT * FROM prof"))(lambda s, d: Fp.build_summary_profiles(risk(s, d, 12, ("high", "all")), WIDE7))
 CAL2 = Fp.calendar_feature_names(CAL_MONTHS, 2, [""])
 register("profile_calendar", "F3",
-         q(sql_risk(24) + "," + OM.calendar_profile(CAL_MONTHS, 2, [""]), "SELECT * FROM prof"), CAL2)(
+         q(sql_risk(24) + "," + OM.calendar_profile(CAL_MONTHS, 2, [""]), "SELECT * FROM prof"))(
     lambda s, d: Fp.build_calendar_profiles(risk(s, d, 24), CAL_MONTHS, 2))
 CALW = Fp.calendar_feature_names(CAL_MONTHS, 1, ["all", "high"])
 register("profile_calendar_multi", "F4",
-         q(sql_risk(12, ("high", "all")) + "," + OM.calendar_profile(CAL_MONTHS, 1, ["all", "high"]), "SELECT * FROM prof"),
-         CALW)(lambda s, d: Fp.build_calendar_profiles(risk(s, d, 12, ("high", "all")), CAL_MONTHS, 1))
+         q(sql_risk(12, ("high", "all")) + "," + OM.calendar_profile(CAL_MONTHS, 1, ["all", "high"]), "SELECT * FROM prof"))(lambda s, d: Fp.build_calendar_profiles(risk(s, d, 12, ("high", "all")), CAL_MONTHS, 1))
 LAGS = [f"peak_lag_{i}" for i in range(1, 13)]
-register("profile_lags", "F5", q(sql_risk(12) + "," + OM.lag_profile(12, PANEL_D), "SELECT * FROM prof"), LAGS)(
+register("profile_lags", "F5", q(sql_risk(12) + "," + OM.lag_profile(12, PANEL_D), "SELECT * FROM prof"))(
     lambda s, d: Fp.build_lag_profiles(risk(s, d, 12), 12))
 Z_L1 = SUMMARY_L1 + [f"{c}_z" for c in SUMMARY_L1]
-register("standardized", "F6", q(sql_summary_z(), "SELECT * FROM pz"), Z_L1)(lambda s, d: summary_z(s, d))
+register("standardized", "F6", q(sql_summary_z(), "SELECT * FROM pz"))(lambda s, d: summary_z(s, d))
 
 # ------------------------------------------------------------------ N
+def l1(s, d):
+    return L.run_summary_matching(risk(s, d, 12), k_neighbors=5, summary_vars=SUMMARY_L1)
+
+
 register("knn_blocked", "N1,N2,L1",
-         q(sql_summary_z() + "," + OM.knn_blocked(SUMMARY_L1, 5, 0.3, "peak_mean"), "SELECT * FROM matches"),
-         ["distance"])(lambda s, d: N.match_topk(summary_z(s, d), SUMMARY_L1, 5, 0.3, True, "peak_mean"))
+         q(sql_summary_z() + "," + OM.knn_blocked(SUMMARY_L1, 5, 0.3, "peak_mean"), "SELECT * FROM matches"))(lambda s, d: l1(s, d)["matches"])
 S4 = L.SUMMARY_4
 register("knn_summary4", "N1,N2",
-         q(sql_summary_z(S4) + "," + OM.knn_blocked(S4, 5, 0.3, "peak_mean"), "SELECT * FROM matches"),
-         ["distance"])(lambda s, d: N.match_topk(summary_z(s, d, S4), S4, 5, 0.3, True, "peak_mean"))
+         q(sql_summary_z(S4) + "," + OM.knn_blocked(S4, 5, 0.3, "peak_mean"), "SELECT * FROM matches"))(lambda s, d: N.match_topk(summary_z(s, d, S4), S4, 5, 0.3, True, "peak_mean"))
 S4W = [f"{v}_{p}" for p in ("high", "all") for v in S4]
 register("knn_summary4_wide", "N1,N2,F1",
          q(sql_summary_z(S4W, ("high", "all")) + "," + OM.knn_blocked(S4W, 5, 0.3, "peak_mean_high"),
-           "SELECT * FROM matches"),
-         ["distance"])(lambda s, d: N.match_topk(summary_z(s, d, S4W, ("high", "all")), S4W, 5, 0.3, True,
+           "SELECT * FROM matches"))(lambda s, d: N.match_topk(summary_z(s, d, S4W, ("high", "all")), S4W, 5, 0.3, True,
                                                  "peak_mean_high"))
 register("knn_nonblocked", "N1",
-         q(sql_summary_z() + "," + OM.knn_blocked(SUMMARY_L1, 3, None, None), "SELECT * FROM matches"),
-         ["distance"])(lambda s, d: N.match_topk(summary_z(s, d), SUMMARY_L1, 3, use_peak_blocking=False))
+         q(sql_summary_z() + "," + OM.knn_blocked(SUMMARY_L1, 3, None, None), "SELECT * FROM matches"))(lambda s, d: N.match_topk(summary_z(s, d), SUMMARY_L1, 3, use_peak_blocking=False))
 
 
 def _cal_sql(years, k):
@@ -137,9 +134,9 @@ def _cal_sql(years, k):
     return q(ctes + "," + OM.knn_missing(cols, k), "SELECT * FROM matches")
 
 
-register("knn_missing", "N3,L3", _cal_sql(2, 3), ["distance"])(
-    lambda s, d: N.match_topk_allow_missing(*calendar_z(s, d, 2), 3))
-register("knn_missing_1year", "N3,L3", _cal_sql(1, 5), ["distance"])(
+register("knn_missing", "N3,L3", _cal_sql(2, 3))(
+    lambda s, d: L.run_calendar_matching(risk(s, d, 24), 2, CAL_MONTHS, k_neighbors=3)["matches"])
+register("knn_missing_1year", "N3,L3", _cal_sql(1, 5))(
     lambda s, d: N.match_topk_allow_missing(*calendar_z(s, d, 1), 5))
 
 
@@ -147,9 +144,8 @@ def _lag_z_sql():
     return sql_risk(12) + "," + OM.lag_profile(12, PANEL_D) + "," + OM.standardize(LAGS)
 
 
-register("knn_lags", "N3,L2", q(_lag_z_sql() + "," + OM.knn_missing(LAGS, 5), "SELECT * FROM matches"), ["distance"])(
-    lambda s, d: N.match_topk_allow_missing(
-        Fp.standardize_by_control(Fp.build_lag_profiles(risk(s, d, 12), 12), LAGS), LAGS, 5))
+register("knn_lags", "N3,L2", q(_lag_z_sql() + "," + OM.knn_missing(LAGS, 5), "SELECT * FROM matches"))(
+    lambda s, d: L.run_time_series_matching(risk(s, d, 12), 12, 5)["matches"])
 
 
 def _vdd_sql():
@@ -162,29 +158,19 @@ register("valid_dim_distribution", "N4", _vdd_sql())(lambda s, d: N.valid_dim_di
 
 
 # ------------------------------------------------------------------ N5/N6, B
-def _l1(s, d):
-    pz = summary_z(s, d)
-    m = N.match_topk(pz, SUMMARY_L1, 5, 0.3, True, "peak_mean")
-    return pz, m
-
-
 L1_SQL = sql_summary_z() + "," + OM.knn_blocked(SUMMARY_L1, 5, 0.3, "peak_mean") + "," + OM.matched_profiles(SUMMARY_L1)
-register("matched_profiles", "N5,N6", q(L1_SQL, "SELECT * FROM mp"), Z_L1)(
-    lambda s, d: N.build_matched_profiles(*_l1(s, d)))
-register("balance_pooled", "B2", q(L1_SQL, OM.balance(SUMMARY_L1, "mp", True)),
-         ["treated_mean", "control_mean", "SMD"])(
-    lambda s, d: B.balance_table(N.build_matched_profiles(*_l1(s, d)), SUMMARY_L1, pool=True))
-register("balance_by_cohort", "B1", q(L1_SQL, OM.balance(SUMMARY_L1, "mp", False)),
-         ["treated_mean", "control_mean", "SMD"])(
-    lambda s, d: B.balance_table(N.build_matched_profiles(*_l1(s, d)), SUMMARY_L1, pool=False))
-register("balance_before_matching", "B1", q(sql_summary_z(), OM.balance(SUMMARY_L1, "pz", False)),
-         ["treated_mean", "control_mean", "SMD"])(
+register("matched_profiles", "N5,N6", q(L1_SQL, "SELECT * FROM mp"))(
+    lambda s, d: l1(s, d)["matched_profiles"])
+register("balance_pooled", "B2", q(L1_SQL, OM.balance(SUMMARY_L1, "mp", True)))(
+    lambda s, d: l1(s, d)["balance"])
+register("balance_by_cohort", "B1", q(L1_SQL, OM.balance(SUMMARY_L1, "mp", False)))(
+    lambda s, d: l1(s, d)["balance_by_ti"])
+register("balance_before_matching", "B1", q(sql_summary_z(), OM.balance(SUMMARY_L1, "pz", False)))(
     lambda s, d: B.balance_table(summary_z(s, d), SUMMARY_L1, pool=False))
 register("love_data", "B3",
          q(L1_SQL + ",bal AS (" + OM.balance(SUMMARY_L1, "mp", True) + ")",
-           "SELECT *, abs(SMD) AS abs_SMD, abs(SMD) > 0.1 AS above_threshold FROM bal"),
-         ["treated_mean", "control_mean", "SMD", "abs_SMD"])(
-    lambda s, d: B.love_data(B.balance_table(N.build_matched_profiles(*_l1(s, d)), SUMMARY_L1, pool=True)))
+           "SELECT *, abs(SMD) AS abs_SMD, abs(SMD) > 0.1 AS above_threshold FROM bal"))(
+    lambda s, d: B.love_data(l1(s, d)["balance"]))
 
 
 # ------------------------------------------------------------------ V (hold-out balance of the L1 matches)
@@ -194,8 +180,7 @@ CAL_V = Fp.calendar_feature_names(CAL_MONTHS, 2, [""])
 
 
 def _validation(s, d, **kw):
-    _, m = _l1(s, d)
-    return B.validation_balance(m, base(s, d), SUMMARY_L1, **kw)
+    return B.validation_balance(l1(s, d)["matches"], base(s, d), SUMMARY_L1, **kw)
 
 
 def _v_sql(part: str) -> str:
@@ -230,4 +215,4 @@ def _v_dim_sql() -> str:
 
 
 register("validation_valid_dim", "V4", _v_dim_sql())(
-    lambda s, d: B.calendar_valid_dim_distribution(_l1(s, d)[1], base(s, d)))
+    lambda s, d: B.calendar_valid_dim_distribution(l1(s, d)["matches"], base(s, d)))

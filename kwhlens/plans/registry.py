@@ -57,7 +57,7 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
-def register(name: str, ops: str, sql: str | None = None, *_ignored, **_kw):
+def register(name: str, ops: str, sql: str | None = None):
     def deco(fn):
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
             return round_doubles(fn(spark, sf_dir))
@@ -114,15 +114,9 @@ def month_result(spark: SparkSession, sf_dir: str) -> DataFrame:
         agg_method=["top3_mean", "variance", "mean"],
         use_price=True,
         add_user_group_col=[0.25, 0.75],
-        usage_quantile_mode="exact",
     )
 
 
-MONTH_DOUBLES = [
-    "peak1_consumption", "peak2_consumption", "peak3_consumption", "top3_mean_consumption",
-    "variance_consumption", "mean_consumption", "total_consumption",
-]
-
 # ---------------------------------------------------------------- S / P
 register(
     "input_profile", "S13",
@@ -141,7 +135,6 @@ SELECT price, count(*) AS n_readings, sum(FORBRUKNING_KWH) AS sum_kwh,
        CAST(sum(tariff_active) AS BIGINT) AS n_active, CAST(sum(has_tariff) AS BIGINT) AS n_with_tariff,
        count(DISTINCT aID) AS n_households
 FROM enriched GROUP BY price"""),
-    ["sum_kwh"],
 )(lambda spark, d: P.enriched_counts(P.enrich_readings(fx.panel_b_readings(spark, d), fx.panel_b_tariff(spark, d))))
 
 
@@ -170,36 +163,28 @@ def _simple_agg(panel: str, freq: str, methods, use_price: bool = True, **kw):
     return fn
 
 
-register("agg_hour_mean", "P9,A2", _simple_agg_sql("B", "hour", True, "avg(kwh) AS mean_consumption"),
-         ["mean_consumption"])(_simple_agg("B", "hour", ["mean"]))
-register("agg_weekday_mean", "P9,A2", _simple_agg_sql("B", "weekday", True, "avg(kwh) AS mean_consumption"),
-         ["mean_consumption"])(_simple_agg("B", "weekday", ["mean"]))
-register("agg_week_part_mean", "P9,A2", _simple_agg_sql("B", "week_part", True, "avg(kwh) AS mean_consumption"),
-         ["mean_consumption"])(_simple_agg("B", "week_part", ["mean"]))
+register("agg_hour_mean", "P9,A2", _simple_agg_sql("B", "hour", True, "avg(kwh) AS mean_consumption"))(_simple_agg("B", "hour", ["mean"]))
+register("agg_weekday_mean", "P9,A2", _simple_agg_sql("B", "weekday", True, "avg(kwh) AS mean_consumption"))(_simple_agg("B", "weekday", ["mean"]))
+register("agg_week_part_mean", "P9,A2", _simple_agg_sql("B", "week_part", True, "avg(kwh) AS mean_consumption"))(_simple_agg("B", "week_part", ["mean"]))
 register(
     "agg_sum_max", "A1,A5,P8",
     _simple_agg_sql("B", "day", True, "sum(kwh) AS sum_consumption, max(kwh) AS max_consumption"),
-    ["sum_consumption", "max_consumption"],
 )(_simple_agg("B", "day", ["sum", "max"]))
 register(
     "agg_no_price", "A1,A3,P8(off)",
     _simple_agg_sql("A", "month", False, "sum(kwh) AS sum_consumption, var_samp(kwh) AS variance_consumption"),
-    ["sum_consumption", "variance_consumption"],
 )(_simple_agg("A", "month", ["sum", "variance"], use_price=False))
 register(
     "agg_median_quantile", "A4,A6",
     _simple_agg_sql("B", "week_part", True,
                     "quantile_disc(kwh, 0.5) AS median_consumption, quantile_disc(kwh, 0.9) AS q90_consumption"),
-    ["median_consumption", "q90_consumption"],
-)(_simple_agg("B", "week_part", ["median", "q90"], quantile_mode="exact"))
+)(_simple_agg("B", "week_part", ["median", "q90"]))
 
 
 register(
     "usage_groups", "A9-A11",
     O.with_ctes(O.READINGS_A + "," + O.USAGE, "SELECT * FROM usage"),
-    ["total_consumption"],
-)(lambda spark, d: A.usage_groups(A.household_totals(P.normalize_readings(fx.panel_a_readings(spark, d))),
-                                  mode="exact"))
+)(lambda spark, d: A.usage_groups(A.household_totals(P.normalize_readings(fx.panel_a_readings(spark, d)))))
 
 register(
     "tariff_info", "A13,P12",

@@ -141,7 +141,7 @@ def brute_topk(pz, feats, k, thr=None, block=None, missing=False, min_valid=None
                 if any(t[f + "_z"] is None or c[f + "_z"] is None for f in feats):
                     continue
                 dist = math.sqrt(sum((t[f + "_z"] - c[f + "_z"]) ** 2 for f in feats))
-            cands.append((round(dist, 9), c.id, dist))
+            cands.append((dist, c.id, dist))
         cands.sort()
         out += [(t.id, c_id, t.Ti, i + 1) for i, (_, c_id, _) in enumerate(cands[:k])]
     return sorted(out)
