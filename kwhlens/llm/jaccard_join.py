@@ -53,10 +53,24 @@ def _need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+_CHUNK = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("known", pa.binary()),
+                    ("ids", pa.binary()), ("sizes", pa.binary()), ("shared", pa.binary())])
+_COUNTS = pa.schema([("slot", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("shared", pa.binary())])
+
+
+def _dealt(values: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, positions) of the values that each of n slots gets."""
+    slot = (mix(values.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    edge = np.flatnonzero(np.diff(slot[order], prepend=-1))
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)]):
+        yield int(slot[order[a]]), order[a:b]
+
+
 def _flush(ids: list, sizes: list, keys: list, buckets: int) -> pa.RecordBatch:
-    """One row per document (n, shingles repeated in this chunk) and one per bucket."""
+    """One row per bucket: its entries, and the sizes and repeats within this chunk of the documents dealt to it."""
     counts = np.array([len(k) for k in keys], dtype=np.int64)
-    key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    key = np.concatenate(keys)
     doc = np.repeat(np.arange(len(ids)), counts)
     order = np.argsort(key, kind="stable")
     key, doc = key[order], doc[order]
@@ -64,12 +78,10 @@ def _flush(ids: list, sizes: list, keys: list, buckets: int) -> pa.RecordBatch:
     head[1:] = key[1:] != key[:-1]
     last = np.ones(len(key), bool)
     last[:-1] = head[1:]
-    again = ~(head & last)
-    local = np.bincount(doc[again], minlength=len(ids))
-    alone = head & last
-    known = head & ~last
-    ids_arr = np.array([0 if x is None else x for x in ids], dtype=np.int64)
-    rows = {"bucket": [], "keys": [], "docs": [], "known": []}
+    alone, known = head & last, head & ~last
+    local = np.bincount(doc[~alone], minlength=len(ids)).astype(np.int64)
+    own, n = np.array(ids, np.int64), np.array(sizes, np.int64)
+    rows: dict[int, dict] = {}
     bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -79,24 +91,12 @@ def _flush(ids: list, sizes: list, keys: list, buckets: int) -> pa.RecordBatch:
         if len(at):
             one, more = at[alone[at]], at[known[at]]
             one = one[np.argsort(doc[one], kind="stable")]  # ids in order compress well
-            rows["bucket"].append(b)
-            rows["keys"].append(low[one].tobytes())
-            rows["docs"].append(ids_arr[doc[one]].tobytes())
-            rows["known"].append(low[more].tobytes())
-    m, none = len(rows["bucket"]), [None] * len(ids)
-    spread = (mix(ids_arr.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64).tolist()
-    return pa.RecordBatch.from_pydict({
-        "bucket": pa.array(spread + rows["bucket"], pa.int64()),
-        "doc_id": pa.array(ids + [None] * m, pa.int64()),
-        "n": pa.array(sizes + [None] * m, pa.int64()),
-        "local": pa.array(local.tolist() + [None] * m, pa.int64()),
-        "keys": pa.array(none + rows["keys"], pa.binary()),
-        "docs": pa.array(none + rows["docs"], pa.binary()),
-        "known": pa.array(none + rows["known"], pa.binary()),
-    })
-
-
-_CHUNK_SCHEMA = "bucket long, doc_id long, n long, local long, keys binary, docs binary, known binary"
+            rows[b] = {"bucket": b, "keys": low[one].tobytes(), "docs": own[doc[one]].tobytes(),
+                       "known": low[more].tobytes()}
+    for b, at in _dealt(own, buckets):
+        rows.setdefault(b, {"bucket": b}).update(
+            ids=own[at].tobytes(), sizes=n[at].tobytes(), shared=local[at].tobytes())
+    return pa.RecordBatch.from_pylist(list(rows.values()), _CHUNK)
 
 
 def _screen_map(percent: int, shingle: int, buckets: int):
@@ -120,42 +120,67 @@ def _screen_map(percent: int, shingle: int, buckets: int):
     return run
 
 
-def _screen_reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared entries per document, from all entries of some buckets."""
-    keys, docs, known = [], [], []
+def _screen_reduce(slots: int):
+    """Counts of shared entries by document, from all entries of some buckets, packed by the document's slot."""
 
-    def out(ids, n, shared):
-        return pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "shared": pa.array(shared, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, docs, known, ids, sizes, shared = [], [], [], [], [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["keys"] is not None:
+                    top = np.uint64(r["bucket"] << 32)
+                    keys.append(np.frombuffer(r["keys"], np.uint32).astype(np.uint64) | top)
+                    docs.append(np.frombuffer(r["docs"], np.int64))
+                    known.append(np.frombuffer(r["known"], np.uint32).astype(np.uint64) | top)
+                if r["ids"] is not None:
+                    ids.append(np.frombuffer(r["ids"], np.int64))
+                    sizes.append(np.frombuffer(r["sizes"], np.int64))
+                    shared.append(np.frombuffer(r["shared"], np.int64))
+        if keys:
+            key, doc, more = np.concatenate(keys), np.concatenate(docs), np.unique(np.concatenate(known))
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
+            same = key[1:] == key[:-1]
+            hit = np.zeros(len(key), bool)
+            hit[1:] |= same
+            hit[:-1] |= same
+            if len(more) and len(key):
+                at = np.minimum(np.searchsorted(more, key), len(more) - 1)
+                hit |= more[at] == key
+            who, count = np.unique(doc[hit], return_counts=True)
+            ids.append(who)
+            sizes.append(np.full(len(who), -1))
+            shared.append(count)
+        if ids:
+            own, n, c = np.concatenate(ids), np.concatenate(sizes), np.concatenate(shared)
+            yield pa.RecordBatch.from_pylist([
+                {"slot": s, "ids": own[at].tobytes(), "sizes": n[at].tobytes(), "shared": c[at].tobytes()}
+                for s, at in _dealt(own, slots)], _COUNTS)
 
-    for batch in batches:
-        t = batch.to_pydict()
-        here = [i for i, x in enumerate(t["n"]) if x is not None]
-        if here:
-            yield out([t["doc_id"][i] for i in here], [t["n"][i] for i in here], [t["local"][i] for i in here])
-        for b, k, d, w in zip(t["bucket"], t["keys"], t["docs"], t["known"]):
-            if k is not None:
-                top = np.uint64(b << 32)
-                keys.append(np.frombuffer(k, np.uint32).astype(np.uint64) | top)
-                docs.append(np.frombuffer(d, np.int64))
-                known.append(np.frombuffer(w, np.uint32).astype(np.uint64) | top)
-    if not keys:
-        return
-    key, doc, known = np.concatenate(keys), np.concatenate(docs), np.concatenate(known)
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    same = key[1:] == key[:-1]
-    hit = np.zeros(len(key), bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    if len(known) and len(key):
-        known = np.unique(known)
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        hit |= known[at] == key
-    ids, shared = np.unique(doc[hit], return_counts=True)
-    for i in range(0, len(ids), 100_000):
-        part = slice(i, i + 100_000)
-        yield out(ids[part].tolist(), [None] * len(ids[part]), shared[part].tolist())
+    return run
+
+
+def _screen_sum(percent: int):
+    """(doc_id, n, active) per document, from all counts of some slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[np.frombuffer(x, np.int64) for x in batch.column(i).to_pylist()] for batch in batches for i in (1, 2, 3)]
+        if not got:
+            return
+        ids, n, shared = (np.concatenate([x for part in got[i::3] for x in part]) for i in range(3))
+        who, at = np.unique(ids, return_inverse=True)
+        total = np.bincount(at, weights=shared)
+        least = np.full(len(who), np.iinfo(np.int64).max)  # smallest set under an id that isn't empty
+        np.minimum.at(least, at[n > 0], n[n > 0])
+        need = np.maximum(1, -(-np.minimum(least, 1 << 40) * percent // 100) // 10)
+        active = total >= need
+        rows = np.flatnonzero(n >= 0)
+        for i in range(0, len(rows), 100_000):
+            r = rows[i : i + 100_000]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(ids[r]), "n": pa.array(n[r]), "active": pa.array(active[at[r]])})
+
+    return run
 
 
 def _class_map(shingle: int, with_set: bool):
@@ -271,24 +296,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.rdd.getNumPartitions())
 
     # 1. screening
-    entries = base.mapInArrow(_screen_map(percent, shingle, 2 * parts), _CHUNK_SCHEMA)
+    named = base.where("doc_id is not null")
+    schema = "bucket long, keys binary, docs binary, known binary, ids binary, sizes binary, shared binary"
     screened = scratch.table(
-        entries.repartition(parts, "bucket").mapInArrow(_screen_reduce, "doc_id long, n long, shared long"), "screened")
-    least = f"greatest(1, ((n * {percent} + 99) div 100) div 10)"
-    active = scratch.table(
-        screened.where("doc_id is not null").groupBy("doc_id")
-        .agg(F.sum("shared").alias("shared"), F.min(F.when(F.col("n") > 0, F.col("n"))).alias("n"))
-        .where(f"n is not null and shared >= {least}").select("doc_id"), "active")
+        named.mapInArrow(_screen_map(percent, shingle, 2 * parts), schema).repartition(parts, "bucket")
+        .mapInArrow(_screen_reduce(2 * parts), "slot long, ids binary, sizes binary, shared binary")
+        .repartition(parts, "slot").mapInArrow(_screen_sum(percent), "doc_id long, n long, active boolean"), "screened")
+    active = scratch.table(screened.where("active").select("doc_id").distinct(), "active")
     n_active = active.count()
 
     # 2. classes of equal sets
-    alike = scratch.table(_with_ids(base, active, n_active).mapInArrow(
+    alike = scratch.table(_with_ids(named, active, n_active).mapInArrow(
         _class_map(shingle, False), "doc_id long, n long, cls long").where("n > 0"), "alike")
-    named = alike.groupBy("cls").agg(F.min("doc_id").alias("node"))
-    members = scratch.table(alike.join(named, "cls").select("doc_id", "n", "cls", "node"), "members")
+    least = alike.groupBy("cls").agg(F.min("doc_id").alias("node"))
+    members = scratch.table(alike.join(least, "cls").select("doc_id", "n", "cls", "node"), "members")
     nodes = members.where("doc_id = node").select("doc_id").distinct()
     sets = scratch.table(
-        _with_ids(base, nodes, n_active).mapInArrow(
+        _with_ids(named, nodes, n_active).mapInArrow(
             _class_map(shingle, True), "doc_id long, n long, cls long, shingles binary")
         .where("n > 0").select(F.col("doc_id").alias("node"), "n", "shingles"), "sets")
 
@@ -337,12 +361,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     linked = members.join(comps, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))
-    lone = F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
+    lone = screened.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     known = members.select("doc_id").distinct()
-    others = screened.where("n is not null").join(known, "doc_id", "left_anti").select("doc_id", *lone)
+    others = lone.join(known, "doc_id", "left_anti")
     # an empty text under a doc_id that has another text too
-    empty = screened.where("n = 0").join(known, "doc_id", "left_semi").select("doc_id", *lone)
-    return linked.union(others).union(empty)
+    empty = lone.where("n_shingles = 0").join(known, "doc_id", "left_semi")
+    nameless = base.where("doc_id is null").mapInArrow(
+        _class_map(shingle, False), "doc_id long, n long, cls long").selectExpr("doc_id", "n", "doc_id")
+    return linked.union(others).union(empty).union(nameless)
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -354,7 +380,6 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id isn't in ``ids(doc_id)``; the ids are broadcast only if few."""
-    ids = ids.select(F.col("doc_id").alias("_gone"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = ids.select(F.col("doc_id").alias("gone"))
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
