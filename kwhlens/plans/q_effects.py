@@ -8,12 +8,12 @@ from kwhlens.functions.stats import Z_975
 from kwhlens.operators import effects as E
 from kwhlens.operators import fixed_effects as D
 from kwhlens.operators import matched as M
-from kwhlens.operators import matching as N
 from kwhlens.operators.readings import prepare_price_panel
 from kwhlens.plans import oracle as O
+from kwhlens.plans import oracle_did as OD
 from kwhlens.plans import oracle_matching as OM
 from kwhlens.plans import pipelines as L
-from kwhlens.plans.q_matching import calendar_z, q, sql_calendar_z, sql_summary_z, summary_z
+from kwhlens.plans.q_matching import CAL_MONTHS, q, risk, sql_calendar_z, sql_summary_z
 from kwhlens.plans.registry import REGISTRY, month_result, register
 
 S4 = L.SUMMARY_4
@@ -23,12 +23,12 @@ OUT = "top3_mean_consumption"
 # ------------------------------------------------------------------ matches used downstream
 def matches_s4(s, d):
     """summary_4 on price 'all' (the matches the group-mean inference reads)."""
-    return N.match_topk(summary_z(s, d, S4), S4, 5, 0.3, True, "peak_mean")
+    return L.run_summary_matching(risk(s, d, 12), k_neighbors=5, summary_vars=S4)["matches"]
 
 
 def matches_cal_high(s, d):
     """calendar2 (2 years, k=5) on price 'high' (the matches the DiD analyses read)."""
-    return N.match_topk_allow_missing(*calendar_z(s, d, 2, ("high",)), 5)
+    return L.run_calendar_matching(risk(s, d, 24, ("high",)), 2, CAL_MONTHS, k_neighbors=5)["matches"]
 
 
 SQL_M_S4 = sql_summary_z(S4) + "," + OM.knn_blocked(S4, 5, 0.3, "peak_mean")
@@ -289,15 +289,50 @@ register("twfe_weighted_means", "D1",
          q(W_SQL, f"SELECT entity_id, sum(match_weight * {OUT}) / sum(match_weight) AS {OUT}, "
                   "sum(match_weight * D) / sum(match_weight) AS D FROM wp GROUP BY entity_id"))(
     lambda s, d: D.weighted_group_mean(panel_m3(s, d), [OUT, "D"], "entity_id", "match_weight"))
-register("did_basic", "D2,D3")(lambda s, d: D.fit_basic_did(panel_m3(s, d), OUT))
-register("did_by_cohort", "D4")(lambda s, d: D.fit_basic_did(panel_m3(s, d), OUT, group_cols=["cohort_id"],
-                                                             min_treated=5))
-register("event_study", "D5,D6")(lambda s, d: D.fit_event_study(panel_m3(s, d), OUT, (-12, 12), -1))
-register("event_study_by_cohort", "D7")(
+
+
+def _fit_sql(panel: str, group: str, regs, src: str, select: str, drop_empty: bool = False, extra: str = "") -> str:
+    ctes = panel + extra + "," + OD.fit(src, group, OUT, regs, drop_empty)
+    return q(ctes.replace("WITH RECURSIVE", ""), select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_D = [("D", "D")]
+_COUNTS = (f", kept AS (SELECT cohort_id AS g, count(DISTINCT aID) FILTER (treatment = 1) AS n_treated,"
+           " count(DISTINCT month_id) FILTER (D = 1) AS n_periods FROM wp GROUP BY 1"
+           " HAVING count(DISTINCT aID) FILTER (treatment = 1) >= 5)"
+           ", big AS (SELECT wp.* FROM wp JOIN kept ON kept.g = cohort_id)")
+
+
+def _events(src: str, low: int, high: int) -> str:
+    return f", win AS (SELECT * FROM {src} WHERE event_time BETWEEN {low} AND {high})"
+
+
+register("did_basic", "D2,D3", _fit_sql(
+    W_SQL, "'pooled'", _D, "wp", f"SELECT {OD.estimates()}, n_obs, n_entities FROM est"))(
+    lambda s, d: D.fit_basic_did(panel_m3(s, d), OUT))
+register("did_by_cohort", "D4", _fit_sql(
+    W_SQL, "cohort_id", _D, "big",
+    f"SELECT {OD.estimates('g AS cohort_id, ')}, n_treated, n_periods, n_obs, n_entities FROM est JOIN kept USING (g)",
+    extra=_COUNTS))(
+    lambda s, d: D.fit_basic_did(panel_m3(s, d), OUT, group_cols=["cohort_id"], min_treated=5))
+_EVENT_SQL = _fit_sql(
+    W_SQL, "'pooled'", OD.event_regressors(-12, 12, -1), "win",
+    f"SELECT {OD.estimates()}, CAST(term AS INTEGER) AS event_time FROM est", True, _events("wp", -12, 12))
+register("event_study", "D5,D6", _EVENT_SQL)(
+    lambda s, d: D.fit_event_study(panel_m3(s, d), OUT, (-12, 12), -1))
+register("event_study_by_cohort", "D7", _fit_sql(
+    W_SQL, "cohort_id", OD.event_regressors(-12, 6, -1), "win",
+    f"SELECT {OD.estimates('g AS cohort_id, n_treated, ')}, CAST(term AS INTEGER) AS event_time FROM est JOIN kept USING (g)",
+    True, _COUNTS + _events("big", -12, 6)))(
     lambda s, d: D.fit_event_study(panel_m3(s, d), OUT, (-12, 6), -1, group_cols=["cohort_id"], min_treated=5))
-register("did_by_price", "D10")(
+register("did_by_price", "D10", _fit_sql(
+    sql_m3(SQL_M_CAL, "high").replace("WHERE price = 'high') mr", "WHERE price IN ('high', 'low', 'all')) mr"), "price", _D, "wp",
+    f"SELECT {OD.estimates('g AS price, ')}, n_obs, n_entities FROM est"))(
     lambda s, d: D.fit_basic_did(D.price_panels(matches_cal_high(s, d), month_result(s, d)), OUT,
                                  group_cols=["price"]))
-register("event_study_chart", "D8,D9")(
+register("event_study_chart", "D8,D9", "SELECT * REPLACE (" + ", ".join(
+    f"round({c}, 4) AS {c}" for c in ("coef", "std_error", "p_value", "ci_lower", "ci_upper"))
+    + "), coef - 1.96::DOUBLE * std_error AS err_low, coef + 1.96::DOUBLE * std_error AS err_high FROM ("
+    + _EVENT_SQL + ") r")(
     lambda s, d: D.round_results(D.coefficient_chart_data(
         D.fit_event_study(panel_m3(s, d), OUT, (-12, 12), -1), OUT)))
