@@ -84,8 +84,9 @@ class Scratch:
         self.spark = spark
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+    def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        writer = df.write.partitionBy(partition_by) if partition_by else df.write
+        writer.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str = "") -> None:
