@@ -1,17 +1,18 @@
 """Household × period × price statistics of meter readings.
 
-Plan shape (one scan of the readings, two shuffles of pre-aggregated data):
-
-1. readings ⟕ contracts → period → price explode (one pass, no union);
-2. **day-level partial aggregate** keyed by household, period, price,
-   tariff_active and calendar day: count, sum, M2 (= var_pop·n), max and the
-   daily peak ``min(struct(kWh IS NULL, -kWh, ts))`` (largest kWh, earliest
-   time on ties).  Partial aggregation runs map-side, so a hot household is
-   pre-combined before the shuffle;
-3. day-level rows are re-partitioned by household only.  Rows per household
-   are bounded by the calendar (days × periods × 2 prices × 2 states), and
-   every later step — top-3 window, final merge, contract and usage joins —
-   is keyed by a superset of ``aID`` and needs no further exchange;
+Plan shape (readings scanned once; the usage totals, if asked for, read two of
+their columns a second time):
+
+1. readings ⟕ contracts → period → price period of each reading (not doubled);
+2. **day-level partial aggregate** keyed by household, period, tariff_active and
+   calendar day, with count, sum, M2 (= var_pop·n), max and the daily peak
+   ``min(struct(kWh IS NULL, -kWh, ts))`` (largest kWh, earliest time on ties)
+   of the high and the low price period side by side.  Partial aggregation runs
+   map-side, so a hot household is pre-combined before the shuffle;
+3. day rows are re-partitioned by household only, and ``all`` is merged from high and
+   low there.  Rows per household are bounded by the calendar (days × periods × 3
+   prices × 2 states), and every later step — top-3 window, final merge, contract
+   and usage joins — is keyed by a superset of ``aID`` and needs no further exchange;
 4. final merge: sums add up, variance via the parallel (Chan) M2 merge
    around the group mean (a window sum over the same partition), top-3 peak
    days by ``row_number`` over the daily peaks, pivoted with conditional
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from kwhlens.functions.quantiles import exact_quantiles
 from kwhlens.operators.readings import (
     add_period,
+    add_price_period,
     attach_tariff,
     expand_price,
     normalize_readings,
@@ -115,26 +117,43 @@ def tariff_info(tariff: DataFrame | None) -> DataFrame | None:
     )
 
 
-def day_partials(x: DataFrame, need_peaks: bool = True) -> DataFrame:
-    """Step 2: day-level partial aggregate of exploded readings."""
-    kwh = F.col("FORBRUKNING_KWH")
-    aggs = [
-        F.count(kwh).alias("_n"),
-        F.sum(kwh).alias("_s"),
-        (F.var_pop(kwh) * F.count(kwh)).alias("_m2"),
-        F.max(kwh).alias("_mx"),
-    ]
-    if need_peaks:
-        aggs.append(
-            F.min(
-                F.struct(
-                    kwh.isNull().alias("nul"),
-                    (-kwh).alias("negk"),
-                    F.col("TIDPUNKT").alias("ts"),
-                )
-            ).alias("_pk")
-        )
-    return x.groupBy(*GROUP_KEYS, F.to_date("TIDPUNKT").alias("_day")).agg(*aggs)
+DAY_KEYS = ["aID", "period", "tariff_active", "_day"]
+
+
+def day_partials(x: DataFrame, prices: Sequence[str], need_peaks: bool = True) -> DataFrame:
+    """Step 2: one row per household, period, state and day with the partial sums of each price period.
+
+    The readings are not doubled for ``all``: each price's sums are conditional
+    aggregates of the same row.
+    """
+    aggs = []
+    for p in prices:
+        own = F.col("price") == p
+        kwh = F.when(own, F.col("FORBRUKNING_KWH"))
+        aggs += [F.count(F.when(own, 1)).alias(f"_rows_{p}"), F.count(kwh).alias(f"_n_{p}"), F.sum(kwh).alias(f"_s_{p}"),
+                 (F.var_pop(kwh) * F.count(kwh)).alias(f"_m2_{p}"), F.max(kwh).alias(f"_mx_{p}")]
+        if need_peaks:
+            aggs.append(F.min(F.when(own, F.struct(
+                kwh.isNull().alias("nul"), (-kwh).alias("negk"), F.col("TIDPUNKT").alias("ts")))).alias(f"_pk_{p}"))
+    return x.groupBy(*DAY_KEYS[:-1], F.to_date("TIDPUNKT").alias("_day")).agg(*aggs)
+
+
+def _price_rows(days: DataFrame, prices: Sequence[str], need_peaks: bool) -> DataFrame:
+    """Day rows per price period; with high and low also ``all``, merged from the two."""
+    names = ["_rows", "_n", "_s", "_m2", "_mx"] + (["_pk"] if need_peaks else [])
+    rows = [F.struct(F.lit(p).alias("price"), *[F.col(f"{c}_{p}").alias(c) for c in names]) for p in prices]
+    if len(prices) == 2:
+        a, b = ([F.col(f"{c}_{p}") for c in names] for p in prices)
+        n = a[1] + b[1]
+        gap = F.when((a[1] > 0) & (b[1] > 0), a[1] * b[1] / n * F.pow(a[2] / a[1] - b[2] / b[1], 2))
+        merged = [a[0] + b[0], n, F.coalesce(a[2] + b[2], a[2], b[2]),
+                  F.when(n > 0, F.coalesce(a[3], F.lit(0.0)) + F.coalesce(b[3], F.lit(0.0)) + F.coalesce(gap, F.lit(0.0))),
+                  F.greatest(a[4], b[4])]
+        if need_peaks:
+            merged.append(F.least(a[5], b[5]))
+        rows.insert(0, F.struct(F.lit("all").alias("price"), *[c.alias(k) for c, k in zip(merged, names)]))
+    seen = F.explode(F.filter(F.array(*rows), lambda r: r["_rows"] > 0)).alias("_r")
+    return days.select(*DAY_KEYS, seen).select(*DAY_KEYS, "_r.*")
 
 
 def aggregate_readings(
@@ -163,7 +182,9 @@ def aggregate_readings(
 
     clean = normalize_readings(readings)
     base = attach_tariff(clean, tariff)
-    x = expand_price(add_period(base, freq), use_price, holidays)
+    single = add_period(base, freq)
+    single = add_price_period(single, holidays) if use_price else single.withColumn("price", F.lit("all"))
+    prices = ["high", "low"] if use_price else ["all"]
 
     need_peaks = "top3_mean" in methods
     day_methods = [m for m in methods if m in ("sum", "mean", "max", "variance", "top3_mean")]
@@ -171,7 +192,7 @@ def aggregate_readings(
 
     result = None
     if day_methods:
-        daily = day_partials(x, need_peaks).repartition("aID")
+        daily = _price_rows(day_partials(single, prices, need_peaks).repartition("aID"), prices, need_peaks)
         # one partitioning and one ordering for both window columns: Spark
         # evaluates them in a single Window operator over one sort
         w_rank = Window.partitionBy(*GROUP_KEYS).orderBy(F.col("_pk").asc()) if need_peaks else None
@@ -214,7 +235,7 @@ def aggregate_readings(
             qexprs.append(
                 _quantile_expr("FORBRUKNING_KWH", q, quantile_mode, quantile_accuracy).alias(f"{m}_consumption")
             )
-        qres = x.groupBy(*GROUP_KEYS).agg(*qexprs)
+        qres = expand_price(add_period(base, freq), use_price, holidays).groupBy(*GROUP_KEYS).agg(*qexprs)
         result = qres if result is None else result.join(qres, GROUP_KEYS, "left")
 
     result = result.select(*GROUP_KEYS, *out_cols).withColumnRenamed("period", "TIDPUNKT")
@@ -237,11 +258,12 @@ def aggregate_readings(
 
 def run(readings: DataFrame, tariff: DataFrame | None = None, freq: str = "month",
         agg_method="top3_mean", use_price: bool = True, add_user_group_col=None,
-        table_name: str | None = None, mode: str = "overwrite", fmt: str = "parquet", **kw) -> DataFrame:
+        table_name: str | None = None, mode: str = "overwrite", fmt: str = "parquet",
+        table_path: str | None = None, **kw) -> DataFrame:
     """A16 with the optional table sink."""
     result = aggregate_readings(readings, tariff, freq, agg_method, use_price, add_user_group_col, **kw)
     if table_name is not None:
         from kwhlens.sources.sinks import save_table
 
-        save_table(result, table_name, fmt=fmt, mode=mode)
+        save_table(result, table_name, fmt=fmt, mode=mode, path=table_path)
     return result

@@ -21,13 +21,8 @@ from kwhlens.operators.profiles import (
 SMD_THRESHOLD = 0.1
 
 
-def smd(mean_t, mean_c, var_t, var_c) -> Column:
-    """Signed standardised mean difference, NULL when the pooled sd is 0/NULL."""
-    return safe_div(mean_t - mean_c, F.sqrt((var_t + var_c) / 2.0))
-
-
 def _smd_sql(tm: str, cm: str, tv: str, cv: str) -> str:
-    """B4 as SQL text (same arithmetic as :func:`smd`)."""
+    """Signed standardised mean difference as SQL text, NULL when the pooled sd is 0 or NULL."""
     den = f"sqrt(({tv} + {cv}) / 2.0)"
     return f"try_divide({tm} - {cm}, CASE WHEN {den} != 0 THEN {den} END)"
 

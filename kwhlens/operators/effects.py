@@ -178,6 +178,25 @@ def run_full_analysis(panel: DataFrame, outcome_col: str = OUTCOME, pre_start: i
     return out
 
 
+# File names of the saved result tables, and the result each holds.
+GROUP_RESULT_NAMES = {
+    "overall_dynamic": "overall", "cohort_dynamic": "cohort", "att_overall": "att_all",
+    "att_by_cohort": "att_by_cohort_all", "pretrend_test": "pretrend", "att_overall_all_post": "att_all",
+    "att_overall_first_3m": "att_3m", "att_by_cohort_all_post": "att_by_cohort_all",
+    "att_by_cohort_first_3m": "att_by_cohort_3m",
+}
+PAIR_RESULT_NAMES = {
+    "overall_pair_dynamic": "overall", "cohort_pair_dynamic": "cohort", "pretrend_test": "pretrend",
+    "att_overall_all_post": "att_all", "att_overall_first_3m": "att_3m",
+    "att_by_cohort_all_post": "att_by_cohort_all", "att_by_cohort_first_3m": "att_by_cohort_3m",
+}
+
+
+def named_results(results: dict[str, DataFrame], pairs: bool = False) -> dict[str, DataFrame]:
+    """The nine group-mean or seven pair-level tables under the names they are saved by."""
+    return {name: results[key] for name, key in (PAIR_RESULT_NAMES if pairs else GROUP_RESULT_NAMES).items()}
+
+
 def histogram(df: DataFrame, value_col: str, keys: Sequence[str], bins: int) -> DataFrame:
     """Equal-width histogram per key group, numpy semantics: range [min, max]
     (±0.5 when constant), last bin closed, every bin reported (zero-filled).

@@ -15,8 +15,8 @@ not by the data.  Residual = (x − b_t) − weighted entity mean of (x − b_t)
 Distribution:
 1. panel rows are hash-partitioned by (group, entity) and sorted; a
    ``mapInPandas`` pass turns each complete entity into its contribution to
-   M and R with numpy (dense per-chunk matrices, one batch at a time) and
-   emits only T² + T·p partial sums per partition;
+   M and R with numpy, folds them batch by batch into one group's running
+   matrices, and emits only T² + T·p sums per partition and group;
 2. partial sums are summed by Spark; one ``applyInPandas`` per group solves
    with a pseudo-inverse (group input ≤ T² rows);
 3. b is broadcast back (≤ groups × T rows), entity means are a window over
@@ -42,6 +42,8 @@ from kwhlens.functions.stats import normal_two_sided_p
 
 CI_Z = 1.96
 PINV_RCOND = 1e-10
+#: Treated units that a cohort needs to be fitted on its own.
+MIN_TREATED = 30
 _SEP = "\x1f"
 
 
@@ -55,51 +57,73 @@ def weighted_group_mean(df: DataFrame, cols: Sequence[str], group_col: str, weig
 
 
 # --------------------------------------------------------------------------- D2
+class _TimeSums:
+    """Running M (T x T) and R (T x p) of one group; T grows to the group's months."""
+
+    def __init__(self, group: str, p: int):
+        self.group, self.at = group, {}
+        self.M, self.R = np.zeros((0, 0)), np.zeros((0, p))
+
+    def add(self, times: np.ndarray, M: np.ndarray, R: np.ndarray) -> None:
+        idx = [self.at.setdefault(t, len(self.at)) for t in times]
+        more = len(self.at) - len(self.M)
+        if more:
+            self.M, self.R = np.pad(self.M, ((0, more), (0, more))), np.pad(self.R, ((0, more), (0, 0)))
+        self.M[np.ix_(idx, idx)] += M
+        self.R[idx] += R
+
+    def frame(self) -> pd.DataFrame:
+        times = np.array(list(self.at))
+        i, j = np.nonzero(self.M)
+        t, c = np.indices(self.R.shape).reshape(2, -1)
+        return pd.DataFrame({
+            "_g": self.group, "kind": ["M"] * len(i) + ["R"] * len(t), "a": np.concatenate([times[i], times[t]]),
+            "b": np.concatenate([times[j], c.astype(str)]), "v": np.concatenate([self.M[i, j], self.R[t, c]])})
+
+
 def _fe_partials_fn(p: int):
     """mapInPandas body: complete entities → partial M / R sums per group."""
 
-    def process(chunk: pd.DataFrame, acc: list):
-        for g, part in chunk.groupby("_g", sort=False):
-            ent, e_idx = np.unique(part["_e"].to_numpy(), return_inverse=True)
-            tim, t_idx = np.unique(part["_t"].to_numpy(), return_inverse=True)
-            E, Tn = len(ent), len(tim)
-            w = part["_w"].to_numpy(dtype=float)
-            S = np.zeros((E, Tn))
-            np.add.at(S, (e_idx, t_idx), w)
-            Sx = np.zeros((E, Tn, p))
-            for j in range(p):
-                np.add.at(Sx[:, :, j], (e_idx, t_idx), w * part[f"_x{j}"].to_numpy(dtype=float))
-            W = S.sum(axis=1)
-            X = Sx.sum(axis=1)  # E x p
-            A = S / np.sqrt(W)[:, None]
-            M = np.diag(S.sum(axis=0)) - A.T @ A
-            R = Sx.sum(axis=0) - S.T @ (X / W[:, None])
-            ii, jj = np.nonzero(M)
-            acc.append(pd.DataFrame({"_g": g, "kind": "M", "a": tim[ii], "b": tim[jj].astype(str),
-                                     "v": M[ii, jj]}))
-            tt, cc = np.meshgrid(np.arange(Tn), np.arange(p), indexing="ij")
-            acc.append(pd.DataFrame({"_g": g, "kind": "R", "a": tim[tt.ravel()], "b": cc.ravel().astype(str),
-                                     "v": R.ravel()}))
+    def add(part: pd.DataFrame, sums: _TimeSums) -> None:
+        ent, e_idx = np.unique(part["_e"].to_numpy(), return_inverse=True)
+        tim, t_idx = np.unique(part["_t"].to_numpy(), return_inverse=True)
+        E, Tn = len(ent), len(tim)
+        w = part["_w"].to_numpy(dtype=float)
+        S = np.zeros((E, Tn))
+        np.add.at(S, (e_idx, t_idx), w)
+        Sx = np.zeros((E, Tn, p))
+        for j in range(p):
+            np.add.at(Sx[:, :, j], (e_idx, t_idx), w * part[f"_x{j}"].to_numpy(dtype=float))
+        W = S.sum(axis=1)
+        X = Sx.sum(axis=1)  # E x p
+        A = S / np.sqrt(W)[:, None]
+        sums.add(tim, np.diag(S.sum(axis=0)) - A.T @ A, Sx.sum(axis=0) - S.T @ (X / W[:, None]))
 
     def fn(it):
-        acc: list = []
-        carry = None
+        # rows come sorted by group and entity: one group's sums at a time
+        sums, carry = None, None
         for pdf in it:
             if carry is not None and len(carry):
                 pdf = pd.concat([carry, pdf], ignore_index=True)
             if pdf.empty:
                 continue
-            last = (pdf["_g"].iloc[-1], pdf["_e"].iloc[-1])
-            tail = (pdf["_g"] == last[0]) & (pdf["_e"] == last[1])
+            tail = (pdf["_g"] == pdf["_g"].iloc[-1]) & (pdf["_e"] == pdf["_e"].iloc[-1])
             carry = pdf[tail]
-            done = pdf[~tail]
-            if len(done):
-                process(done, acc)
+            for g, part in pdf[~tail].groupby("_g", sort=False):
+                if sums is not None and sums.group != g:
+                    yield sums.frame()
+                    sums = None
+                sums = sums or _TimeSums(g, p)
+                add(part, sums)
         if carry is not None and len(carry):
-            process(carry, acc)
-        if acc:
-            out = pd.concat(acc, ignore_index=True)
-            yield out.groupby(["_g", "kind", "a", "b"], as_index=False)["v"].sum()
+            g = carry["_g"].iloc[0]
+            if sums is not None and sums.group != g:
+                yield sums.frame()
+                sums = None
+            sums = sums or _TimeSums(g, p)
+            add(carry, sums)
+        if sums is not None:
+            yield sums.frame()
 
     return fn
 
@@ -319,6 +343,10 @@ def _attach_groups(res: DataFrame, keyed: DataFrame, group_cols: Sequence[str])
     return res.join(F.broadcast(groups), "_g").drop("_g")
 
 
+def _of_cohorts(panel: DataFrame, cohorts: Sequence[str] | None) -> DataFrame:
+    return panel if cohorts is None else panel.where(F.col("cohort_id").isin(list(cohorts)))
+
+
 def _cohort_stats(df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return df.groupBy("_g").agg(
         F.count_distinct(F.when(F.col("treatment") == 1, F.col("aID"))).alias("n_treated"),
@@ -334,10 +362,14 @@ def fit_basic_did(
     time_col: str = "month_id",
     weight_col: str = "match_weight",
     cluster_col: str = "aID",
-    min_treated: int | None = None,
+    min_treated: int | None = MIN_TREATED,
     persist: str = "table",
+    cohorts: Sequence[str] | None = None,
 ) -> DataFrame:
-    """D3 (pooled) / D4 (``group_cols=['cohort_id']``, ``min_treated``): ``Y = α_i + λ_t + βD``.
+    """D3 (pooled) / D4 (``group_cols`` with ``cohort_id``): ``Y = α_i + λ_t + βD``.
+
+    By cohort, cohorts with fewer than ``min_treated`` treated units are left out
+    (None keeps all); ``cohorts`` restricts the panel to some cohort ids.
 
     Output: ``[group cols,] outcome, coef, std_error, p_value, ci_lower,
     ci_upper, [n_treated, n_periods,] n_obs, n_entities``.
@@ -346,12 +378,13 @@ def fit_basic_did(
 
     cols = list(dict.fromkeys([*group_cols, outcome_col, "D", "treatment", "aID", "month_id", entity_col, time_col,
                                weight_col, cluster_col]))
-    keyed = materialize(_group_key(panel.select(*cols), group_cols), persist)
+    least = min_treated if "cohort_id" in group_cols else None
+    keyed = materialize(_group_key(_of_cohorts(panel, cohorts).select(*cols), group_cols), persist)
     extra: list[str] = []
     data = keyed
-    if min_treated is not None:
+    if least is not None:
         cs = _cohort_stats(keyed, group_cols)
-        keep = cs.where(F.col("n_treated") >= min_treated)
+        keep = cs.where(F.col("n_treated") >= least)
         data = keyed.join(F.broadcast(keep.select("_g")), "_g", "left_semi")
         extra = ["n_treated", "n_periods"]
     res = twfe_wls(data, outcome_col, ["D"], "_g", entity_col, time_col, weight_col, cluster_col, persist=persist,
@@ -368,10 +401,6 @@ def event_terms(event_window=(-12, 12), reference: int = -1) -> list[int]:
     return [k for k in range(event_window[0], event_window[1] + 1) if k != reference]
 
 
-def _term_name(k: int) -> str:
-    return f"event_{k}"
-
-
 def make_event_dummies(panel: DataFrame, event_window=(-12, 12), reference: int = -1,
                        event_col: str = "event_time", treatment_col: str = "treatment") -> DataFrame:
     """Keep rows inside the window; ``event_k = 1(event_time = k ∧ treated)``."""
@@ -393,14 +422,16 @@ def fit_event_study(
     time_col: str = "month_id",
     weight_col: str = "match_weight",
     cluster_col: str = "aID",
-    min_treated: int | None = None,
+    min_treated: int | None = MIN_TREATED,
     persist: str = "table",
+    cohorts: Sequence[str] | None = None,
 ) -> DataFrame:
-    """D6 (pooled) / D7 (``group_cols=['cohort_id']``): event-time coefficients.
+    """D6 (pooled) / D7 (``group_cols`` with ``cohort_id``): event-time coefficients.
 
     Dummies with zero sum or zero variance in a group are not reported (the
     reference drops them before fitting; an all-zero column does not change
-    the other estimates).  Groups without any valid dummy produce no rows.
+    the other estimates).  Groups without any valid dummy produce no rows; a
+    pooled fit without any raises ``ValueError``.  ``min_treated`` and ``cohorts`` as in the basic fit.
     Output: ``[group cols, n_treated,] outcome, event_time, coef, std_error,
     p_value, ci_lower, ci_upper``.
     """
@@ -409,11 +440,12 @@ def fit_event_study(
     ks = event_terms(event_window, reference)
     cols = list(dict.fromkeys([*group_cols, outcome_col, "event_time", "treatment", "aID", "month_id", "D",
                                entity_col, time_col, weight_col, cluster_col]))
-    keyed = materialize(_group_key(panel.select(*cols), group_cols), persist)
+    least = min_treated if "cohort_id" in group_cols else None
+    keyed = materialize(_group_key(_of_cohorts(panel, cohorts).select(*cols), group_cols), persist)
     data = keyed
-    if min_treated is not None:
+    if least is not None:
         cs = _cohort_stats(keyed, group_cols)
-        data = keyed.join(F.broadcast(cs.where(F.col("n_treated") >= min_treated).select("_g")), "_g", "left_semi")
+        data = keyed.join(F.broadcast(cs.where(F.col("n_treated") >= least).select("_g")), "_g", "left_semi")
     data = make_event_dummies(data, event_window, reference)
     data = data.dropna(subset=[outcome_col, entity_col, time_col, weight_col, cluster_col])
     regs = [f"_ev_{i}" for i in range(len(ks))]
@@ -423,6 +455,8 @@ def fit_event_study(
         data.groupBy("_g").agg(F.expr(f"filter(array({flags}), x -> x IS NOT NULL)").alias("_terms"))
         .select("_g", F.explode("_terms").alias("term"))
     )
+    if not group_cols and valid.isEmpty():
+        raise ValueError(f"no event time in {tuple(event_window)} has treated rows that vary")
     # the K dummy columns are materialised before residualising: it keeps the
     # optimiser from propagating null constraints through K aliased columns
     res = twfe_wls(data, outcome_col, regs, "_g", entity_col, time_col, weight_col, cluster_col,
@@ -430,7 +464,7 @@ def fit_event_study(
     kmap = F.create_map(*[x for i, k in enumerate(ks) for x in (F.lit(f"_ev_{i}"), F.lit(k))])
     res = res.withColumn("event_time", kmap[F.col("term")])
     extra = []
-    if min_treated is not None:
+    if least is not None:
         res = res.join(F.broadcast(cs.select("_g", "n_treated")), "_g")
         extra = ["n_treated"]
     res = _attach_groups(res, keyed, group_cols)

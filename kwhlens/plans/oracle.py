@@ -189,12 +189,3 @@ def t_two_sided_p_sql(t: str, df: str) -> str:
         f"(CASE WHEN {t} IS NULL OR {df} IS NULL OR {df} < 1 THEN NULL "
         f"WHEN {df} % 2 = 0 THEN 1.0 - {a_even} ELSE 1.0 - {a_odd} END)"
     )
-
-
-def round_cols(sql: str, cols, digits: int = 6, date_cols=()) -> str:
-    """Wrap a statement: named DOUBLE columns rounded, DATE columns as TIMESTAMP."""
-    reps = [f"round({c}, {digits}) AS {c}" for c in cols]
-    reps += [f"CAST({c} AS TIMESTAMP) AS {c}" for c in date_cols]
-    if not reps:
-        return sql
-    return f"SELECT * REPLACE ({', '.join(reps)}) FROM (\n{sql}\n) q"

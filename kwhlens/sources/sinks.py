@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def save_table(df: DataFrame, table_name: str, fmt: str = "parquet", mode: str = "overwrite",
-               partition_by: list[str] | None = None) -> None:
-    """Managed table sink (``delta`` when the format is installed)."""
+               partition_by: list[str] | None = None, path: str | None = None) -> None:
+    """Table sink (``delta`` when the format is installed); with ``path`` the table is external."""
     w = df.write.format(fmt).mode(mode)
+    if path is not None:
+        w = w.option("path", path)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(table_name)
