@@ -51,25 +51,26 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    ``spark.checkpoint.dir`` comes first, then the folder that the caller gave
-    to ``SparkContext.setCheckpointDir``; neither is changed.  A ``local``
+    A folder that is set (by ``spark.checkpoint.dir`` when the session began, or by
+    the caller's ``SparkContext.setCheckpointDir``) is kept, else the setting is
+    read and set.  A ``local``
     session without both (tests) gets a scratch folder of its own; any other
     session without both raises ``ValueError``, because executors do not see
     the driver's local disk.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
+    if folder := sc.getCheckpointDir():
+        return folder
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        sc.setCheckpointDir(named)
+        return sc.getCheckpointDir()
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = sc.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="kwhlens-ckpt-")
     sc.setCheckpointDir(_LOCAL_FOLDERS[app])
-    return _LOCAL_FOLDERS[app]
+    return sc.getCheckpointDir()
 
 
 class Scratch:
