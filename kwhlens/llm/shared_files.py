@@ -14,6 +14,8 @@ from pyarrow import fs
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    if uri.startswith("file:/") and not uri.startswith("file://"):  # as Hadoop writes it
+        uri = "file://" + uri.removeprefix("file:")
     system, path = fs.FileSystem.from_uri(uri)
     return system, path.rstrip("/")
 
