@@ -68,17 +68,13 @@ def main():
 
     def q_l1():
         risk = prepare_matching_data(mr().where("price = 'all'"), lookback_months=12)
-        res = L.run_summary_matching(risk, summary_vars=L.SUMMARY_4, persist="cache")
+        res = L.run_summary_matching(risk, summary_vars=L.SUMMARY_4)
         run_noop(res["matches"], res["balance"], res["balance_by_ti"])
-        res["profiles"].unpersist()
-        res["matches"].unpersist()
 
     def q_l3():
         risk = prepare_matching_data(mr(), lookback_months=24, price_value="high")
-        res = L.run_calendar_matching(risk, lookback_years=2, k_neighbors=5, persist="cache")
+        res = L.run_calendar_matching(risk, lookback_years=2, k_neighbors=5)
         run_noop(res["matches"], res["balance"], res["balance_by_ti"])
-        res["profiles"].unpersist()
-        res["matches"].unpersist()
 
     # matches for stages 3-4 (written once, outside the timings)
     risk = prepare_matching_data(mr().where("price = 'all'"), lookback_months=12)
