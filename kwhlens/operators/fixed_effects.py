@@ -21,8 +21,10 @@ Distribution:
    with a pseudo-inverse (group input ≤ T² rows);
 3. b is broadcast back (≤ groups × T rows), entity means are a window over
    (group, entity) — bounded by months per entity;
-4. WLS: Gram matrix and X'Wy as one aggregate per group, β solved per group,
-   cluster scores ``Σ w·x̃·e`` per (group, cluster), meat as one aggregate.
+4. WLS: the first pass also sums the within-entity cross products Q of [y, x], so the
+   Gram matrix after both effects is Q − Rᵀb and β is solved per group without a
+   table of residuals; a second pass over the same partitions makes the cluster
+   scores ``Σ w·x̃·e``, whose products are summed to the meat.
 
 Cluster-robust variance follows the public statsmodels defaults for
 ``WLS(...).fit(cov_type='cluster')``: V = c·G⁻¹ (Σ_g s_g s_gᵀ) G⁻¹ with
@@ -31,10 +33,12 @@ c = n_clusters/(n_clusters−1) · (N−1)/(N−K), normal p-values, ±1.96·se.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,17 +214,6 @@ def _sym(v, K: int) -> np.ndarray:
     return A + A.T - np.diag(np.diag(A))
 
 
-def _gram_solve_fn(K: int):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            beta = np.linalg.pinv(_sym(r["gram"], K), rcond=PINV_RCOND) @ np.asarray(r["xty"], dtype=float)
-            rows.append({"_g": r["_g"], "beta": beta.tolist()})
-        return pd.DataFrame(rows, columns=["_g", "beta"])
-
-    return solve
-
-
 def _cov_fn(K: int):
     def cov(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -236,6 +229,146 @@ def _cov_fn(K: int):
     return cov
 
 
+def _whole_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of complete entities from batches sorted by group and entity."""
+    carry = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if carry is not None:
+            t = pa.concat_tables([carry, t])
+        if not t.num_rows:
+            continue
+        last = pc.and_(pc.equal(t["_g"], t["_g"][-1]), pc.equal(t["_e"], t["_e"][-1]))
+        others = np.flatnonzero(~last.to_numpy())
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut:
+            yield t.slice(0, cut)
+        carry = t.slice(cut)
+    if carry is not None and carry.num_rows:
+        yield carry
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Start of every run of equal values in all columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _design(t: pa.Table, K: int, one_hot: bool) -> np.ndarray:
+    """Outcome and K regressors of each row; one-hot regressors come as the index of the one that is 1 (or -1)."""
+    X = np.zeros((t.num_rows, K + 1))
+    X[:, 0] = t["_y"].to_numpy()
+    if one_hot:
+        k = t["_k"].to_numpy()
+        rows = np.flatnonzero(k >= 0)
+        X[rows, 1 + k[rows]] = 1.0
+    else:
+        for j in range(K):
+            X[:, 1 + j] = t[f"_x{j}"].to_numpy()
+    return X
+
+
+class _NormalSums(_TimeSums):
+    """Also Q = within-entity cross products of [y, x], and the counts of rows, entities and non-zero regressors."""
+
+    def __init__(self, group: str, p: int):
+        super().__init__(group, p)
+        self.Q, self.count = np.zeros((p, p)), np.zeros(p + 1)
+
+    def frame(self) -> pd.DataFrame:
+        i, j = np.indices(self.Q.shape).reshape(2, -1)
+        more = pd.DataFrame({
+            "_g": self.group, "kind": ["Q"] * len(i) + ["C"] * len(self.count),
+            "a": np.concatenate([i, np.arange(len(self.count))]).astype(str),
+            "b": np.concatenate([j, np.zeros(len(self.count), int)]).astype(str),
+            "v": np.concatenate([self.Q[i, j], self.count])})
+        return pd.concat([super().frame(), more], ignore_index=True)
+
+
+def _normal_map(K: int, one_hot: bool):
+    """Sums of the normal equations of [time effects, y, x] after taking out the entity effects."""
+
+    def fn(batches):
+        sums = None
+        for table in _whole_entities(batches):
+            g = table["_g"].to_numpy()
+            edge = [*_runs(g).tolist(), len(g)]
+            for a, b in zip(edge, edge[1:]):
+                if sums is not None and sums.group != g[a]:
+                    yield pa.RecordBatch.from_pandas(sums.frame(), preserve_index=False)
+                    sums = None
+                sums = sums or _NormalSums(g[a], K + 1)
+                t = table.slice(a, b - a)
+                w, X = t["_w"].to_numpy(), _design(t, K, one_hot)
+                start = _runs(t["_e"].to_numpy())
+                ent = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w))))
+                tim, at = np.unique(t["_t"].to_numpy().astype(str), return_inverse=True)
+                S = np.zeros((len(start), len(tim)))
+                np.add.at(S, (ent, at), w)
+                W, WX = S.sum(1), np.add.reduceat(w[:, None] * X, start, axis=0)
+                by_time = np.zeros((len(tim), K + 1))
+                np.add.at(by_time, at, w[:, None] * X)
+                A = S / np.sqrt(W)[:, None]
+                sums.add(tim, np.diag(S.sum(0)) - A.T @ A, by_time - S.T @ (WX / W[:, None]))
+                sums.Q += (w[:, None] * X).T @ X - WX.T @ (WX / W[:, None])
+                sums.count += [len(w), *np.count_nonzero(X[:, 1:], axis=0), len(start)]
+        if sums is not None:
+            yield pa.RecordBatch.from_pandas(sums.frame(), preserve_index=False)
+
+    return fn
+
+
+def _normal_solve(K: int):
+    """One group's time effects b (T x (K + 1)), coefficients, Gram matrix and counts."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = {k: d for k, d in pdf.groupby("kind")}
+        times = np.unique(part["R"]["a"].to_numpy().astype(str))
+        at = {t: i for i, t in enumerate(times)}
+        M, R, Q = np.zeros((len(times),) * 2), np.zeros((len(times), K + 1)), np.zeros((K + 1, K + 1))
+        for x, rows, cols in ((M, at.get, at.get), (R, at.get, int), (Q, int, int)):
+            d = part.get("M" if x is M else "R" if x is R else "Q", pdf[:0])
+            x[[rows(a) for a in d["a"]], [cols(b) for b in d["b"]]] = d["v"].to_numpy()
+        b = np.linalg.pinv(M, rcond=PINV_RCOND) @ R
+        G = Q - R.T @ b
+        G = (G + G.T) / 2
+        beta = np.linalg.pinv(G[1:, 1:], rcond=PINV_RCOND) @ G[1:, 0]
+        c = part["C"].set_index("a")["v"]
+        n, ones = float(c["0"]), np.array([c[str(k + 1)] for k in range(K)])
+        return pd.DataFrame([{
+            "_g": pdf["_g"].iloc[0], "times": times.tolist(), "effects": b.tolist(), "beta": beta.tolist(),
+            "gram": G[1:, 1:][np.triu_indices(K)].tolist(), "varies": ((ones > 0) & (ones < n)).tolist(),
+            "n_obs": int(n), "n_entities": int(c[str(K + 1)])}])
+
+    return solve
+
+
+def _score_map(K: int, one_hot: bool):
+    """(group, cluster, score): sums of w * x~ * e over each entity's rows of a cluster."""
+
+    def fn(batches):
+        for t in _whole_entities(batches):
+            g, e, c, w = (t[x].to_numpy() for x in ("_g", "_e", "_c", "_w"))
+            flat = t.combine_chunks()
+            X = _design(t, K, one_hot) - pc.list_flatten(flat["_b"]).to_numpy().reshape(-1, K + 1)
+            beta = pc.list_flatten(flat["_beta"]).to_numpy().reshape(-1, K)
+            start = _runs(g, e)
+            size = np.diff(np.append(start, len(w)))
+            mean = np.add.reduceat(w[:, None] * X, start, axis=0) / np.add.reduceat(w, start)[:, None]
+            X = X - np.repeat(mean, size, axis=0)
+            u = X[:, 0] - (X[:, 1:] * beta).sum(1)
+            part = _runs(g, e, c)
+            s = np.add.reduceat((w * u)[:, None] * X[:, 1:], part, axis=0)
+            yield pa.RecordBatch.from_pydict({
+                "_g": pa.array(g[part].tolist(), pa.string()), "_c": pa.array(c[part].tolist(), pa.string()),
+                "_s": pa.array(s.tolist(), pa.list_(pa.float64()))})
+
+    return fn
+
+
 def twfe_wls(
     data: DataFrame,
     outcome_col: str,
@@ -245,79 +378,55 @@ def twfe_wls(
     time_col: str = "month_id",
     weight_col: str = "match_weight",
     cluster_col: str = "aID",
-    valid: DataFrame | None = None,
-    persist: str = "table",
-    input_persist: str = "table",
+    one_hot: str | None = None,
 ) -> DataFrame:
-    """Residualise on entity/time effects, WLS of y on regressors, cluster-robust se.
-
-    ``input_persist`` cuts the lineage of the input (read twice: partial sums
-    and the join back); callers whose input is already a cheap projection of
-    a materialised table pass ``'none'``.
-
-    ``valid`` (optional): rows ``(group_key, term)`` listing the regressors to
-    report per group; others are still in the model (all-zero columns do not
-    change the estimates) but are dropped from the output and from K.
+    """WLS of y on regressors with entity and time effects, cluster-robust standard errors; one lazy plan.
+
+    The regressors are numeric columns or, with ``one_hot``, the 0/1 columns
+    that this integer column stands for (their index, or -1 for none); terms that
+    never or always are 1 in a group are then left out of the result and of K.
+    Rows with a missing value are dropped.  Two passes over the rows (partitioned once by group and
+    entity): the first sums the normal equations, the second the cluster scores; neither
+    dummies nor residuals are stored.
     Output: ``group_key, term, coef, std_error, p_value, ci_lower, ci_upper,
     n_obs, n_entities``.
     """
-    from kwhlens.session import materialize
-
-    regs = list(regressors)
-    K = len(regs)
+    regs, K, hot = list(regressors), len(regressors), one_hot is not None
+    xs = [F.col(one_hot).cast("int").alias("_k")] if hot else [
+        F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(regs)]
+    rows = data.select(
+        F.col(group_key).alias("_g"), F.col(entity_col).cast("string").alias("_e"),
+        F.col(time_col).cast("string").alias("_t"), F.col(weight_col).cast("double").alias("_w"),
+        F.col(cluster_col).cast("string").alias("_c"), F.col(outcome_col).cast("double").alias("_y"), *xs,
+    ).dropna().repartition("_g", "_e")
+    order = ["_g", "_e", "_c"]
+    sums = rows.sortWithinPartitions(*order).mapInArrow(_normal_map(K, hot), "_g string, kind string, a string, b string, v double").groupBy(
+        "_g", "kind", "a", "b").agg(F.sum("v").alias("v"))
+    # one row per group; its arrays are bounded by the calendar and the regressors
+    solved = sums.groupBy("_g").applyInPandas(
+        _normal_solve(K), "_g string, times array<string>, effects array<array<double>>, beta array<double>, "
+                          "gram array<double>, varies array<boolean>, n_obs long, n_entities long")
+    effects = solved.select("_g", "beta", F.explode(F.arrays_zip("times", "effects")).alias("z")).select(
+        "_g", F.col("z.times").alias("_t"), F.col("z.effects").alias("_b"), F.col("beta").alias("_beta"))
+    # sorted behind the join: the optimizer drops a sort in front of one
+    scored = rows.join(F.broadcast(effects), ["_g", "_t"]).sortWithinPartitions(*order).mapInArrow(
+        _score_map(K, hot), "_g string, _c string, _s array<double>")
     pairs = _upper_pairs(K)
-    data = data.dropna(subset=[outcome_col, entity_col, time_col, weight_col, cluster_col, *regs])
-    data = materialize(
-        data.select(group_key, entity_col, time_col, weight_col, cluster_col, outcome_col, *regs), input_persist
-    )
-    res = residualize_twfe(data, [outcome_col, *regs], entity_col, time_col, weight_col, group_key)
-    res = materialize(
-        res.selectExpr(group_key, entity_col, cluster_col, f"CAST(`{weight_col}` AS DOUBLE) AS _w",
-                       f"`{outcome_col}__r` AS _y", *[f"`{c}__r` AS _r{k}" for k, c in enumerate(regs)]),
-        persist,
-    )
-    # Gram (upper triangle, symmetric) and X'Wy as single SQL array expressions
-    gram = F.expr("array(" + ", ".join(f"sum(_w * _r{k} * _r{m})" for k, m in pairs) + ")")
-    xty = F.expr("array(" + ", ".join(f"sum(_w * _r{k} * _y)" for k in range(K)) + ")")
-    stats = res.groupBy(group_key).agg(
-        gram.alias("gram"), xty.alias("xty"),
-        F.count(F.lit(1)).alias("n_obs"), F.count_distinct(entity_col).alias("n_entities"),
-    )
-    beta = (
-        stats.select(F.col(group_key).alias("_g"), "gram", "xty")
-        .groupBy("_g").applyInPandas(_gram_solve_fn(K), "_g string, beta array<double>")
-        .withColumnRenamed("_g", group_key)
-    )
-    # one row per group: broadcast
-    fitted = " + ".join(f"beta[{k}] * _r{k}" for k in range(K))
-    e = res.join(F.broadcast(beta), group_key).withColumn("_e", F.expr(f"_y - ({fitted})"))
-    # cluster scores s_g = Σ w·x̃·e (one row per cluster), meat = Σ_g s_g s_gᵀ
-    scores = e.groupBy(group_key, cluster_col).agg(
-        F.expr("array(" + ", ".join(f"sum(_w * _r{k} * _e)" for k in range(K)) + ")").alias("_s")
-    )
-    meat = scores.groupBy(group_key).agg(
+    scores = scored.groupBy("_g", "_c").agg(
+        F.expr("array(" + ", ".join(f"sum(_s[{k}])" for k in range(K)) + ")").alias("_s"))
+    meat = scores.groupBy("_g").agg(
         F.expr("array(" + ", ".join(f"sum(_s[{k}] * _s[{m}])" for k, m in pairs) + ")").alias("meat"),
-        F.count(F.lit(1)).alias("n_clusters"),
-    )
-    if valid is not None:
-        kp = valid.groupBy(group_key).agg(F.count(F.lit(1)).alias("k_params"))
-    else:
-        kp = stats.select(group_key).withColumn("k_params", F.lit(K).cast("long"))
-    cov_in = stats.join(meat, group_key).join(kp, group_key)
-    ses = (
-        cov_in.select(F.col(group_key).alias("_g"), "gram", "meat", "n_obs", "n_clusters", "k_params")
-        .groupBy("_g").applyInPandas(_cov_fn(K), "_g string, se array<double>")
-        .withColumnRenamed("_g", group_key)
-    )
-    out = stats.select(group_key, "n_obs", "n_entities").join(beta, group_key).join(ses, group_key)
-    terms = F.explode(F.arrays_zip(F.array(*[F.lit(r) for r in regs]).alias("term"),
-                                   F.col("beta").alias("coef"), F.col("se").alias("std_error")))
-    long = out.select(group_key, "n_obs", "n_entities", terms.alias("_z")).select(
-        group_key, F.col("_z.term").alias("term"), F.col("_z.coef").alias("coef"),
-        F.col("_z.std_error").alias("std_error"), "n_obs", "n_entities",
-    )
-    if valid is not None:
-        long = long.join(valid, [group_key, "term"], "left_semi")
+        F.count(F.lit(1)).alias("n_clusters"))
+    k_params = F.size(F.filter("varies", lambda v: v)).cast("long") if hot else F.lit(K).cast("long")
+    out = solved.withColumn("k_params", k_params).join(meat, "_g")
+    ses = out.select("_g", "gram", "meat", "n_obs", "n_clusters", "k_params").groupBy("_g").applyInPandas(
+        _cov_fn(K), "_g string, se array<double>")
+    zipped = F.explode(F.arrays_zip(
+        F.array(*[F.lit(r) for r in regs]).alias("term"), F.col("beta").alias("coef"), F.col("se").alias("std_error"),
+        F.col("varies").alias("varies"))).alias("_z")
+    long = out.join(ses, "_g").select("_g", "n_obs", "n_entities", zipped).where(
+        F.col("_z.varies") if hot else F.lit(True)).select(
+        F.col("_g").alias(group_key), "_z.term", "_z.coef", "_z.std_error", "n_obs", "n_entities")
     se = F.col("std_error")
     return long.select(
         group_key, "term", "coef", "std_error",
@@ -387,8 +496,7 @@ def fit_basic_did(
         keep = cs.where(F.col("n_treated") >= least)
         data = keyed.join(F.broadcast(keep.select("_g")), "_g", "left_semi")
         extra = ["n_treated", "n_periods"]
-    res = twfe_wls(data, outcome_col, ["D"], "_g", entity_col, time_col, weight_col, cluster_col, persist=persist,
-                   input_persist="none")
+    res = twfe_wls(data, outcome_col, ["D"], "_g", entity_col, time_col, weight_col, cluster_col)
     if extra:
         res = res.join(F.broadcast(cs), "_g")
     res = _attach_groups(res, keyed, group_cols)
@@ -446,23 +554,16 @@ def fit_event_study(
     if least is not None:
         cs = _cohort_stats(keyed, group_cols)
         data = keyed.join(F.broadcast(cs.where(F.col("n_treated") >= least).select("_g")), "_g", "left_semi")
-    data = make_event_dummies(data, event_window, reference)
-    data = data.dropna(subset=[outcome_col, entity_col, time_col, weight_col, cluster_col])
-    regs = [f"_ev_{i}" for i in range(len(ks))]
-    # validity per group: sum > 0 and sample variance > 0 (≤ groups × K rows)
-    flags = ", ".join(f"IF(sum({r}) > 0 AND var_samp({r}) > 0, '{r}', NULL)" for r in regs)
-    valid = (
-        data.groupBy("_g").agg(F.expr(f"filter(array({flags}), x -> x IS NOT NULL)").alias("_terms"))
-        .select("_g", F.explode("_terms").alias("term"))
-    )
-    if not group_cols and valid.isEmpty():
-        raise ValueError(f"no event time in {tuple(event_window)} has treated rows that vary")
-    # the K dummy columns are materialised before residualising: it keeps the
-    # optimiser from propagating null constraints through K aliased columns
-    res = twfe_wls(data, outcome_col, regs, "_g", entity_col, time_col, weight_col, cluster_col,
-                   valid=valid, persist=persist, input_persist=persist)
-    kmap = F.create_map(*[x for i, k in enumerate(ks) for x in (F.lit(f"_ev_{i}"), F.lit(k))])
-    res = res.withColumn("event_time", kmap[F.col("term")])
+    lo, hi = event_window
+    index = F.create_map(*[F.lit(x) for i, k in enumerate(ks) for x in (k, i)])
+    data = data.where(F.col("event_time").between(lo, hi)).withColumn("_event", F.when(
+        F.col("treatment") == 1, F.coalesce(F.try_element_at(index, F.col("event_time").cast("int")), F.lit(-1)))
+        .otherwise(-1))
+    if not group_cols and data.where("_event >= 0").isEmpty():
+        raise ValueError(f"no treated row has an event time in {lo}..{hi} other than {reference}")
+    res = twfe_wls(data, outcome_col, [str(k) for k in ks], "_g", entity_col, time_col, weight_col, cluster_col,
+                   one_hot="_event")
+    res = res.withColumn("event_time", F.col("term").cast("int"))
     extra = []
     if least is not None:
         res = res.join(F.broadcast(cs.select("_g", "n_treated")), "_g")
