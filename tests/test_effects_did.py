@@ -82,6 +82,31 @@ def test_event_study_matches_dense(spark):
         assert r.std_error == pytest.approx(s, rel=1e-8)
 
 
+def test_by_cohort_matches_dense_and_default_size(spark):
+    big, small = planted_panel(seed=5, n=90), planted_panel(seed=6, n=20)
+    small["cohort_id"], big["aID"] = "2024-09", "b" + big.aID
+    big["entity_id"] = "b" + big.entity_id
+    n_big, n_small = (p[p.treatment == 1].aID.nunique() for p in (big, small))
+    assert n_big >= D.MIN_TREATED > n_small
+    df = spark.createDataFrame(pd.concat([big, small]))
+    by = dict(group_cols=["cohort_id"], persist="cache")
+    got = D.fit_basic_did(df, "y", **by).collect()
+    assert [(r.cohort_id, r.n_treated) for r in got] == [("2024-08", n_big)]
+    beta, se = dense_wls_cluster(big, ["D"])
+    assert (got[0].coef, got[0].std_error) == (pytest.approx(beta[0], rel=1e-9), pytest.approx(se[0], rel=1e-9))
+    both = {r.cohort_id: r.coef for r in D.fit_basic_did(df, "y", min_treated=None, **by).collect()}
+    assert both["2024-09"] == pytest.approx(dense_wls_cluster(small, ["D"])[0][0], rel=1e-9)
+    only = D.fit_basic_did(df, "y", min_treated=None, cohorts=["2024-09"], **by).collect()
+    assert [r.cohort_id for r in only] == ["2024-09"] and only[0].coef == pytest.approx(both["2024-09"])
+
+
+def test_event_study_without_treated_rows_is_refused(spark):
+    pdf = planted_panel(seed=8)
+    df = spark.createDataFrame(pdf[pdf.treatment == 0])
+    with pytest.raises(ValueError, match="no treated row"):
+        D.fit_event_study(df, "y", (-3, 3), -1, persist="none")
+
+
 def test_residuals_orthogonal_to_effects(spark):
     pdf = planted_panel(seed=7)
     df = spark.createDataFrame(pdf).withColumn("_g", F.lit("x"))

@@ -150,14 +150,14 @@ def brute_topk(pz, feats, k, thr=None, block=None, missing=False, min_valid=None
 @pytest.mark.parametrize("thr", [0.3, 0.05, 0.9, 1.5])
 def test_blocked_knn_equals_brute_force(spark, thr):
     pz, feats = z_profiles(spark)
-    got = N.match_topk(pz, feats, 3, thr, True, "peak_mean", n_salt=3)
+    got = N.match_topk(pz, feats, 3, thr, True, "peak_mean", rows_per_salt=7)
     g = sorted((r.treated_id, r.control_id, r.adoption_month, r.match_rank) for r in got.collect())
     assert g == brute_topk(pz, feats, 3, thr, "peak_mean")
 
 
 def test_missing_aware_knn_equals_brute_force(spark):
     pz, feats = z_profiles(spark, with_nulls=True, feats=tuple(f"f{i}" for i in range(7)))
-    got = N.match_topk_allow_missing(pz, feats, 4, n_salt=2)
+    got = N.match_topk_allow_missing(pz, feats, 4, rows_per_salt=5)
     g = sorted((r.treated_id, r.control_id, r.adoption_month, r.match_rank) for r in got.collect())
     assert g == brute_topk(pz, feats, 4, missing=True, min_valid=N.default_min_valid_dim(len(feats)))
     assert N.default_min_valid_dim(7) == 2 and N.default_min_valid_dim(12) == 3  # H14: 30 %, at least 2
