@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kwhlens.llm.jaccard_join import without_ids
-from kwhlens.llm.words import shingle_hashes, slices, text_buffers, word_hashes
+from kwhlens.llm.words import shingle_hashes, slices, text_buffers, tidy, word_hashes
 from kwhlens.session import Scratch
 
 SHINGLE = 5
@@ -207,7 +207,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         shared = spark.sparkContext.broadcast(([r[0] for r in part], [r[1] for r in part], shingle, radius))
         results.append(base.mapInArrow(
-            _search_map(shared, least),
+            tidy(_search_map(shared, least)),
             "doc_id long, item_id long, word_start long, n_words long, similarity double"))
     out = results[0]
     for r in results[1:]:

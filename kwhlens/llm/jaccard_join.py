@@ -16,8 +16,9 @@ Documents are sets of word 5-grams; two link when 100 * |A n B| >= percent *
    first and need no rows).  The longer set probes with its
    ``n - ceil(t n) + 1`` rarest shingles, the shorter is indexed under its
    ``n - ceil(2 t n / (1 + t)) + 1`` rarest; the length and positional filters are
-   part of the join condition, and the suffix filter bounds the overlap of what
-   lies behind by counts over fixed hash ranges.
+   part of the join condition.  A suffix filter goes before each exact
+   verification: the sets are parted at fixed hash values, and the smaller counts of
+   the parts bound the overlap (one level of parts instead of a recursion).
 4. *Two rounds.*  First every class is compared with the smallest class of each of its
    posting lists; the links found give preliminary components.  Then all
    candidate pairs across components are verified.  Pairs inside one component
@@ -35,13 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kwhlens.llm.components import connected_components
-from kwhlens.llm.words import mix, shingle_sets
+from kwhlens.llm.words import mix, parts, shingle_sets, tidy
 from kwhlens.session import Scratch
 
 PERCENT = 80
 SHINGLE = 5
 #: Shingle entries that a screening task holds at once (16 bytes each).
-CHUNK = 3_000_000
+CHUNK = 500_000
 #: Ids broadcast at most (8 bytes each); beyond it the text is joined to them by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Hash ranges of the suffix filter.
@@ -215,7 +216,7 @@ def _class_map(shingle: int, with_set: bool):
 
 
 def _explode_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         for node, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
             h = np.frombuffer(raw, np.int64)
             yield pa.RecordBatch.from_pydict({
@@ -230,7 +231,7 @@ def _df_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_pydict({"h": pa.array(h), "c": pa.array(c.astype(np.int64))})
 
-    for batch in batches:
+    for batch in parts(batches):
         for raw in batch.column(0).to_pylist():
             held.append(np.frombuffer(raw, np.int64))
             size += len(held[-1])
@@ -243,7 +244,7 @@ def _df_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify_map(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             u, v, sa, sb = (c.to_pylist() for c in batch.columns)
             keep = []
             for i, (x, y) in enumerate(zip(sa, sb)):
@@ -274,7 +275,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     return (pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-            .mapInArrow(_verify_map(percent), "u long, v long"))
+            .mapInArrow(tidy(_verify_map(percent)), "u long, v long"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -293,33 +294,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.rdd.getNumPartitions())
+    dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.rdd.getNumPartitions())
 
     # 1. screening
     named = base.where("doc_id is not null")
     schema = "bucket long, keys binary, docs binary, known binary, ids binary, sizes binary, shared binary"
     screened = scratch.table(
-        named.mapInArrow(_screen_map(percent, shingle, 2 * parts), schema).repartition(parts, "bucket")
-        .mapInArrow(_screen_reduce(2 * parts), "slot long, ids binary, sizes binary, shared binary")
-        .repartition(parts, "slot").mapInArrow(_screen_sum(percent), "doc_id long, n long, active boolean"), "screened")
+        named.mapInArrow(tidy(_screen_map(percent, shingle, 2 * dealt)), schema).repartition(dealt, "bucket")
+        .mapInArrow(tidy(_screen_reduce(2 * dealt)), "slot long, ids binary, sizes binary, shared binary")
+        .repartition(dealt, "slot").mapInArrow(tidy(_screen_sum(percent)), "doc_id long, n long, active boolean"), "screened")
     active = scratch.table(screened.where("active").select("doc_id").distinct(), "active")
     n_active = active.count()
 
     # 2. classes of equal sets
     alike = scratch.table(_with_ids(named, active, n_active).mapInArrow(
-        _class_map(shingle, False), "doc_id long, n long, cls long").where("n > 0"), "alike")
+        tidy(_class_map(shingle, False)), "doc_id long, n long, cls long").where("n > 0"), "alike")
     least = alike.groupBy("cls").agg(F.min("doc_id").alias("node"))
     members = scratch.table(alike.join(least, "cls").select("doc_id", "n", "cls", "node"), "members")
     nodes = members.where("doc_id = node").select("doc_id").distinct()
     sets = scratch.table(
         _with_ids(named, nodes, n_active).mapInArrow(
-            _class_map(shingle, True), "doc_id long, n long, cls long, shingles binary")
+            tidy(_class_map(shingle, True)), "doc_id long, n long, cls long, shingles binary")
         .where("n > 0").select(F.col("doc_id").alias("node"), "n", "shingles"), "sets")
 
     # 3. rare-first order and postings
-    freq = (sets.select("shingles").mapInArrow(_df_map, "h long, c long")
+    freq = (sets.select("shingles").mapInArrow(tidy(_df_map), "h long, c long")
             .groupBy("h").agg(F.sum("c").alias("df")).where("df > 1"))
-    rows = sets.select("node", "n", "shingles").mapInArrow(_explode_map, "h long, node long, n long").join(freq, "h")
+    rows = sets.select("node", "n", "shingles").mapInArrow(tidy(_explode_map), "h long, node long, n long").join(freq, "h")
     common = Window.partitionBy("node", "n")
     ranked = rows.select(
         "h", "node", "n",
@@ -367,7 +368,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # an empty text under a doc_id that has another text too
     empty = lone.where("n_shingles = 0").join(known, "doc_id", "left_semi")
     nameless = base.where("doc_id is null").mapInArrow(
-        _class_map(shingle, False), "doc_id long, n long, cls long").selectExpr("doc_id", "n", "doc_id")
+        tidy(_class_map(shingle, False)), "doc_id long, n long, cls long").selectExpr("doc_id", "n", "doc_id")
     return linked.union(others).union(empty).union(nameless)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from kwhlens.llm.words import mix
+from kwhlens.llm.words import mix, parts, tidy
 
 #: Labelled rows of a language used for training, in expectation.
 ROWS_PER_LANGUAGE = 4000
@@ -34,7 +34,7 @@ HASHES = 2
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
 #: Characters looked up at once (about 60 bytes of scratch each).
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 17
 
 
 @functools.cache
@@ -128,7 +128,7 @@ class MaskFilters:
 def _predict_map(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters: MaskFilters = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             lang, score = [], []
             for part in _parts(texts):
@@ -177,7 +177,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         [(r.lang, int(min(1 << 30, (1 << 30) * rows_per_language / r.n))) for r in seen], "lang string, cut long")
     chosen = rows.join(F.broadcast(keep), "lang").where(
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("cut")).select("lang", "text")
-    counts = chosen.mapInArrow(_count_map, "lang string, gram long, c long").groupBy("lang", "gram").agg(
+    counts = chosen.mapInArrow(tidy(_count_map), "lang string, gram long, c long").groupBy("lang", "gram").agg(
         F.sum("c").alias("c"))
     totals = counts.groupBy("lang").agg(F.sum("c").alias("total"))
     kept = counts.join(F.broadcast(totals), "lang").where(F.col("c") >= F.lit(least_share) * F.col("total"))
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, filters: MaskFilters, text_col: str = "text") -> Da
     rows = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()),
                          StructField("score", DoubleType())])
-    return rows.mapInArrow(_predict_map(shared, rows.columns.index(text_col)), schema)
+    return rows.mapInArrow(tidy(_predict_map(shared, rows.columns.index(text_col))), schema)
 
 
 def keep_known(docs: DataFrame, filters: MaskFilters, text_col: str = "text", least: float = 0.3) -> DataFrame:
