@@ -33,7 +33,7 @@ FILE_BYTES = 256 << 20
 #: Revisits (page_id, digest and the response's page_id) broadcast at most.
 BROADCAST_ROWS = 200_000
 RECORD_SCHEMA = ("record_id string, record_type string, concurrent_to string, target_uri string, date string, "
-                 "stated_digest string, content_type string, payload binary, payload_digest string")
+                 "stated_digest string, content_type string, payload binary, payload_bytes long, payload_digest string")
 
 
 def digest(payload: bytes) -> str:
@@ -51,8 +51,7 @@ def record(kind: str, record_id: str, uri: str, block: bytes, content_type: str,
 
 def member(data: bytes) -> bytes:
     """One gzip member."""
-    z = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return z.compress(data) + z.flush()
+    return zlib.compress(data, 1, 31)
 
 
 def _clean(url: str | None) -> str:
@@ -129,6 +128,8 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     r = (F.broadcast(revisits) if few else revisits).alias("r")
     ready = base.alias("p").join(
         r, F.expr("p.page_id <=> r.page_id and p.digest = r.digest"), "left").select("p.page_id", "url", "html", "first")
+    if not few:  # rows come in any order from a shuffle; a retried task must write the same files
+        ready = ready.sortWithinPartitions("page_id", "url", "html")
     open_folder(folder)[0].create_dir(open_folder(folder)[1], recursive=True)
     return sorted(x.file for x in ready.mapInArrow(_write_map(folder, file_bytes), "file string, pages long").collect())
 
@@ -192,8 +193,8 @@ def parse(stream, packed: bool) -> Iterator[tuple[dict[str, str], bytes]]:
 def _read_map(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_folder(folder)
-        schema = pa.schema([(x.split()[0], pa.binary() if x.split()[1] == "binary" else pa.string())
-                            for x in RECORD_SCHEMA.split(", ")])
+        kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+        schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in RECORD_SCHEMA.split(", ")])
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, size = [], 0
@@ -207,7 +208,7 @@ def _read_map(folder: str):
                             "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"),
                             "date": head.get("warc-date"),
                             "stated_digest": head.get("warc-payload-digest", "").partition(":")[2] or None,
-                            "content_type": head.get("content-type"), "payload": payload,
+                            "content_type": head.get("content-type"), "payload": payload, "payload_bytes": len(payload),
                             "payload_digest": digest(payload) if head.get("warc-type") == "response" else None})
                         size += len(payload)
                         if size > 4 << 20:
@@ -234,9 +235,13 @@ def assemble(records: DataFrame) -> DataFrame:
     response to its request, metadata to the request.  Records that point to none of
     the given responses make a capture of their own without response.  Records of
     other types (warcinfo) belong to no capture.
+
+    The records are parsed once, into a table of the shared folder with a part per type.
     """
+    records = Scratch(records.sparkSession, "records").table(
+        records.where("record_type in ('request', 'response', 'revisit', 'metadata')"), "r", "record_type")
     part = F.struct("record_id", "record_type", "target_uri", "date", "stated_digest", "content_type", "payload",
-                    "payload_digest")
+                    "payload_bytes", "payload_digest")
     main = records.where("record_type in ('response', 'revisit')")
     links = records.where("record_type in ('request', 'response', 'revisit')").select(
         "record_id", "record_type", "concurrent_to")
@@ -254,7 +259,8 @@ def assemble(records: DataFrame) -> DataFrame:
         F.coalesce("cid", "concurrent_to", "record_id").alias("capture_id"), part.alias("m"))
     about = about.groupBy("capture_id").agg(F.array_sort(F.collect_list("m")).alias("metadata"))
     main = main.select(F.col("record_id").alias("capture_id"), part.alias("response"))
-    return main.join(asks, "capture_id", "full").join(about, "capture_id", "full").select(
+    # the small sides first, so that payloads are shuffled once, and not at all by who doesn't read them
+    return main.join(asks.join(about, "capture_id", "full"), "capture_id", "full").select(
         "capture_id", "response", "request", "metadata")
 
 
@@ -267,7 +273,7 @@ def page_summary(captures: DataFrame) -> DataFrame:
     field = F.regexp_extract(F.col("metadata")[0]["payload"].cast("string"), r"page-id: (-?\d+)", 1)
     rows = captures.where("response is not null").select(
         F.when(field != "", field.cast("long")).alias("page_id"), F.col("response.record_type").alias("record_type"),
-        F.octet_length("response.payload").cast("long").alias("own_bytes"),
+        F.col("response.payload_bytes").alias("own_bytes"),
         F.coalesce("response.payload_digest", "response.stated_digest").alias("payload_digest"))
     rows = Scratch(captures.sparkSession, "captures").table(rows, "rows")
     full = rows.where("record_type = 'response'").groupBy("payload_digest").agg(

@@ -72,7 +72,7 @@ def test_archives_follow_the_format(pages, folder):
 
 def test_links_in_any_direction(spark):
     def rec(i, kind, to):
-        return (i, kind, to, "u", "d", None, "c", b"p", None)
+        return (i, kind, to, "u", "d", None, "c", b"p", 1, None)
 
     records = spark.createDataFrame([
         rec("r1", "response", "q1"), rec("q1", "request", None), rec("m1", "metadata", "q1"),
