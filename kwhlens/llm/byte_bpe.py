@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kwhlens.llm.words import parts, tidy
+
 #: Characters from which on a text is cut, and the least length of a piece.
 LONG = 1 << 16
 _BOUNDARY = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \n]|[^\s\p{L}\p{N}])")
@@ -46,22 +48,22 @@ def pieces(text: str, long: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
-def _encode_map(shared, pattern: str, long: int):
+def _encode_map(shared, pattern: str, long: int, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(shared.value, pattern)
-        for batch in batches:
-            column = pc.fill_null(batch.column(1), "")
-            for lo in range(0, len(column), 512):
-                held, ends, n = [], [0], 0
-                for text in column.slice(lo, 512).to_pylist():
-                    for piece in pieces(text, long):
-                        ids = np.array(enc.encode_ordinary(piece), dtype=np.int32)
-                        held.append(ids)
-                        n += len(ids)
-                    ends.append(n)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.concatenate(held) if held else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), ids], names=["doc_id", "ids"])
+        for batch in parts(batches, 128):
+            held, ends, raw, n = [], [0], [], 0
+            for text in pc.fill_null(batch.column(1), "").to_pylist():
+                own = [enc.encode_ordinary(piece) for piece in pieces(text, long)]
+                held += [np.array(x, dtype=np.int32) for x in own]
+                n += sum(map(len, own))
+                ends.append(n)
+                if decoded:
+                    raw.append(b"".join(map(enc.decode_bytes, own)))
+            ids = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(np.concatenate(held) if held else np.zeros(0, np.int32)))
+            cols = [batch.column(0), ids] + ([pa.array(raw, pa.binary())] if decoded else [])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][: len(cols)])
 
     return run
 
@@ -71,9 +73,9 @@ def _decode_map(shared, pattern: str):
         enc = encoding(shared.value, pattern)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                raw = [None if x is None else enc.decode_bytes(x) for x in ids.slice(lo, 512).to_pylist()]
+            for lo in range(0, len(batch), 128):
+                part = batch.slice(lo, 128)
+                raw = [None if x is None else enc.decode_bytes(x) for x in ids.slice(lo, 128).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "decoded"])
 
@@ -81,9 +83,12 @@ def _decode_map(shared, pattern: str):
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           long: int = LONG) -> DataFrame:
+           long: int = LONG, decoded: bool = False) -> DataFrame:
     """(doc_id, ids): every whole text as token ids, without special tokens.
 
+    With ``decoded`` also the raw bytes that the ids decode to, in the same pass (one
+    Python worker and one table of ranks per task instead of two).
+
     Null texts are empty (no ids).  Each row gives a row, repeated or not, with or without
     a doc_id; other columns are not read.  The rank file (under 1 MB) is read
     on the driver and sent to the executors.
@@ -91,7 +96,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     with open(rank_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode_map(shared, pattern, long), "doc_id long, ids array<int>")
+    return rows.mapInArrow(tidy(_encode_map(shared, pattern, long, decoded)),
+                           "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -99,4 +105,4 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     with open(rank_file, "rb") as f:
         shared = tokens.sparkSession.sparkContext.broadcast(f.read())
     return tokens.select("doc_id", "ids").mapInArrow(
-        _decode_map(shared, pattern), "doc_id long, ids array<int>, decoded binary")
+        tidy(_decode_map(shared, pattern)), "doc_id long, ids array<int>, decoded binary")
