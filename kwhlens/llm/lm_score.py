@@ -33,20 +33,15 @@ from kwhlens.session import Scratch
 LEAST_SHARE = 1e-6
 COMMON_SHARE = 1e-6
 MIX = 0.7
-#: Target documents used, in expectation (chosen by a hash of their ids if there are more).
-TARGET_DOCS = 1_000_000
+#: Target ids (8 bytes each) broadcast at most; more are joined to the documents.
+BROADCAST_TARGETS = 5_000_000
 #: Words counted at once in a task.
 CHUNK = 2_000_000
 
 
-def target_ids(labels: DataFrame, where: str = "quality = 1", id_col: str = "doc_id",
-               limit: int = TARGET_DOCS) -> np.ndarray:
-    """Sorted doc_ids of the target documents: a sample of about ``limit`` labelled rows, bounded for its broadcast."""
-    rows = labels.where(where).select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    n = rows.count()
-    if n > limit:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * limit / n))
-    return np.sort(rows.toArrow()["doc_id"].to_numpy())
+def target_ids(labels: DataFrame, where: str = "quality = 1", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id) of the target documents: the labelled rows, each doc_id once."""
+    return labels.where(where).select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
 
 
 def _is_target(ids: pa.Array, targets: np.ndarray) -> np.ndarray:
@@ -56,6 +51,17 @@ def _is_target(ids: pa.Array, targets: np.ndarray) -> np.ndarray:
     return known & (targets[at] == own) if len(targets) else np.zeros(len(own), bool)
 
 
+def _flagged(base: DataFrame, targets: np.ndarray | DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray | None]:
+    """``base`` and the sorted target ids if they are few; else ``base`` with the column ``target``, and None."""
+    if isinstance(targets, DataFrame):
+        ids = scratch.table(targets.select(F.col("doc_id").cast("long").alias("target_id")).distinct(), "targets")
+        if ids.count() > BROADCAST_TARGETS:
+            joined = base.join(ids, F.col("doc_id") == F.col("target_id"), "left")
+            return joined.select("doc_id", "text", F.col("target_id").isNotNull().alias("target")), None
+        targets = ids.where("target_id is not null").toArrow()["target_id"].to_numpy()
+    return base, np.sort(targets)
+
+
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, words per row) of slices of a batch."""
     raw, off = text_buffers(batch.column(1))
@@ -83,7 +89,8 @@ def _count_map(shared, of_words):
             return pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "c": pa.array(c), "t": pa.array(t)})
 
         for batch in batches:
-            flag = _is_target(batch.column(0), targets)
+            flag = (_is_target(batch.column(0), targets) if targets is not None
+                    else batch.column(2).to_numpy(zero_copy_only=False))
             for i, j, words, n in _words(batch):
                 keys.append(of_words(words, n, vocabulary))
                 flags.append(np.repeat(flag[i:j], n))
@@ -165,11 +172,12 @@ def _document_map(shared):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, targets: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
+def cross_entropy_difference(docs: DataFrame, targets: np.ndarray | DataFrame, id_col: str = "doc_id", text_col: str = "text",
                              least_share: float = LEAST_SHARE, common_share: float = COMMON_SHARE,
                              mix: float = MIX) -> DataFrame:
     """(doc_id, n_words, score) per doc_id; the lower the score, the more like the target documents.
 
+    ``targets`` are the doc_ids of the target documents, as an array or as a table (doc_id); all are counted.
     Words are lower-cased (A-Z) and end at white space and ASCII punctuation.
     Rows that share a doc_id (or have none) are one document: their losses are
     pooled, each row beginning anew.  A text without words, null or not, has the score null.  Without target
@@ -180,10 +188,11 @@ def cross_entropy_difference(docs: DataFrame, targets: np.ndarray, id_col: str =
     scratch = Scratch(spark, "lm")
     sc = spark.sparkContext
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    flagged, ids = _flagged(base, targets, scratch)
     schema = "key long, c long, t long"
 
     def counted(vocabulary, of_words) -> DataFrame:
-        return base.mapInArrow(_count_map(sc.broadcast((targets, vocabulary)), of_words), schema).groupBy("key").agg(
+        return flagged.mapInArrow(_count_map(sc.broadcast((ids, vocabulary)), of_words), schema).groupBy("key").agg(
             F.sum("c").alias("c"), F.sum("t").alias("t"))
 
     # the shared vocabulary: bounded by its share, so it may pass through the driver

@@ -298,6 +298,23 @@ def test_scores_equal_brute_force(spark, docs, common):
         assert got[d][0] == n and got[d][1] == pytest.approx(s, abs=1e-9)
 
 
+@pytest.mark.parametrize("limit", [5_000_000, 3])
+def test_all_target_documents_are_counted(spark, docs, monkeypatch, limit):
+    """Broadcast or joined, every labelled document counts, once, also if labelled twice or without doc_id."""
+    df = docs.where("doc_id < 60")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    labels = spark.createDataFrame(
+        [(i, int(i is None or i % 4 == 0)) for i in [*range(60), 8, None]], "doc_id long, quality int")
+    want = brute_scores(texts, list(range(0, 60, 4)), 0)
+    monkeypatch.setattr(lm_score, "BROADCAST_TARGETS", limit)
+    targets = lm_score.target_ids(labels)
+    assert targets.count() == 15
+    got = {r.doc_id: (r.n_words, r.score) for r in lm_score.cross_entropy_difference(df, targets, least_share=0).collect()}
+    assert set(got) == set(want)
+    for d, (n, s) in want.items():
+        assert got[d][0] == n and got[d][1] == pytest.approx(s, abs=1e-9)
+
+
 def test_scores_odd_rows(odd, empty):
     got = {r.doc_id: r for r in lm_score.cross_entropy_difference(odd, np.array([1, 9])).collect()}
     assert got[3].score is None and got[4].n_words == 0 and got[2].n_words == 20
