@@ -1,9 +1,9 @@
 """Cross-entropy difference scores of documents (Moore-Lewis) with matched bigram models.
 
 The target model is counted on the target documents, the background model on all
-documents.  Both are interpolated bigram models over one vocabulary: the
-words that make up at least ``least_share`` of all words of the corpus (so at
-most 1 / least_share); other words are one unknown word.
+documents.  Both are interpolated bigram models over one vocabulary: every
+word of the corpus, seen once or often, so V grows with it.  (A caller may
+pool the words under a share ``least_share`` of all words as one unknown word.)
 
     p(w | v) = mix * c(v, w) / c(v) + (1 - mix) * (c(w) + 1) / (N + V + 1)
 
@@ -11,11 +11,12 @@ with only the second part where v was never seen.  A document's score is the
 mean over its words of log p_background - log p_target; the lower, the
 more it is like the target.
 
-All documents are counted.  Unigram and bigram counts are combined within each
-task, then shuffled by key; bigrams are not pruned, so the table of bigram losses grows
-with the corpus.  Documents read the losses of very common bigrams (of a share of at least
-``common_share``, so at most 1 / common_share) from a broadcast, which is what
-keeps a hot bigram from being a hot key; those of all other bigrams are joined by key.
+All documents are counted.  Word and bigram counts are combined within each
+task, then shuffled by key; neither is pruned, so both tables grow with the corpus.
+Common words and bigrams (of a share of at least ``common_share``, so at most
+1 / common_share each) are broadcast, which is what keeps a hot one from being a hot key;
+the counts of all other words are joined to the bigrams, and the losses of all other
+bigrams to the documents, by key.  Common words are named by their rank, others by a 63-bit hash.
 """
 
 from __future__ import annotations
@@ -27,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kwhlens.llm.words import mix as scramble
 from kwhlens.llm.words import slices, text_buffers, word_hashes
 from kwhlens.session import Scratch
 
-LEAST_SHARE = 1e-6
 COMMON_SHARE = 1e-6
 MIX = 0.7
 #: Target ids (8 bytes each) broadcast at most; more are joined to the documents.
 BROADCAST_TARGETS = 5_000_000
 #: Words counted at once in a task.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Set in the keys of words and bigrams that are named by a hash.
+_HASHED = np.uint64(1 << 63)
 
 
 def target_ids(labels: DataFrame, where: str = "quality = 1", id_col: str = "doc_id") -> DataFrame:
@@ -70,54 +73,98 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield i, j, words, np.diff(first)
 
 
-def _summed(keys: list, target: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their counts, and their counts in target documents."""
-    key, flag = np.concatenate(keys), np.concatenate(target)
-    distinct, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    return distinct, count, np.bincount(back, weights=flag, minlength=len(distinct)).astype(np.int64)
+def _summed(key: np.ndarray, weights: list) -> tuple[np.ndarray, np.ndarray, list]:
+    """Distinct keys, where each is first, and the sums of the weights by key."""
+    distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
+    return distinct, first, [np.bincount(back, weights=x, minlength=len(distinct)).astype(np.int64) for x in weights]
 
 
-def _count_map(shared, of_words):
-    """(key, c, t): counts of the keys that ``of_words`` makes of a slice, summed per chunk."""
+def _count_map(shared, held_of, summed):
+    """The rows that ``summed`` makes of the columns that ``held_of`` makes of slices, for a chunk of words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        targets, vocabulary = shared.value
-        keys, flags, held = [], [], 0
-
-        def out():
-            k, c, t = _summed(keys, flags)
-            return pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "c": pa.array(c), "t": pa.array(t)})
-
+        targets, names = shared.value
+        kept, held = [], 0
         for batch in batches:
             flag = (_is_target(batch.column(0), targets) if targets is not None
                     else batch.column(2).to_numpy(zero_copy_only=False))
             for i, j, words, n in _words(batch):
-                keys.append(of_words(words, n, vocabulary))
-                flags.append(np.repeat(flag[i:j], n))
+                if not len(words):
+                    continue
+                kept.append(held_of(words, n, flag[i:j], names))
                 held += len(words)
                 if held >= CHUNK:
-                    yield out()
-                    keys, flags, held = [], [], 0
+                    yield summed([np.concatenate(x) for x in zip(*kept)])
+                    kept, held = [], 0
         if held:
-            yield out()
+            yield summed([np.concatenate(x) for x in zip(*kept)])
 
     return run
 
 
-def _unigrams(words: np.ndarray, n: np.ndarray, vocabulary) -> np.ndarray:
-    return words
+def _hashed(words: np.ndarray) -> np.ndarray:
+    return (words | _HASHED).view(np.int64)
+
+
+def _word_rows(words: np.ndarray, n: np.ndarray, flag: np.ndarray, names) -> tuple:
+    """Key, count, and whether it is a context, of each word; the beginnings of documents are contexts with key 0."""
+    some = n > 0
+    context = np.ones(len(words), bool)
+    context[np.cumsum(n)[some] - 1] = False
+    begun = int(some.sum())
+    return (np.concatenate([_hashed(words), np.zeros(begun, np.int64)]), np.repeat([True, False], [len(words), begun]),
+            np.concatenate([context, np.ones(begun, bool)]), np.concatenate([np.repeat(flag, n), flag[some]]))
+
+
+def _word_counts(columns: list) -> pa.RecordBatch:
+    key, word, context, flag = columns
+    key, _, sums = _summed(key, [word, word & flag, context, context & flag])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *sums)], names=["key", "c", "t", "vc", "vt"])
+
+
+def _named(words: np.ndarray, names: tuple) -> np.ndarray:
+    """Ranks of the common words, hashes (below 0) of the others; with a cut, words beyond it are unknown."""
+    common, others = names
+    key = _hashed(words)
+    size = len(common)
+    out = key
+    if others is not None:
+        at = np.minimum(np.searchsorted(others, key), max(0, len(others) - 1))
+        out = np.where(others[at] == key, key, size) if len(others) else np.full(len(key), size)
+    if size:
+        at = np.minimum(np.searchsorted(common, key), size - 1)
+        out = np.where(common[at] == key, at, out)
+    return out
+
 
+def _bigrams(words: np.ndarray, n: np.ndarray, names: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, context and word of each bigram; the context of a document's first word is its beginning.
 
-def _bigrams(words: np.ndarray, n: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """(context, word) ids in one number; the context of a document's first word is its beginning."""
-    size = len(vocabulary)
-    at = np.searchsorted(vocabulary, words)
-    ids = np.where((at < size) & (vocabulary[np.minimum(at, max(0, size - 1))] == words), at, size) if size else at * 0
-    context = np.empty_like(ids)
-    context[1:] = ids[:-1]
+    A bigram of ranks is both ranks in one number, any other a hash (below 0).
+    """
+    size = len(names[0])
+    w = _named(words, names)
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
     begin = np.cumsum(n) - n
-    context[begin[n > 0]] = size + 1
-    return (context * (size + 2) + ids).astype(np.int64)
+    v[begin[n > 0]] = size + 1
+    key = v * (size + 2) + w
+    rare = (v < 0) | (w < 0)
+    key[rare] = _hashed(scramble(scramble(v[rare].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + w[rare].view(np.uint64)))
+    return key, v, w
+
+
+def _pair_rows(words: np.ndarray, n: np.ndarray, flag: np.ndarray, names: tuple) -> tuple:
+    return (*_bigrams(words, n, names), np.repeat(flag, n))
+
+
+def _pair_counts(columns: list) -> pa.RecordBatch:
+    key, v, w, flag = columns
+    key, first, (c, t) = _summed(key, [np.ones(len(key), bool), flag])
+    rare = key < 0  # else both are in the key
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (key, np.where(rare, v[first], 0), np.where(rare, w[first], 0), c, t)],
+        names=["key", "v", "w", "c", "t"])
 
 
 def _log_p(c2: np.ndarray, c1: np.ndarray, w: np.ndarray, total: int, size: int, mix: float) -> np.ndarray:
@@ -125,18 +172,25 @@ def _log_p(c2: np.ndarray, c1: np.ndarray, w: np.ndarray, total: int, size: int,
     return np.log(np.where(c1 > 0, mix * c2 / np.maximum(c1, 1) + (1 - mix) * low, low))
 
 
-def _loss_map(shared, mix: float):
-    """(key, c, loss) of bigram counts; ``loss`` is log p_background - log p_target."""
+def _loss_map(shared, total: tuple[int, int], size: int, mix: float):
+    """(key, c, loss) of bigram counts; ``loss`` is log p_background - log p_target.
+
+    The counts of hashed words come with the bigram, those of ranks are shared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigrams, context = shared.value
-        size = unigrams.shape[1] - 1
-        total = unigrams.sum(1)
+        ranked = shared.value
+        base = ranked.shape[1]
+
+        def counts(rank: np.ndarray, own: list, of: int) -> list:
+            at = np.maximum(rank, 0)
+            return [np.where(rank < 0, x.fill_null(0).to_numpy(), ranked[of + k][at]) for k, x in enumerate(own)]
+
         for batch in batches:
-            key, c, t = (x.to_numpy() for x in batch.columns)
-            v, w = key // (size + 2), key % (size + 2)
-            loss = (_log_p(c, context[0][v], unigrams[0][w], int(total[0]), size, mix)
-                    - _log_p(t, context[1][v], unigrams[1][w], int(total[1]), size, mix))
+            key, v, w, c, t = (x.to_numpy() for x in batch.columns[:5])
+            v, w = np.where(key < 0, v, key // base), np.where(key < 0, w, key % base)
+            (wc, wt), (vc, vt) = counts(w, batch.columns[5:7], 0), counts(v, batch.columns[7:9], 2)
+            loss = _log_p(c, vc, wc, total[0], size, mix) - _log_p(t, vt, wt, total[1], size, mix)
             yield pa.RecordBatch.from_pydict({"key": pa.array(key), "c": pa.array(c), "loss": pa.array(loss)})
 
     return run
@@ -146,11 +200,11 @@ def _document_map(shared):
     """Per document its words and the loss of its common bigrams; its other bigrams one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, common, losses = shared.value
+        names, common, losses = shared.value
         for batch in batches:
             ids = batch.column(0)
             for i, j, words, n in _words(batch):
-                key = _bigrams(words, n, vocabulary)
+                key = _bigrams(words, n, names)[0]
                 row = np.repeat(np.arange(j - i), n)
                 at = np.minimum(np.searchsorted(common, key), max(0, len(common) - 1))
                 hit = common[at] == key if len(common) else np.zeros(len(key), bool)
@@ -173,7 +227,7 @@ def _document_map(shared):
 
 
 def cross_entropy_difference(docs: DataFrame, targets: np.ndarray | DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                             least_share: float = LEAST_SHARE, common_share: float = COMMON_SHARE,
+                             least_share: float = 0.0, common_share: float = COMMON_SHARE,
                              mix: float = MIX) -> DataFrame:
     """(doc_id, n_words, score) per doc_id; the lower the score, the more like the target documents.
 
@@ -189,35 +243,50 @@ def cross_entropy_difference(docs: DataFrame, targets: np.ndarray | DataFrame, i
     sc = spark.sparkContext
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     flagged, ids = _flagged(base, targets, scratch)
-    schema = "key long, c long, t long"
-
-    def counted(vocabulary, of_words) -> DataFrame:
-        return flagged.mapInArrow(_count_map(sc.broadcast((ids, vocabulary)), of_words), schema).groupBy("key").agg(
-            F.sum("c").alias("c"), F.sum("t").alias("t"))
-
-    # the shared vocabulary: bounded by its share, so it may pass through the driver
-    words = scratch.table(counted(None, _unigrams), "unigrams")
-    n, t = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    known = words.where(F.col("c") >= F.lit(least_share * n)).toArrow()
-    order = np.argsort(known["key"].to_numpy().view(np.uint64))
-    vocabulary = known["key"].to_numpy().view(np.uint64)[order]
-    unigrams = np.zeros((2, len(vocabulary) + 1), np.int64)
-    unigrams[0, :-1], unigrams[1, :-1] = known["c"].to_numpy()[order], known["t"].to_numpy()[order]
-    unigrams[:, -1] = np.array([n, t]) - unigrams.sum(1)
-
-    pairs = scratch.table(counted(vocabulary, _bigrams), "bigrams")
-    size = len(vocabulary) + 2
-    seen = pairs.groupBy((F.expr(f"key div {size}")).alias("v")).agg(F.sum("c"), F.sum("t")).toArrow()
-    context = np.zeros((2, size), np.int64)
-    v = seen.column(0).to_numpy()
-    context[0][v], context[1][v] = seen.column(1).to_numpy(), seen.column(2).to_numpy()
 
+    def counted(names, held_of, summed, of: str, *same: str) -> DataFrame:
+        columns = ", ".join(f"{x} long" for x in ("key", *same, *of.split()))
+        return flagged.mapInArrow(_count_map(sc.broadcast((ids, names)), held_of, summed), columns).groupBy("key").agg(
+            *[F.max(x).alias(x) for x in same], *[F.sum(x).alias(x) for x in of.split()])
+
+    # the vocabulary: a table; only its common words pass through the driver
+    words = scratch.table(counted(None, _word_rows, _word_counts, "c t vc vt"), "unigrams")
+    every = words.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("c", "t", "vc", "vt")]).first()
+    n, t = every[:2]
+    known = words.where((F.col("key") < 0) & (F.col("c") >= F.lit(least_share * n)))
+    size, *inside = known.agg(
+        F.count(F.lit(1)), *[F.coalesce(F.sum(x), F.lit(0)) for x in ("c", "t", "vc", "vt")]).first()
+    begin = words.where("key = 0").first()
+    frequent = F.col("c") >= F.lit(common_share * n)
+    top = known.where(frequent).toArrow()
+    order = np.argsort(top["key"].to_numpy())
+    rest = known.where(~frequent)
+    # under a cut the other known words, at most 1 / least_share, are broadcast as well
+    others = np.sort(rest.select("key").toArrow()["key"].to_numpy()) if least_share * n > 1 else None
+    names = top["key"].to_numpy()[order], others
+    ranked = np.zeros((4, len(order) + 2), np.int64)
+    for k, x in enumerate(("c", "t", "vc", "vt")):
+        ranked[k, :-2] = top[x].to_numpy()[order]
+        ranked[k, -1] = begin[x] if begin else 0
+        ranked[k, -2] = every[k] - inside[k] - ranked[k, -1]
+
+    pairs = scratch.table(counted(names, _pair_rows, _pair_counts, "c t", "v", "w"), "bigrams")
+    rare = pairs.where("key < 0")
+    # a rank finds no count, and must not be a hot key of the join
+    for at, (c1, t1) in (("w", ("c", "t")), ("v", ("vc", "vt"))):
+        own = rest.select(F.col("key").alias(f"{at}_key"), F.col(c1).alias(f"{at}_c"), F.col(t1).alias(f"{at}_t"))
+        rare = rare.join(own, F.expr(f"if({at} < 0, {at}, key & {(1 << 63) - 1})") == F.col(f"{at}_key"), "left").drop(
+            f"{at}_key")
+    none = [F.lit(None).cast("long").alias(x) for x in ("w_c", "w_t", "v_c", "v_t")]
     losses = scratch.table(
-        pairs.mapInArrow(_loss_map(sc.broadcast((unigrams, context)), mix), "key long, c long, loss double"), "losses")
+        pairs.where("key >= 0").select("key", "v", "w", "c", "t", *none).union(rare).mapInArrow(
+            _loss_map(sc.broadcast(ranked), (n, t), size, mix), "key long, c long, loss double"), "losses")
+    scratch.drop("bigrams")
+    scratch.drop("unigrams")
     often = F.col("c") >= F.lit(common_share * n)
     common = losses.where(often).select("key", "loss").toArrow()
     order = np.argsort(common["key"].to_numpy())
-    shared = sc.broadcast((vocabulary, common["key"].to_numpy()[order], common["loss"].to_numpy()[order]))
+    shared = sc.broadcast((names, common["key"].to_numpy()[order], common["loss"].to_numpy()[order]))
     rows = base.mapInArrow(_document_map(shared), "doc_id long, key long, times long, known double")
     joined = rows.join(losses.where(~often).select("key", "loss"), "key", "left")
     return joined.groupBy("doc_id").agg(

@@ -315,6 +315,20 @@ def test_all_target_documents_are_counted(spark, docs, monkeypatch, limit):
         assert got[d][0] == n and got[d][1] == pytest.approx(s, abs=1e-9)
 
 
+@pytest.mark.parametrize("common", [1e-6, 1e-3, 1.0])
+def test_rare_words_keep_their_own_loss(spark, common):
+    """Over 1e6 words, a word seen once is no unknown word, whether counts are broadcast or joined."""
+    texts = {0: "the rare gem", 1: "the odd gem", 2: "the " * 1_100_000, 3: "the the gem a rare odd"}
+    want = brute_scores(texts, [0], 0)
+    got = {r.doc_id: (r.n_words, r.score) for r in lm_score.cross_entropy_difference(
+        spark.createDataFrame(list(texts.items()), "doc_id long, text string"), np.array([0]),
+        common_share=common).collect()}
+    assert set(got) == set(want)
+    for d, (n, s) in want.items():
+        assert got[d][0] == n and got[d][1] == pytest.approx(s, abs=1e-9)
+    assert got[0][1] < got[1][1]
+
+
 def test_scores_odd_rows(odd, empty):
     got = {r.doc_id: r for r in lm_score.cross_entropy_difference(odd, np.array([1, 9])).collect()}
     assert got[3].score is None and got[4].n_words == 0 and got[2].n_words == 20
