@@ -8,8 +8,14 @@ compared (a shorter document is one window):
 * the window's weighted SimHash (64 bits) is looked up in a multi-index of the
   items of that size: with ``radius + 1`` blocks, two fingerprints within
   ``radius`` bits agree on at least one block, so none within it is missed;
-* candidates within the radius are verified by the exact weighted Jaccard
-  similarity of the two multisets.
+* a window beyond the radius can still be similar enough (at J = 0.8, 15 % of the
+  bits differ on average, more if the changed words are long), so windows whose
+  shingles shared with an item weigh enough for ``least`` are candidates too;
+* candidates are verified by the exact weighted Jaccard similarity of the two
+  multisets.
+
+The second rule keeps every window of at least ``least``, as the weight of the shared
+shingles bounds the similarity from above; so the radius decides no result.
 
 Windows that hold no shingle of any item have similarity 0 with all items and
 need no fingerprint; a bitmap of the items' shingles finds the others.
@@ -34,12 +40,14 @@ from kwhlens.session import Scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits in which the fingerprints of window and item may differ.
+#: Bits in which the fingerprints of window and item may differ to be found by the multi-index.
 RADIUS = 15
 #: Benchmark text sent to the executors at once.
 BLOCK_BYTES = 32 << 20
 #: Windows fingerprinted at once (512 bytes each).
 WINDOWS = 8192
+#: (shingle, item) pairs of one document looked at at once.
+PAIRS = 1 << 20
 _MAP_BITS = 22
 
 
@@ -85,7 +93,7 @@ class ItemIndex:
         self.k, self.radius = shingle, radius
         raw, off = text_buffers(pa.array(texts, pa.string()))
         self.by_size: dict[int, list] = {}
-        every, owner = [], []
+        every, owner, slot, self.totals = [], [], [], []
         for i in range(len(ids)):
             words, _, spans = word_hashes(raw, off[i : i + 2], punct=True, spans=True)
             if len(words) < shingle:
@@ -94,10 +102,20 @@ class ItemIndex:
             self.by_size.setdefault(len(words), []).append((ids[i], g, w))
             every.append(g)
             owner.append(np.full(len(g), len(words)))
+            slot.append(np.full(len(g), len(self.totals)))
+            self.totals.append((len(words), len(self.by_size[len(words)]) - 1, int(w.sum())))
+        self.totals = np.array(self.totals, np.int64).reshape(-1, 3)
         every = np.concatenate(every) if every else np.zeros(0, np.uint64)
         owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         pair = np.lexsort((owner, every))
         self.grams, self.sizes = every[pair], owner[pair]
+        slot = np.concatenate(slot) if slot else np.zeros(0, np.int64)
+        # each distinct shingle of each item once
+        pair = np.lexsort((slot, every))
+        g, o = every[pair], slot[pair]
+        once = np.ones(len(g), bool)
+        once[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1])
+        self.shared, self.slots = g[once], o[once]
         self.bitmap = np.zeros(1 << _MAP_BITS, bool)
         self.bitmap[(every >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
         cuts = [round(b * 64 / (radius + 1)) for b in range(radius + 2)]
@@ -128,11 +146,44 @@ class ItemIndex:
         near = np.bitwise_count(prints[window] ^ own[item]) <= self.radius
         return window[near], item[near]
 
+    def heavy(self, grams: np.ndarray, weights: np.ndarray, hits: np.ndarray, least: float) -> dict[int, list]:
+        """By size: (item, its hits) of the items whose shingles weigh enough in the document for ``least``."""
+        lo = np.searchsorted(self.shared, grams[hits], "left")
+        n = np.searchsorted(self.shared, grams[hits], "right") - lo
+        ends = np.cumsum(n)
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            a = 0
+            while a < len(hits):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + PAIRS, "right")))
+                m = n[a:b]
+                yield (np.repeat(hits[a:b], m),
+                       self.slots[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[a:b], m)])
+                a = b
+
+        mass = np.zeros(len(self.totals))
+        for p, item in pairs():
+            mass += np.bincount(item, weights=weights[p], minlength=len(mass))
+        enough = mass >= least * self.totals[:, 2] * (1 - 1e-9)
+        out: dict[int, list] = {}
+        if enough.any():
+            found = [(p[enough[item]], item[enough[item]]) for p, item in pairs()]
+            p, item = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((p, item))
+            p, item = p[order], item[order]
+            cut = np.flatnonzero(item[1:] != item[:-1]) + 1
+            for own, where in zip(np.split(item, cut), np.split(p, cut)):
+                size, i, _ = self.totals[own[0]].tolist()
+                out.setdefault(size, []).append((i, where))
+        return out
+
     def search(self, words: np.ndarray, spans: np.ndarray, hits: np.ndarray, least: float) -> Iterator[tuple]:
         """(item id, first word, words, similarity) of each item's best window in one document."""
         grams, weights = _grams(words, spans, self.k)
         lo = np.searchsorted(self.grams, grams[hits], "left")
         hi = np.searchsorted(self.grams, grams[hits], "right")
+        heavy = self.heavy(grams, weights, hits, least)
+        weight = np.concatenate([[0], np.cumsum(weights)])
         at: dict[int, list] = {}
         for p, a, b in zip(hits.tolist(), lo.tolist(), hi.tolist()):
             for size in set(self.sizes[a:b].tolist()):
@@ -144,6 +195,15 @@ class ItemIndex:
             starts = np.unique((p[:, None] - np.arange(span)[None, :]).ravel())
             starts = starts[(starts >= 0) & (starts <= len(words) - width)]
             window, item = self.candidates(size, simhash(grams, weights, starts, span))
+            pairs = [window * len(self.by_size[size]) + item]
+            own = weight[starts + span] - weight[starts]
+            for i, where in heavy.get(size, []):
+                mass = np.concatenate([[0], np.cumsum(weights[where])])
+                both = mass[np.searchsorted(where, starts + span)] - mass[np.searchsorted(where, starts)]
+                total = int(self.by_size[size][i][2].sum())
+                both = np.minimum(both, total)
+                pairs.append(np.flatnonzero(both / (own + total - both) >= least) * len(self.by_size[size]) + i)
+            window, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.by_size[size]))
             best: dict[int, tuple] = {}
             for s, i in zip(starts[window].tolist(), item.tolist()):
                 _, g, w = self.by_size[size][i]

@@ -159,6 +159,43 @@ def test_edited_passages_are_found(spark):
     assert all(0.8 <= r.similarity < 1 for r in found)
 
 
+def test_edits_at_the_threshold_are_found(spark):
+    """Whatever the fingerprints' distance: a long word changed in a long passage, and random edits near 0.8."""
+    rng = np.random.default_rng(11)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(n)]
+    items, docs = [], []
+    for i in range(400):
+        own = words(59) if i else words(600)
+        if not i:
+            own[300] = "q" * 140
+        items.append((i, " ".join(own)))
+        edited = list(own)
+        for at in rng.choice(59, rng.integers(1, 3), replace=False) if i else [300]:
+            edited[at] = "".join(rng.choice(list("xyz"), len(edited[at])))
+        docs.append((i, " ".join([*words(20), *edited, *words(20)])))
+
+    def grams(text):
+        w = text.split()
+        return collections.Counter(tuple(w[j:j + 5]) for j in range(len(w) - 4))
+
+    def best(item, doc):
+        a, w, n = grams(item), doc.split(), len(item.split())
+        out = 0
+        for s in range(len(w) - n + 1) if n < 100 else [20]:
+            b = grams(" ".join(w[s:s + n]))
+            mass = lambda c: sum(sum(map(len, g)) * k for g, k in c.items())
+            out = max(out, mass(a & b) / mass(a | b))
+        return out
+
+    want = {i: x for i, (_, t) in enumerate(items) if (x := best(t, docs[i][1])) >= 0.8}
+    assert 0 in want and sum(x < 0.83 for x in want.values()) > 20
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for radius in (decontaminate.RADIUS, 0):
+        got = {r.doc_id: (r.item_id, r.similarity) for r in decontaminate.benchmark_matches(df, bench, radius=radius).collect()}
+        assert got == {i: (i, pytest.approx(x)) for i, x in want.items()}
+
+
 def test_decontaminate_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame(
         [(1, "One, two three four five six seven eight nine ten!"), (2, None), (3, ""), (4, "too short"),
