@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kwhlens.llm import (
-    byte_bpe, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, pii, token_files, warc)
-from kwhlens.llm.oracle import SQL  # noqa: F401
+    byte_bpe, conversation_repair, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, oracle,
+    oracle_conversations, pii, prefix_trie, token_counts, token_files, warc)
 from kwhlens.session import Scratch
 
+SQL = oracle.SQL | oracle_conversations.SQL
+
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -90,8 +92,22 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(_table(spark, sf_dir, "documents"), WORD_BPE)
+    return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_benchmark_decontamination, op2_lm_score, op3_warc, op4_token_files, op5_site_line_dedup, op6_fingerprint,
-        op7_ngram_jaccard_join, op8_language_id, op9_byte_bpe, op10_personal_data)
+        op7_ngram_jaccard_join, op8_language_id, op9_byte_bpe, op10_personal_data,
+        op11_prefix_trie, op12_conversation_repair, op13_token_counts)
 }
