@@ -1,18 +1,20 @@
 """Treatment effects from matched panels.
 
-Every effect table is one ``groupBy`` with conditional aggregates (no Python
-loop over event times or cohorts); p-values are column expressions
-(``kwhlens.functions.stats``).
+Effects come from a table of moments (n, mean, M2 of each side) per event time and
+cohort, one ``groupBy`` over the panel.  Moments merge, so the overall effects, the
+cohorts' effects, the pre-trend test and the ATTs all derive from one such table.
+p-values are column expressions (``kwhlens.functions.stats``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kwhlens.functions.stats import Z_975, normal_two_sided_p, safe_div, t_two_sided_p
+from kwhlens.session import Scratch
 
 OUTCOME = "top3_mean_consumption"
 ATT_Z = 1.96
@@ -23,59 +25,83 @@ def _t_and_p(effect, se):
     return t, F.when(se > 0, normal_two_sided_p(t))
 
 
-def compute_effect(panel: DataFrame, outcome_col: str = OUTCOME, by_cohort: bool = False) -> DataFrame:
-    """Treated − control mean per event time (and cohort).
+def _moments(value, name: str) -> list:
+    """Count, mean and M2 of a value, NULLs left out."""
+    n = F.count(value)
+    return [n.alias(f"n_{name}"), F.avg(value).alias(f"mean_{name}"), (F.var_pop(value) * n).alias(f"m2_{name}")]
 
-    Welch standard error, normal p.  ``n_treated`` / ``n_control`` count rows
-    including missing outcomes (as in the reference) and both must be >= 2.
-    """
-    keys = (["cohort"] if by_cohort else []) + ["event_time"]
+
+def group_moments(panel: DataFrame, outcome_col: str = OUTCOME, keys: Sequence[str] = ("cohort", "event_time")) -> DataFrame:
+    """Per key: rows of treated and control units, and the moments of their outcomes, in one pass."""
     y = F.col(outcome_col)
     tr, co = F.col("treatment") == 1, F.col("treatment") == 0
-    g = (
-        panel.where(F.col("event_time").isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.avg(F.when(tr, y)).alias("mean_treated"),
-            F.avg(F.when(co, y)).alias("mean_control"),
-            F.var_samp(F.when(tr, y)).alias("_vt"),
-            F.var_samp(F.when(co, y)).alias("_vc"),
-            F.count(F.when(tr, 1)).alias("n_treated"),
-            F.count(F.when(co, 1)).alias("n_control"),
-        )
-        .where((F.col("n_treated") >= 2) & (F.col("n_control") >= 2))
-    )
-    effect = F.col("mean_treated") - F.col("mean_control")
-    se = F.sqrt(F.col("_vt") / F.col("n_treated") + F.col("_vc") / F.col("n_control"))
-    g = g.withColumn("effect", effect).withColumn("se", se)
+    return panel.where(F.col("event_time").isNotNull()).groupBy(*keys).agg(
+        F.count(F.when(tr, 1)).alias("n_treated"), F.count(F.when(co, 1)).alias("n_control"),
+        *_moments(F.when(tr, y), "t"), *_moments(F.when(co, y), "c"))
+
+
+def pair_moments(pairs: DataFrame, keys: Sequence[str] = ("cohort", "event_time")) -> DataFrame:
+    """Per key: pairs with an effect, their controls, and the moments of both sides and of the effect."""
+    known = F.col("event_time").isNotNull() & F.col("pair_effect").isNotNull()
+    return pairs.where(known).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_treated"), F.sum("n_controls").alias("n_control"),
+        *_moments(F.col("treated_y"), "t"), *_moments(F.col("matched_control_y"), "c"), *_moments(F.col("pair_effect"), "e"))
+
+
+def merge_moments(moments: DataFrame, keys: Sequence[str] = ("event_time",)) -> DataFrame:
+    """Moments of coarser keys (parallel variance merge around the common mean)."""
+    sides = [c.removeprefix("m2_") for c in moments.columns if c.startswith("m2_")]
+    whole = Window.partitionBy(*keys)
+    around = moments.withColumns({
+        f"_all_{s}": F.sum(F.col(f"n_{s}") * F.col(f"mean_{s}")).over(whole) / F.nullif(F.sum(f"n_{s}").over(whole), F.lit(0))
+        for s in sides})
+    return around.groupBy(*keys).agg(
+        F.sum("n_treated").alias("n_treated"), F.sum("n_control").alias("n_control"),
+        *[c for s in sides for c in (
+            F.sum(f"n_{s}").alias(f"n_{s}"), F.max(f"_all_{s}").alias(f"mean_{s}"),
+            F.sum(F.col(f"m2_{s}") + F.col(f"n_{s}") * F.pow(F.col(f"mean_{s}") - F.col(f"_all_{s}"), 2)).alias(f"m2_{s}"))])
+
+
+def _variance(side: str):
+    n = F.col(f"n_{side}")
+    return F.when(n > 1, F.col(f"m2_{side}") / (n - 1))
+
+
+def group_effects(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Treated − control mean with Welch standard error and normal p, from moments per key.
+
+    ``n_treated`` / ``n_control`` count rows including missing outcomes, and both must be >= 2.
+    """
+    g = moments.where((F.col("n_treated") >= 2) & (F.col("n_control") >= 2)).withColumnsRenamed(
+        {"mean_t": "mean_treated", "mean_c": "mean_control"})
+    g = g.withColumn("effect", F.col("mean_treated") - F.col("mean_control"))
+    g = g.withColumn("se", F.sqrt(_variance("t") / F.col("n_treated") + _variance("c") / F.col("n_control")))
     t, p = _t_and_p(F.col("effect"), F.col("se"))
     g = g.withColumn("t_stat", t).withColumn("p_value", p)
-    head = keys + ([] if by_cohort else ["mean_treated", "mean_control"])
+    head = list(keys) + ([] if "cohort" in keys else ["mean_treated", "mean_control"])
     return g.select(*head, "effect", "se", "t_stat", "p_value", "n_treated", "n_control")
 
 
-def compute_pair_effect(pairs: DataFrame, by_cohort: bool = False) -> DataFrame:
-    """Mean pair effect per event time (and cohort), se = sd/√n over
-    non-missing pairs; n >= 2 required."""
-    keys = (["cohort"] if by_cohort else []) + ["event_time"]
-    g = (
-        pairs.where(F.col("event_time").isNotNull() & F.col("pair_effect").isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.avg("treated_y").alias("mean_treated"),
-            F.avg("matched_control_y").alias("mean_control"),
-            F.avg("pair_effect").alias("effect"),
-            F.stddev_samp("pair_effect").alias("_sd"),
-            F.count(F.lit(1)).alias("n_treated"),
-            F.sum("n_controls").alias("n_control"),
-        )
-        .where(F.col("n_treated") >= 2)
-    )
-    g = g.withColumn("se", F.col("_sd") / F.sqrt(F.col("n_treated")))
+def pair_effects(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean pair effect, se = sd/√n, from moments per key; n >= 2 required."""
+    g = moments.where(F.col("n_treated") >= 2).withColumnsRenamed(
+        {"mean_t": "mean_treated", "mean_c": "mean_control", "mean_e": "effect"})
+    g = g.withColumn("se", F.sqrt(_variance("e")) / F.sqrt(F.col("n_treated")))
     t, p = _t_and_p(F.col("effect"), F.col("se"))
     g = g.withColumn("t_stat", t).withColumn("p_value", p)
-    return g.select(*keys, "mean_treated", "mean_control", "effect", "se", "t_stat", "p_value",
-                    "n_treated", "n_control")
+    return g.select(*keys, "mean_treated", "mean_control", "effect", "se", "t_stat", "p_value", "n_treated", "n_control")
+
+
+def compute_effect(panel: DataFrame, outcome_col: str = OUTCOME, by_cohort: bool = False) -> DataFrame:
+    """Treated − control mean per event time (and cohort), see ``group_effects``."""
+    keys = (["cohort"] if by_cohort else []) + ["event_time"]
+    return group_effects(group_moments(panel, outcome_col, keys), keys)
+
+
+def compute_pair_effect(pairs: DataFrame, by_cohort: bool = False) -> DataFrame:
+    """Mean pair effect per event time (and cohort) over non-missing pairs, see ``pair_effects``."""
+    keys = (["cohort"] if by_cohort else []) + ["event_time"]
+    return pair_effects(pair_moments(pairs, keys), keys)
 
 
 def add_confidence_interval(effects: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -156,14 +182,14 @@ def run_full_analysis(panel: DataFrame, outcome_col: str = OUTCOME, pre_start: i
     """Dynamic effects (overall, by cohort), pre-trend test, ATT over all
     post periods and the first three, per cohort too.
 
-    ``pairs=True`` takes a pair panel (M2) and uses pair-level effects.
+    The panel is read once: the moments per cohort and event time (bounded by the calendar) are written as
+    a table, from which all results derive.  ``pairs=True`` takes a pair panel (M2) and uses pair-level effects.
     """
-    if pairs:
-        overall = add_confidence_interval(compute_pair_effect(panel))
-        cohort = add_confidence_interval(compute_pair_effect(panel, by_cohort=True))
-    else:
-        overall = add_confidence_interval(compute_effect(panel, outcome_col))
-        cohort = add_confidence_interval(compute_effect(panel, outcome_col, by_cohort=True))
+    moments = Scratch(panel.sparkSession, "effects").table(
+        pair_moments(panel) if pairs else group_moments(panel, outcome_col), "moments")
+    of = pair_effects if pairs else group_effects
+    overall = add_confidence_interval(of(merge_moments(moments), ["event_time"]))
+    cohort = add_confidence_interval(of(moments, ["cohort", "event_time"]))
     out = {
         "overall": overall,
         "cohort": cohort,

@@ -120,8 +120,7 @@ def test_hour_weekday_periods(spark):
 
 def test_median_quantile_exact(spark):
     data = [("1", f"2024-01-02 {h:02d}:00:00", str(float(h))) for h in range(1, 11)]
-    res = A.aggregate_readings(readings(spark, data), None, agg_method=["median", "q90"], use_price=False,
-                               quantile_mode="exact").first()
+    res = A.aggregate_readings(readings(spark, data), None, agg_method=["median", "q90"], use_price=False).first()
     assert res.median_consumption == 5.0 and res.q90_consumption == 9.0
 
 
@@ -142,3 +141,76 @@ def test_input_order_never_changes_output(spark):
     ra = sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in a.collect()), key=key)
     rb = sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in b.collect()), key=key)
     assert ra == rb
+
+
+def _plain(rows, contracts, use_price):
+    """The statistics by joining every reading with every contract of its household."""
+    import collections
+    import statistics
+
+    groups = collections.defaultdict(list)
+    for a, ts, k in rows:
+        own = [s for h, s, _ in contracts if h == a] or [None]
+        high = (ts.month in (11, 12, 1, 2, 3) and ts.weekday() < 5 and 7 <= ts.hour <= 19
+                and ts.date() not in (dt.date(2024, 1, 1), dt.date(2024, 1, 6)))
+        for s in own:
+            active = int(s is not None and ts >= s)
+            for p in ("all", "high" if high else "low") if use_price else ("all",):
+                groups[a, ts.month, p, active].append((ts, k))
+    out = {}
+    for key, found in groups.items():
+        v = sorted(k for _, k in found if k is not None)
+        days = collections.defaultdict(list)
+        for ts, k in found:
+            days[ts.date()].append((k is None, -(k or 0), ts, k))
+        top = sorted(min(d) for d in days.values())[:3]
+        rank = lambda q: v[max(1, -(-int(q * 10) * len(v) // 10)) - 1] if v else None
+        out[key] = (
+            sum(v) if v else None, statistics.variance(v) if len(v) > 1 else None, max(v, default=None), rank(0.5), rank(0.9),
+            tuple(t[2] for t in top) + (None,) * (3 - len(top)), tuple(t[3] for t in top) + (None,) * (3 - len(top)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["string", "date"])
+@pytest.mark.parametrize("use_price", [True, False])
+def test_contracts_after_midnight_and_several_per_household(spark, kind, use_price):
+    """The eager form equals the join of every reading with every contract, also on days on which a contract starts."""
+    import random
+
+    r = random.Random(3)
+    rows = [(str(a), dt.datetime(2024, m, d, h, r.choice([0, 30])), r.choice([None, 0.0, -1.5, 2.25, round(r.random() * 9, 3)]))
+            for a in range(4) for m in (1, 2) for d in range(1, 9) for h in r.sample(range(24), 4)]
+    rows += rows[:7]  # repeated readings
+    contracts = [("0", dt.datetime(2024, 1, 3, 9), "x"), ("1", dt.datetime(2024, 1, 4), "x"), ("1", dt.datetime(2024, 2, 5, 13, 30), "y"),
+                 ("1", dt.datetime(2024, 2, 5, 13, 30), "y"), ("2", None, "x"), ("2", dt.datetime(2024, 2, 2, 6), "x")]
+    if kind == "date":
+        contracts = [(a, s and dt.datetime(s.year, s.month, s.day), p) for a, s, p in contracts]
+    t = spark.createDataFrame(
+        [(a, s and (str(s) if kind == "string" else s.date()), p) for a, s, p in contracts],
+        f"aID string, tariff_start {kind}, tariff_plan string")
+    df = spark.createDataFrame(rows, "aID string, TIDPUNKT timestamp_ntz, FORBRUKNING_KWH double")
+    res = A.aggregate_readings(df, t, agg_method=["sum", "variance", "max", "median", "q90", "top3_mean"], use_price=use_price,
+                               add_user_group_col=[0.25, 0.75])
+    got = {(x.aID, x.TIDPUNKT.month, x.price, x.tariff_active): (
+        x.sum_consumption, x.variance_consumption, x.max_consumption, x.median_consumption, x.q90_consumption,
+        (x.peak1_time, x.peak2_time, x.peak3_time), (x.peak1_consumption, x.peak2_consumption, x.peak3_consumption))
+        for x in res.collect()}
+    want = _plain(rows, contracts, use_price)
+    assert got.keys() == want.keys()
+    for key, w in want.items():
+        assert got[key][:2] == (pytest.approx(w[0]), pytest.approx(w[1])), key
+        assert got[key][2:] == w[2:], key
+    totals = {x.aID: x.total_consumption for x in res.collect()}
+    for a in totals:  # each reading counts once
+        assert totals[a] == pytest.approx(sum(k for h, _, k in rows if h == a and k is not None))
+
+
+def test_one_scan_and_no_join_of_readings(spark):
+    """In the plan the readings are read once, and the contracts are joined above the household groups."""
+    df = readings(spark, [("1", "2024-01-10 08:00:00", "1.0")])
+    t = spark.createDataFrame([("1", dt.date(2024, 1, 5), "Tid 16 kW Villa")], "aID string, tariff_start date, tariff_plan string")
+    res = A.aggregate_readings(df.withColumn("marker", F.lit("x")), t, agg_method=["top3_mean", "median", "mean"])
+    plan = res._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2  # starts of the contracts, and the contract shown
+    below, right = plan[plan.index("collect_list(struct(_day"):].split("Project [", 1)[0], plan
+    assert "Join" not in below and right.count("marker") == 0
