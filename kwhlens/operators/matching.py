@@ -17,6 +17,9 @@ never runs on ``Ti`` alone:
   ``WindowGroupLimit`` before the shuffle, so at most k candidates per treated
   unit and map task cross the network.
 
+Without blocking, cohorts of many pairs are matched by pivots (``pivot_knn``), exactly but
+without comparing all treated × control pairs.
+
 Equal distances are ordered by control id.
 """
 
@@ -28,6 +31,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kwhlens.operators.pivot_knn import nearest_controls
+
+#: Without blocking, treated × control pairs of all cohorts up to which they are simply compared; beyond it by pivots.
+PLAIN_PAIRS = 20_000_000
 #: Controls of a cohort that one salt holds.
 ROWS_PER_SALT = 20_000
 
@@ -96,6 +103,24 @@ def candidate_pairs(
     return cand
 
 
+def _by_pivots(profiles_z: DataFrame, prune: bool | None) -> bool:
+    """Whether to prune by pivots: as told, or by the measured number of pairs (both ways give the same result)."""
+    if prune is not None:
+        return prune
+    sizes = profiles_z.groupBy("Ti").agg(*[
+        F.count(F.when(F.col("group") == g, 1)).alias(g) for g in ("treated", "control")])
+    return (sizes.agg(F.sum(F.col("treated") * F.col("control"))).first()[0] or 0) > PLAIN_PAIRS
+
+
+def _pivot_matches(profiles_z: DataFrame, feature_cols: Sequence[str], complete_case: bool, k: int, rows_per_salt: int,
+                   **options) -> DataFrame:
+    zc = [f"{c}_z" for c in feature_cols]
+    t, c = _split(profiles_z.dropna(subset=zc) if complete_case else profiles_z, zc)
+    matches, _ = nearest_controls(t, c, zc, k, rows_per_salt=rows_per_salt, **options)
+    return matches.select(F.col("t_id").alias("treated_id"), F.col("c_id").alias("control_id"),
+                          F.col("Ti").alias("adoption_month"), "distance", "valid_dim", "match_rank")
+
+
 def _top_k(cand: DataFrame, k: int, extra: Sequence[str] = ()) -> DataFrame:
     w = Window.partitionBy("Ti", "t_id").orderBy(F.col("distance").asc(), F.col("c_id").asc())
     return (
@@ -120,9 +145,15 @@ def match_topk(
     use_peak_blocking: bool = True,
     peak_block_col: str = "peak_mean",
     rows_per_salt: int = ROWS_PER_SALT,
+    prune: bool | None = None,
 ) -> DataFrame:
-    """Complete-case Euclidean kNN, optional peak blocking on the raw feature."""
+    """Complete-case Euclidean kNN, optional peak blocking on the raw feature.
+
+    Without blocking, ``prune`` chooses the pivot join (None: by the measured number of pairs).
+    """
     block = peak_block_col if (use_peak_blocking and peak_block_col in feature_cols) else None
+    if block is None and _by_pivots(profiles_z, prune):
+        return _pivot_matches(profiles_z, feature_cols, True, k_neighbors, rows_per_salt).drop("valid_dim")
     cand = candidate_pairs(profiles_z, feature_cols, True, block, blocking_threshold, rows_per_salt)
     d2 = sum((F.pow(F.col(f"t_{c}_z") - F.col(f"c_{c}_z"), 2) for c in feature_cols), F.lit(0.0))
     return _top_k(cand.withColumn("distance", F.sqrt(d2)), k_neighbors)
@@ -147,11 +178,18 @@ def match_topk_allow_missing(
     min_valid_dim: int | None = None,
     min_valid_share: float = 0.3,
     rows_per_salt: int = ROWS_PER_SALT,
+    prune: bool | None = None,
 ) -> DataFrame:
     """Distance over dimensions present on both sides, ``sqrt(Σ d² / valid_dim)``;
-    pairs with fewer than ``max(2, int(0.3·dim))`` shared dimensions are dropped."""
+    pairs with fewer than ``max(2, int(0.3·dim))`` shared dimensions are dropped.
+
+    ``prune`` chooses the pivot join (None: by the measured number of pairs).
+    """
     if min_valid_dim is None:
         min_valid_dim = default_min_valid_dim(len(feature_cols), min_valid_share)
+    if _by_pivots(profiles_z, prune):
+        return _pivot_matches(profiles_z, feature_cols, False, k_neighbors, rows_per_salt, min_valid=min_valid_dim,
+                              per_feature=True)
     cand = _missing_aware(candidate_pairs(profiles_z, feature_cols, False, None, rows_per_salt=rows_per_salt), feature_cols)
     cand = cand.where(F.col("valid_dim") >= min_valid_dim).withColumn(
         "distance", F.sqrt(F.col("_sq") / F.col("valid_dim"))

@@ -11,7 +11,7 @@ from kwhlens.operators import profiles as Fp
 from kwhlens.plans import oracle as O
 from kwhlens.plans import oracle_matching as OM
 from kwhlens.plans import pipelines as L
-from kwhlens.plans.registry import month_result, register
+from kwhlens.plans.registry import REGISTRY, month_result, register
 
 SUMMARY_L1 = ["peak_mean", "mean_consumption", "peak_sd", "trend"]
 CAL_MONTHS = [1, 2, 3, 11, 12]
@@ -148,6 +148,12 @@ register("knn_lags", "N3,L2", q(_lag_z_sql() + "," + OM.knn_missing(LAGS, 5), "S
     lambda s, d: L.run_time_series_matching(risk(s, d, 12), 12, 5)["matches"])
 
 
+register("knn_nonblocked_pivots", "N1", REGISTRY["knn_nonblocked"].sql)(
+    lambda s, d: N.match_topk(summary_z(s, d), SUMMARY_L1, 3, use_peak_blocking=False, prune=True))
+register("knn_missing_pivots", "N3", REGISTRY["knn_missing_1year"].sql)(
+    lambda s, d: N.match_topk_allow_missing(*calendar_z(s, d, 1), 5, prune=True))
+
+
 def _vdd_sql():
     ctes, cols = sql_calendar_z(2)
     return q(ctes + "," + OM.knn_candidates_missing(cols),
