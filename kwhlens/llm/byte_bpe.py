@@ -6,6 +6,10 @@ before a mark that is neither space, letter nor number.  There every match ends,
 whatever follows, and the next one starts as it would in the whole text; so the
 pieces' ids, put together, are those of the whole text.  A run without such
 a boundary stays whole.
+
+Long runs of white space would exhaust the stack of the library's pattern matcher, so they don't reach it:
+such a run is one match up to its last character (at the text's end, with it), and the
+last one begins the following match.  Its bytes are encoded as one piece, without the pattern.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from kwhlens.llm.words import parts, tidy
 
 #: Characters from which on a text is cut, and the least length of a piece.
 LONG = 1 << 16
+#: White-space characters in a row from which on a run is encoded without the pattern.
+LONG_SPACE = 1 << 12
 _BOUNDARY = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \n]|[^\s\p{L}\p{N}])")
 
 
@@ -48,13 +54,29 @@ def pieces(text: str, long: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
+@functools.lru_cache(maxsize=4)
+def _space_run(least: int) -> regex.Pattern:
+    return regex.compile(rf"\p{{White_Space}}{{{least},}}")
+
+
+def encode_text(enc: tiktoken.Encoding, text: str, long: int = LONG, long_space: int = LONG_SPACE) -> list[list[int]]:
+    """The ids of a whole text, in lists to be put together."""
+    out, at = [], 0
+    for run in _space_run(max(2, long_space)).finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += [enc.encode_ordinary(piece) for piece in pieces(text[at : run.start()], long)]
+        out.append(enc._encode_single_piece(text[run.start() : end].encode()))
+        at = end
+    return out + [enc.encode_ordinary(piece) for piece in pieces(text[at:], long)]
+
+
 def _encode_map(shared, pattern: str, long: int, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(shared.value, pattern)
         for batch in parts(batches, 128):
             held, ends, raw, n = [], [0], [], 0
             for text in pc.fill_null(batch.column(1), "").to_pylist():
-                own = [enc.encode_ordinary(piece) for piece in pieces(text, long)]
+                own = encode_text(enc, text, long)
                 held += [np.array(x, dtype=np.int32) for x in own]
                 n += sum(map(len, own))
                 ends.append(n)

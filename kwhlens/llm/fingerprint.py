@@ -4,8 +4,9 @@ A text is the set of its word 5-grams (lower case A-Z).  Each is hashed to 48
 bits (the first 12 hex digits of its MD5), and every hash below ``fraction`` of
 the range is retained, so a sketch grows with its text, the sketch of a union is the
 union of the sketches, and containment can be estimated between texts of very
-unequal lengths.  A text of which none is below keeps its smallest hash, so that only
-texts without words have an empty sketch.
+unequal lengths.  A text of which none is below keeps its smallest hash as a mark, so that only
+texts without words have an empty sketch.  A mark isn't retained: it counts for likeness only, is left out of
+containment, and goes when sketches are merged and one has retained hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def sketch(text: Column, fraction: float = FRACTION, shingle: int = SHINGLE) -> Column:
     """Sorted distinct retained hashes (array of 12 hex digits each); empty for null and wordless texts."""
-    limit = F.lit(f"{int(fraction * (1 << 48)):012x}")
+    limit = _limit(fraction)
 
     def of_words(words: Column) -> Column:
         last = F.greatest(F.size(words) - shingle + 1, F.least(F.size(words), F.lit(1)))
@@ -54,14 +55,27 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 for an empty sketch."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def _limit(fraction: float) -> Column:
+    return F.lit(f"{int(fraction * (1 << 48)):012x}")
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+def retained(a: Column, fraction: float = FRACTION) -> Column:
+    """The hashes of a sketch below the threshold."""
+    return F.filter(a, lambda x: x < _limit(fraction))
+
+
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of a's shingles that b has; 1 for an empty sketch, null if a has words but no retained hash."""
+    own = retained(a, fraction)
+    both = F.size(F.array_intersect(own, retained(b, fraction)))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(own) > 0, both / F.size(own))
+
+
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of two texts' shingles together: all retained hashes, or the smallest mark if there are none."""
+    every = F.array_sort(F.array_union(a, b))
+    return let(every, lambda e: let(
+        retained(e, fraction), lambda low: F.when(F.size(low) > 0, low).otherwise(F.slice(e, 1, 1))))
 
 
 def as_text(sketch_col: Column) -> Column:
@@ -117,18 +131,19 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = scratch.table(following_ids(base, scratch), "order")
     if base.select("doc_id").count() > order.count():  # repeated ids
         base = base.groupBy("doc_id").agg(F.min("text").alias("text"))
+    # each text is sketched once, and the sketch goes with it
+    base = base.select("doc_id", "text", sketch(F.col("text"), fraction, shingle).alias("sketch"))
     third = F.floor(F.char_length("text") / 3).cast("int")
     # how much of each document its predecessor takes
     wanted = base.select("doc_id", third.alias("take")).join(order, "doc_id").select(
         F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "take")
     lent = base.join(wanted, "doc_id").select(
         F.col("before").alias("doc_id"), F.expr("substring(text, 1, take)").alias("piece"),
-        sketch(F.col("text"), fraction, shingle).alias("next_sketch"))
+        F.col("sketch").alias("next_sketch"))
     edited = base.join(lent, "doc_id").select(
-        "doc_id", "text", "next_sketch",
+        "doc_id", "text", "sketch", "next_sketch",
         F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"),
                  "piece").alias("edited"))
     return edited.select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited",
-        sketch(F.col("text"), fraction, shingle).alias("sketch"),
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited", "sketch",
         sketch(F.col("edited"), fraction, shingle).alias("edited_sketch"), "next_sketch")

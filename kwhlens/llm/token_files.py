@@ -9,12 +9,14 @@ offset.  Reading maps the files into memory.
 
 Encoding uses the tokenizers library.  White space never is part of a token of
 a tokenizer that splits at it, so a text's ids are those of its ASCII-space-separated
-words in order.  Each distinct word of a chunk is encoded once and kept in a
-bounded table of the Python worker; texts are put together from it by NumPy.
+words in order.  Each distinct word of a chunk (in small letters if the tokenizer makes
+them so) is encoded once and kept in a bounded table of the Python worker; texts are put together
+from it by NumPy.  With a tokenizer that isn't known to split so, whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -34,6 +36,19 @@ TABLE_WORDS = 3_000_000
 CHUNK_BYTES = 8 << 20
 #: Marks that are tokens of their own after a word of letters.
 _MARKS = ".,;:!?"
+#: Fixed value: the split pattern by which words can be encoded one by one.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_at_space(spec: dict) -> bool:
+    """Whether the file is a BPE whose words end in ``</w>``, split by ``_WORDS``, with known normalizers only."""
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
+    first = split[0]
+    kinds = {x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {"type": "NFC"}])}
+    return (spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>"
+            and first.get("pattern") == {"Regex": _WORDS} and first.get("invert") is True
+            and first.get("behavior") == "Removed" and kinds <= {"NFC", "Replace", "Lowercase"}
+            and all(x.get("type") == "ByteLevel" and not x.get("use_regex") and not x.get("add_prefix_space") for x in split[1:]))
 
 
 def _all_letters(word: str) -> bool:
@@ -50,11 +65,18 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self._reset()
+        parsed = json.loads(spec)
+        self.by_words = _splits_at_space(parsed)
+        self.lower = "Lowercase" in json.dumps(parsed.get("normalizer"))
+        if not self.by_words:
+            return
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.mark = {m: self._each([m])[0] for m in _MARKS}
-        self._reset()
 
     def _reset(self) -> None:
         self.hash = np.zeros(0, np.uint64)
@@ -106,7 +128,12 @@ class WordEncoder:
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, their count per document)."""
-        parts = [word_hashes(raw, off[i : j + 1], spans=True) for i, j in slices(off)]
+        if not self.by_words:
+            text = raw[int(off[0]) : int(off[-1])].tobytes()
+            at = (off - off[0]).tolist()
+            own = self._each([text[a:b].decode("utf-8") for a, b in zip(at, at[1:])])
+            return np.concatenate([np.zeros(0, np.uint32), *own]), np.array([len(x) for x in own], np.int64)
+        parts = [word_hashes(raw, off[i : j + 1], spans=True, lower=self.lower) for i, j in slices(off)]
         bases = [int(off[i] - off[0]) for i, _ in slices(off)]
         words = np.concatenate([p[0] for p in parts])
         spans = np.concatenate([p[2] + b for p, b in zip(parts, bases)])
@@ -150,13 +177,14 @@ def _write_map(shared, folder: str, end_id: int | None, dtype: str):
         system, path = open_folder(folder)
         part = TaskContext.get().partitionId()
         name = f"{path}/part-{part:06d}"
-        n_docs, n_tokens = 0, 0
+        n_docs, n_tokens, n_null = 0, 0, 0
         with (AtomicFile(system, f"{name}.bin") as out, AtomicFile(system, f"{name}.off") as offsets,
               AtomicFile(system, f"{name}.ids") as doc_ids):
             offsets.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
                 raw, off = text_buffers(batch.column(1))
-                own = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype("<i8")
+                n_null += batch.column(0).null_count  # they come first
+                own = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
                 for i, j in slices(off, CHUNK_BYTES):
                     ids, count = encoder.encode(raw, off[i : j + 1])
                     if end_id is not None:
@@ -169,20 +197,21 @@ def _write_map(shared, folder: str, end_id: int | None, dtype: str):
                     n_docs += j - i
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()),
-            "n_tokens": pa.array([n_tokens], pa.int64())})
+            "n_tokens": pa.array([n_tokens], pa.int64()), "n_null": pa.array([n_null], pa.int64())})
 
     return run
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int | None = None,
                  id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """Writes the token files into ``folder`` and returns their manifest (part, base, n_docs, n_tokens).
+    """Writes the token files into ``folder`` and returns their manifest (part, base, n_docs, n_tokens, n_null, dtype).
 
-    Documents are in ascending doc_id order, those without doc_id first (written as
-    -1) and rows that repeat a doc_id in the order of their texts; each row is a
+    Documents are in ascending doc_id order, those without doc_id first (``n_null`` of a
+    part) and rows that repeat a doc_id in the order of their texts; each row is a
     document.  Null and empty texts have no ids but the end id.  Other columns are
     not read.  An empty table gives an empty manifest.  ``end_id`` (if any)
-    follows each document.  The manifest has a row per partition; its prefix
+    follows each document.  Rows without doc_id, or of one doc_id, are dealt over tasks by the
+    beginnings of their texts.  The manifest has a row per partition; its prefix
     sums are taken on the driver.
     """
     spark = docs.sparkSession
@@ -196,14 +225,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
     system.create_dir(path, recursive=True)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.rdd.getNumPartitions())
-    parts = (base.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = (base.repartitionByRange(n, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
              .mapInArrow(_write_map(spark.sparkContext.broadcast(spec), folder, end_id, dtype),
-                         "part long, n_docs long, n_tokens long").collect())
+                         "part long, n_docs long, n_tokens long, n_null long").collect())
     rows, start = [], 0
     for r in sorted(parts):
-        rows.append((r.part, start, r.n_docs, r.n_tokens, dtype))
+        rows.append((r.part, start, r.n_docs, r.n_tokens, r.n_null, dtype))
         start += r.n_tokens
-    return spark.createDataFrame(rows, "part long, base long, n_docs long, n_tokens long, dtype string")
+    return spark.createDataFrame(rows, "part long, base long, n_docs long, n_tokens long, n_null long, dtype string")
 
 
 def _read_map(folder: str, docs_at_once: int = 1024):
@@ -220,9 +249,9 @@ def _read_map(folder: str, docs_at_once: int = 1024):
                     at = off[i : i + docs_at_once + 1].astype(np.int64)
                     wide = tokens[at[0] : at[-1]].astype("<u4").tobytes()
                     edge = ((at - at[0]) * 4).tolist()
-                    own = ids[i : i + docs_at_once].tolist()
+                    own = [None if i + k < r["n_null"] else x for k, x in enumerate(ids[i : i + docs_at_once].tolist())]
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array([None if x == -1 else x for x in own], pa.int64()),
+                        "doc_id": pa.array(own, pa.int64()),
                         "start": pa.array(r["base"] + at[:-1]), "n_tokens": pa.array(np.diff(at)),
                         "tokens": pa.array([wide[a:b] for a, b in zip(edge, edge[1:])], pa.binary())})
 

@@ -100,9 +100,9 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray, punct: bool = False,
-                spans: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Hashes of the lower-cased (A-Z) words of documents, and each document's first word.
+def word_hashes(raw: np.ndarray, off: np.ndarray, punct: bool = False, spans: bool = False,
+                lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Hashes of the words of documents, lower-cased (A-Z) unless told otherwise, and each document's first word.
 
     ``off`` holds the byte offsets of the documents (one more than documents).
     Returns (hash per word, word offset per document, word start bytes).
@@ -123,7 +123,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, punct: bool = False,
     tails = docs[1:][docs[1:] > 0] - 1
     end[tails] = solid[tails]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    low = _LOWER[buf]
+    low = _LOWER[buf] if lower else buf
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[low] * _power(_MUL, n, "mul")[:n], out=total[1:])

@@ -61,6 +61,44 @@ def test_pieces_are_safe(text, long):
     assert [i for p in parts for i in e.encode_ordinary(p)] == e.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1 '\n\t.,!é\x85\u2003 \x1cs", max_size=60), st.integers(2, 5))
+def test_space_runs_beside_the_pattern(text, least):
+    me = test_space_runs_beside_the_pattern
+    if not hasattr(me, "enc"):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+        me.enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert [i for x in byte_bpe.encode_text(me.enc, text, 8, least) for i in x] == me.enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\u2003", " \n"])
+def test_long_runs_of_space(enc, space):
+    """2 million in a row, at the start, in the middle and at the end: no crash, and the ids follow those of runs that the library takes."""
+    def ids(text):
+        return [i for x in byte_bpe.encode_text(enc, text) for i in x]
+
+    def one(piece):
+        return enc._encode_single_piece(piece.encode())
+
+    for n in (3000, 2_000_000):
+        run = (space * n)[:n]
+        cases = {
+            run + "word": one(run[:-1]) + enc.encode_ordinary(run[-1] + "word"),
+            "a b" + run + "word": enc.encode_ordinary("a b") + one(run[:-1]) + enc.encode_ordinary(run[-1] + "word"),
+            "a b" + run: enc.encode_ordinary("a b") + one(run), run: one(run)}
+        for text, want in cases.items():
+            assert ids(text) == want
+            assert b"".join(enc.decode_bytes(x) for x in byte_bpe.encode_text(enc, text)) == text.encode()
+            if n == 3000:
+                assert want == enc.encode_ordinary(text)
+
+
+def test_long_runs_of_space_in_spark(spark, enc):
+    docs = spark.createDataFrame([(1, " " * 1_500_000 + "x"), (2, "\n" * 1_500_000)], "doc_id long, text string")
+    got = byte_bpe.encode(docs, RANKS, P.PATTERN, decoded=True).selectExpr("doc_id", "length(decoded) n").collect()
+    assert sorted(map(tuple, got)) == [(1, 1_500_001), (2, 1_500_000)]
+
+
 def _want(texts, tok):
     start, out = 0, []
     for d, t in texts:
@@ -100,3 +138,26 @@ def test_word_encoder_equals_whole_texts(texts):
     want = [me.enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert count.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_case_sensitive_tokenizers(spark, tmp_path, folder):
+    """A tokenizer without lower-casing keeps The and THE apart; one with another splitting rule is used on whole texts."""
+    import json
+
+    plain = json.load(open(queries.WORD_BPE, encoding="utf-8"))
+    plain["normalizer"] = {"type": "NFC"}
+    spaced = json.loads(json.dumps(plain))
+    spaced["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    texts = [(-1, "The the THE Cat cat"), (None, "no id"), (-2, "a.b C.D  e"), (3, None), (None, "A")]
+    for k, spec in enumerate((plain, spaced)):
+        file = tmp_path / f"{k}.json"
+        file.write_text(json.dumps(spec), encoding="utf-8")
+        lib = Tokenizer.from_str(json.dumps(spec))
+        lib.encode_special_tokens = True
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        manifest = token_files.write_tokens(df, f"{folder}-{k}", str(file), partitions=2)
+        got = token_files.read_tokens(spark, f"{folder}-{k}", manifest).orderBy("start", "n_tokens").collect()
+        order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        assert [(r.doc_id, np.frombuffer(r.tokens, "<u4").tolist()) for r in got if r.n_tokens] == [
+            (d, lib.encode(t, add_special_tokens=False).ids) for d, t in order if t]
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in texts)
