@@ -32,7 +32,7 @@ DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 256 << 20
 #: Revisits (page_id, digest and the response's page_id) broadcast at most.
 BROADCAST_ROWS = 200_000
-RECORD_SCHEMA = ("record_id string, record_type string, concurrent_to string, target_uri string, date string, "
+RECORD_SCHEMA = ("record_id string, record_type string, concurrent_to array<string>, target_uri string, date string, "
                  "stated_digest string, content_type string, payload binary, payload_bytes long, payload_digest string")
 
 
@@ -180,11 +180,18 @@ class _Bytes:
 
 
 def parse(stream, packed: bool) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record; the length counts, not what the block holds."""
+    """(headers with lower-case names, block) of each record; the length counts, not what the block holds.
+
+    Of ``WARC-Concurrent-To``, the one field that may be repeated, all values are kept, a line each.
+    """
     data = _Bytes(stream, packed)
     while (head := data.until(b"\r\n\r\n")) is not None:
         lines = head.decode("utf-8", "replace").strip("\r\n").split("\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        fields: dict[str, str] = {}
+        for line in lines[1:]:
+            key, _, value = line.partition(":")
+            key, value = key.strip().lower(), value.strip()
+            fields[key] = f"{fields[key]}\n{value}" if key == "warc-concurrent-to" and key in fields else value
         block = data.take(int(fields.get("content-length", 0)))
         data.take(4)
         yield fields, block
@@ -193,7 +200,7 @@ def parse(stream, packed: bool) -> Iterator[tuple[dict[str, str], bytes]]:
 def _read_map(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_folder(folder)
-        kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+        kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
         schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in RECORD_SCHEMA.split(", ")])
         for batch in batches:
             for name in batch.column(0).to_pylist():
@@ -205,7 +212,7 @@ def _read_map(folder: str):
                             payload = block.partition(b"\r\n\r\n")[2]
                         rows.append({
                             "record_id": head.get("warc-record-id"), "record_type": head.get("warc-type"),
-                            "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"),
+                            "concurrent_to": head.get("warc-concurrent-to", "").split(), "target_uri": head.get("warc-target-uri"),
                             "date": head.get("warc-date"),
                             "stated_digest": head.get("warc-payload-digest", "").partition(":")[2] or None,
                             "content_type": head.get("content-type"), "payload": payload, "payload_bytes": len(payload),
@@ -227,12 +234,13 @@ def read_records(spark: SparkSession, folder: str, names: list[str]) -> DataFram
 
 # ------------------------------------------------------------------ assembly
 def assemble(records: DataFrame) -> DataFrame:
-    """(capture_id, response, request, metadata): one nested row per capture.
+    """(capture_id, response, request, metadata, more_requests): one nested row per capture.
 
     ``response`` is the response or revisit, ``request`` the request with the
-    smallest id, ``metadata`` the list of metadata records by id.  Any of
-    them may point to another: request and metadata to the response, the
-    response to its request, metadata to the request.  Records that point to none of
+    smallest id, ``more_requests`` any others by id, ``metadata`` the list of metadata records by id.  Any of
+    them may point to others, to several if the field is repeated: request and metadata to the response, the
+    response to its request, metadata to the request.  A record that belongs to several
+    captures is in each.  Records that point to none of
     the given responses make a capture of their own without response.  Records of
     other types (warcinfo) belong to no capture.
 
@@ -244,24 +252,24 @@ def assemble(records: DataFrame) -> DataFrame:
                     "payload_bytes", "payload_digest")
     main = records.where("record_type in ('response', 'revisit')")
     links = records.where("record_type in ('request', 'response', 'revisit')").select(
-        "record_id", "record_type", "concurrent_to")
-    # request id -> id of its response, pointed to from either side
-    from_main = links.where("record_type <> 'request' and concurrent_to is not null").select(
-        F.col("concurrent_to").alias("rid"), F.col("record_id").alias("cid"))
-    from_ask = links.where("record_type = 'request' and concurrent_to is not null").select(
-        F.col("record_id").alias("rid"), F.col("concurrent_to").alias("cid"))
-    owner = from_main.union(from_ask).groupBy("rid").agg(F.min("cid").alias("cid"))
+        "record_id", "record_type", F.explode("concurrent_to").alias("other"))
+    # request id -> ids of its responses, pointed to from either side
+    from_main = links.where("record_type <> 'request'").select(F.col("other").alias("rid"), F.col("record_id").alias("cid"))
+    from_ask = links.where("record_type = 'request'").select(F.col("record_id").alias("rid"), F.col("other").alias("cid"))
+    owner = from_main.union(from_ask).distinct()
     asks = records.where("record_type = 'request'").join(owner, F.col("record_id") == F.col("rid"), "left").select(
         F.coalesce("cid", "record_id").alias("capture_id"), part.alias("request"))
-    asks = asks.groupBy("capture_id").agg(F.min_by("request", F.col("request.record_id")).alias("request"))
-    about = records.where("record_type = 'metadata'").join(
-        owner, F.col("concurrent_to") == F.col("rid"), "left").select(
-        F.coalesce("cid", "concurrent_to", "record_id").alias("capture_id"), part.alias("m"))
-    about = about.groupBy("capture_id").agg(F.array_sort(F.collect_list("m")).alias("metadata"))
+    asks = asks.groupBy("capture_id").agg(F.array_sort(F.collect_list("request")).alias("requests")).select(
+        "capture_id", F.col("requests")[0].alias("request"),
+        F.slice("requests", F.lit(2), F.greatest(F.lit(0), F.size("requests") - 1)).alias("more_requests"))
+    told = records.where("record_type = 'metadata'").select("*", F.explode_outer("concurrent_to").alias("other"))
+    about = told.join(owner, F.col("other") == F.col("rid"), "left").select(
+        F.coalesce("cid", "other", "record_id").alias("capture_id"), part.alias("m"))
+    about = about.groupBy("capture_id").agg(F.array_sort(F.collect_set("m")).alias("metadata"))
     main = main.select(F.col("record_id").alias("capture_id"), part.alias("response"))
     # the small sides first, so that payloads are shuffled once, and not at all by who doesn't read them
     return main.join(asks.join(about, "capture_id", "full"), "capture_id", "full").select(
-        "capture_id", "response", "request", "metadata")
+        "capture_id", "response", "request", "metadata", "more_requests")
 
 
 def page_summary(captures: DataFrame) -> DataFrame:

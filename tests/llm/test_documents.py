@@ -191,9 +191,33 @@ def test_edits_at_the_threshold_are_found(spark):
     assert 0 in want and sum(x < 0.83 for x in want.values()) > 20
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for radius in (decontaminate.RADIUS, 0):
-        got = {r.doc_id: (r.item_id, r.similarity) for r in decontaminate.benchmark_matches(df, bench, radius=radius).collect()}
-        assert got == {i: (i, pytest.approx(x)) for i, x in want.items()}
+    got = {r.doc_id: (r.item_id, r.similarity) for r in decontaminate.benchmark_matches(df, bench).collect()}
+    assert got == {i: (i, pytest.approx(x)) for i, x in want.items()}
+    # the index decides: without a radius it finds only what has the very same fingerprint
+    least = {r.doc_id for r in decontaminate.benchmark_matches(df, bench, radius=0).collect()}
+    assert least <= set(want) and len(least) < 0.5 * len(want)
+
+
+def test_recall_of_the_index_at_the_threshold():
+    """Edits of weighted similarity 0.80 to 0.83, a third of them by one long word: at least 0.99 are within the radius."""
+    rng = np.random.default_rng(5)
+    near = []
+    while len(near) < 2000:
+        n = int(rng.integers(30, 120))
+        grams, weights = rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(10, 40, n)
+        if len(near) % 3 == 0:
+            weights[0] = rng.integers(50, 400)
+        other, v = grams.copy(), weights.copy()
+        for at in range(n):  # change shingles until the similarity is within the band
+            both = int(weights[other == grams].sum())
+            sim = both / (2 * int(weights.sum()) - both)
+            if sim < 0.83:
+                break
+            other[at] = rng.integers(0, 2**63)
+        if 0.8 <= sim < 0.83:
+            a, b = (decontaminate.simhash(g, w, np.array([0]), n)[0] for g, w in ((grams, weights), (other, v)))
+            near.append(int(np.bitwise_count(a ^ b)) <= decontaminate.RADIUS)
+    assert np.mean(near) >= 0.99
 
 
 def test_decontaminate_odd_rows(spark, odd, empty):
@@ -205,6 +229,10 @@ def test_decontaminate_odd_rows(spark, odd, empty):
         (1, 1, 0), (2, 1, 0), (2, 1, 0), (9, 5, 0)]
     assert sorted(r.doc_id for r in decontaminate.decontaminate(odd, bench).where("doc_id is not null").collect()) == [
         3, 4, 5, 6, 7, 8, 10]
+    mixed = spark.createDataFrame([(1, "clean text of its own"), (1, "one two three four five six seven eight nine ten"),
+                                   (None, "one two three four five six seven eight nine ten"), (None, None)],
+                                  "doc_id long, text string")
+    assert rows(decontaminate.decontaminate(mixed, bench)) == [(1, "clean text of its own"), (None, None)]
     assert decontaminate.benchmark_matches(empty, bench).count() == 0
     assert decontaminate.benchmark_matches(odd, bench.where("item_id < 0")).count() == 0
 
@@ -250,6 +278,23 @@ def test_sketches_merge_and_estimate(spark):
     assert r[0] == 1.0 and abs(r[1] - 0.25) < 0.05 and r[2]
 
 
+def test_short_and_long_sketches(spark):
+    """The sketch of two texts is that of both together, however short one is; a mark is not retained."""
+    rng = np.random.default_rng(2)
+    rows_ = []
+    for i in range(100):
+        words = [f"t{x}" for x in rng.integers(0, 10**6, 200)]
+        rows_.append((" ".join(words[:7]) if i else "", " ".join(words)))
+    f = fingerprint
+    df = spark.createDataFrame(rows_, "a string, b string").select(
+        f.sketch(F.col("a")).alias("a"), f.sketch(F.col("b")).alias("b"))
+    for r in df.select("a", "b", f.merged(F.col("a"), F.col("b")).alias("m"), f.merged(F.col("a"), F.col("a")).alias("s"),
+                       f.containment(F.col("a"), F.col("b")).alias("c")).collect():
+        assert r.m == r.b and r.s == r.a  # the short text is part of the long one
+        low = [x for x in r.a if x < "200000000000"]
+        assert r.c == (1.0 if low or not r.a else None)
+
+
 # ------------------------------------------------------------------ language ID
 def test_language_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"

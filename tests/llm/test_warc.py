@@ -72,7 +72,7 @@ def test_archives_follow_the_format(pages, folder):
 
 def test_links_in_any_direction(spark):
     def rec(i, kind, to):
-        return (i, kind, to, "u", "d", None, "c", b"p", 1, None)
+        return (i, kind, to.split() if to else [], "u", "d", None, "c", b"p", 1, None)
 
     records = spark.createDataFrame([
         rec("r1", "response", "q1"), rec("q1", "request", None), rec("m1", "metadata", "q1"),
@@ -82,3 +82,25 @@ def test_links_in_any_direction(spark):
                           [m.record_id for m in r.metadata or []]) for r in warc.assemble(records).collect()}
     assert got == {"r1": ("r1", "q1", ["m1"]), "r2": ("r2", "q2", ["m2", "m3"]), "lost": (None, None, ["m4"]),
                    "q5": (None, "q5", [])}
+
+
+def test_repeated_links(spark):
+    """Concurrent-to may be repeated: a request of two captures is in both, and a capture keeps its further requests."""
+    def rec(i, kind, *to):
+        return (i, kind, list(to), "u", "d", None, "c", b"p", 1, None)
+
+    records = spark.createDataFrame([
+        rec("r1", "response"), rec("r2", "response", "q3", "q4"), rec("q1", "request", "r1", "r2"), rec("q3", "request"),
+        rec("q4", "request"), rec("m1", "metadata", "r1", "q3"), rec("m2", "metadata", "q1")], warc.RECORD_SCHEMA)
+    got = {r.capture_id: (r.request.record_id, [q.record_id for q in r.more_requests], [m.record_id for m in r.metadata])
+           for r in warc.assemble(records).collect()}
+    assert got == {"r1": ("q1", [], ["m1", "m2"]), "r2": ("q1", ["q3", "q4"], ["m1", "m2"])}
+
+
+def test_repeated_headers_are_read():
+    import io
+
+    raw = (b"WARC/1.1\r\nWARC-Type: request\r\nWARC-Concurrent-To: <urn:a>\r\nwarc-concurrent-to: <urn:b>\r\n"
+           b"Content-Length: 2\r\n\r\nhi\r\n\r\n")
+    (head, block), = warc.parse(io.BytesIO(raw), False)
+    assert head["warc-concurrent-to"].split() == ["<urn:a>", "<urn:b>"] and block == b"hi"
