@@ -26,15 +26,8 @@ def _smd_sql(tm: str, cm: str, tv: str, cv: str) -> str:
     return f"try_divide({tm} - {cm}, CASE WHEN {den} != 0 THEN {den} END)"
 
 
-def balance_table(profiles: DataFrame, feature_cols: Sequence[str], pool: bool = True) -> DataFrame:
-    """B1 (by cohort, ``pool=False``) / B2 (pooled): one row per covariate.
-
-    One aggregate with conditional means / variances per group replaces the
-    reference's two aggregates + join; ``inline`` unpivots.  By cohort only
-    cohorts with both groups are reported (the reference's inner join).  The
-    per-feature expressions are SQL text, so the plan is built with a handful
-    of calls however many covariates there are.
-    """
+def _balance_exprs(feature_cols: Sequence[str]) -> tuple[list, str]:
+    """Aggregates per covariate and group, and the ``inline`` that makes a row of each covariate (SQL text: few calls)."""
     tr, co = "`group` = 'treated'", "`group` = 'control'"
     aggs = [f"count(CASE WHEN {tr} THEN 1 END) AS _nt", f"count(CASE WHEN {co} THEN 1 END) AS _nc"]
     rows = []
@@ -50,14 +43,28 @@ def balance_table(profiles: DataFrame, feature_cols: Sequence[str], pool: bool =
             f"named_struct('covariate', '{lit}', 'treated_mean', CAST(_tm{i} AS DOUBLE),"
             f" 'control_mean', CAST(_cm{i} AS DOUBLE), 'SMD', {_smd_sql(f'_tm{i}', f'_cm{i}', f'_tv{i}', f'_cv{i}')})"
         )
-    agg_cols = [F.expr(a) for a in aggs]
+    return [F.expr(a) for a in aggs], f"inline(array({', '.join(rows)}))"
+
+
+def balance_table(profiles: DataFrame, feature_cols: Sequence[str], pool: bool = True) -> DataFrame:
+    """B1 (by cohort, ``pool=False``) / B2 (pooled): one row per covariate.
+
+    One aggregate with conditional means / variances per group replaces
+    two aggregates + join; ``inline`` unpivots.  By cohort only
+    cohorts with both groups are reported.
+    """
+    aggs, rows = _balance_exprs(feature_cols)
     if pool:
-        wide = profiles.agg(*agg_cols)
-        keys: list[str] = []
-    else:
-        wide = profiles.groupBy("Ti").agg(*agg_cols).where("_nt > 0 AND _nc > 0")
-        keys = ["Ti"]
-    return wide.selectExpr(*keys, f"inline(array({', '.join(rows)}))")
+        return profiles.agg(*aggs).selectExpr(rows)
+    return profiles.groupBy("Ti").agg(*aggs).where("_nt > 0 AND _nc > 0").selectExpr("Ti", rows)
+
+
+def balance_scopes(profiles: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
+    """B1 and B2 in one pass: ``scope`` (overall or by_ti), ``Ti`` (NULL when pooled) and the columns of ``balance_table``."""
+    aggs, rows = _balance_exprs(feature_cols)
+    wide = profiles.rollup("Ti").agg(F.grouping("Ti").alias("_pooled"), *aggs)
+    return wide.where("_pooled = 1 OR (_nt > 0 AND _nc > 0)").selectExpr(
+        "CASE WHEN _pooled = 1 THEN 'overall' ELSE 'by_ti' END AS scope", "Ti", rows)
 
 
 def love_data(balance: DataFrame, threshold: float = SMD_THRESHOLD) -> DataFrame:
@@ -86,24 +93,6 @@ def validation_rows(matched: DataFrame, base: DataFrame, start_month: int, end_m
     )
 
 
-def _tag(df: DataFrame, check: str, start: int, end: int, scope: str) -> DataFrame:
-    if "Ti" not in df.columns:
-        df = df.withColumn("Ti", F.lit(None).cast("date"))
-    return df.select(
-        F.lit(check).alias("check"), F.lit(start).alias("window_start"), F.lit(end).alias("window_end"),
-        F.lit(scope).alias("scope"), "Ti", "covariate", "treated_mean", "control_mean", "SMD",
-    )
-
-
-def _both_scopes(prof: DataFrame, cols: Sequence[str], check: str, start: int, end: int) -> list[DataFrame]:
-    if not cols:
-        return []
-    return [
-        _tag(balance_table(prof, cols, pool=True), check, start, end, "overall"),
-        _tag(balance_table(prof, cols, pool=False), check, start, end, "by_ti"),
-    ]
-
-
 def validation_balance(
     matches: DataFrame,
     base: DataFrame,
@@ -117,37 +106,45 @@ def validation_balance(
     check_calendar: bool = True,
     calendar_months: Sequence[int] = (1, 2, 3, 11, 12),
     calendar_years: int = 2,
-    persist: str = "none",
+    persist: str = "table",
 ) -> DataFrame:
     """V2–V5: balance of matched units on windows outside the matching window.
 
     One long table: ``check`` ∈ {matching, non_matching, calendar}, window,
     ``scope`` ∈ {overall, by_ti}, ``Ti`` (NULL when pooled), covariate,
     treated/control means and SMD.  Matching variables not produced by the
-    summary profile (lag or calendar features) are skipped, as in the
-    reference.  The matched ids (one row per matched unit and cohort) are
-    read by every check; inside one action Spark reuses their identical
-    exchanges, so ``persist`` (lineage cut) only pays off when the result
-    feeds several actions.
+    summary profile (lag or calendar features) are skipped.
+
+    The matched ids are joined to the base panel once, over the widest window; the
+    joined rows (``persist``: by default a table in the shared folder) serve every window.  Checks of the same window
+    share one profile, and pooled and by-cohort balance come from one ROLLUP.
     """
     from kwhlens.session import materialize
 
-    ids = materialize(matched_ids(matches), persist)
     all_vars = all_summary_vars(base.columns)
-    parts: list[DataFrame] = []
-    mv = [v for v in match_vars if v in all_vars]
-    if mv:
-        prof = build_summary_profiles(validation_rows(ids, base, match_start_month, match_end_month), all_vars)
-        parts += _both_scopes(prof, mv, "matching", match_start_month, match_end_month)
-    nm = [v for v in all_vars if v not in match_vars]
-    if nm:
-        prof = build_summary_profiles(validation_rows(ids, base, extra_start_month, extra_end_month), all_vars)
-        parts += _both_scopes(prof, nm, "non_matching", extra_start_month, extra_end_month)
+    groups: dict[tuple, list] = {}  # (profile, window): checks and their covariates
+    for check, cols, *window in (
+            ("matching", [v for v in match_vars if v in all_vars], match_start_month, match_end_month),
+            ("non_matching", [v for v in all_vars if v not in match_vars], extra_start_month, extra_end_month)):
+        if cols:
+            groups.setdefault(("summary", *window), []).append((check, cols))
     if check_calendar:
-        rows = validation_rows(ids, base, calendar_start_month, calendar_end_month)
-        cal = build_calendar_profiles(rows, calendar_months, calendar_years)
         cols = calendar_feature_names(calendar_months, calendar_years, detect_price_suffixes(base.columns))
-        parts += _both_scopes(cal, cols, "calendar", calendar_start_month, calendar_end_month)
+        groups.setdefault(("calendar", calendar_start_month, calendar_end_month), []).append(("calendar", cols))
+    for _, start, end in groups:
+        if start <= end:
+            raise ValueError("start_month must be greater than end_month")
+    rows = materialize(validation_rows(
+        matched_ids(matches), base, max(g[1] for g in groups), min(g[2] for g in groups)), persist)
+    parts: list[DataFrame] = []
+    for (kind, start, end), checks in groups.items():
+        own = rows.where((F.col("month") < F.add_months("Ti", -end)) & (F.col("month") >= F.add_months("Ti", -start)))
+        prof = (build_calendar_profiles(own, calendar_months, calendar_years) if kind == "calendar"
+                else build_summary_profiles(own, all_vars))
+        tags = F.create_map(*[F.lit(x) for check, cols in checks for c in cols for x in (c, check)])
+        parts.append(balance_scopes(prof, [c for _, cols in checks for c in cols]).select(
+            tags[F.col("covariate")].alias("check"), F.lit(start).alias("window_start"), F.lit(end).alias("window_end"),
+            "scope", "Ti", "covariate", "treated_mean", "control_mean", "SMD"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

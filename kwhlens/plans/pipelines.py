@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kwhlens.operators import balance as B
 from kwhlens.operators import matching as N
 from kwhlens.operators import profiles as Fp
 from kwhlens.operators.panel import prepare_matching_data
-from kwhlens.session import materialize
+from kwhlens.session import Scratch, materialize
 from kwhlens.sources.sinks import save_matching_outputs
 
 CALENDAR_MONTHS = (1, 2, 3, 11, 12)
@@ -123,16 +124,54 @@ RUN_CONFIGS = {
 }
 
 
+def _risk_arguments(name: str, control_type: str) -> dict:
+    """Arguments of ``prepare_matching_data`` of a named run."""
+    kw = dict(RUN_CONFIGS[name][0], control_type=control_type)
+    if name.startswith("all/"):
+        kw["price_value"] = "all"
+    return kw
+
+
+def _run_on(risk: DataFrame, name: str, **kw) -> dict:
+    _, kind, p_kw = RUN_CONFIGS[name]
+    pipeline = {"summary": run_summary_matching, "time_series": run_time_series_matching,
+                "calendar": run_calendar_matching}[kind]
+    return pipeline(risk, **{**p_kw, **kw})
+
+
 def run_named(month_result: DataFrame, name: str, control_type: str = "never_treated", **kw) -> dict:
     """Run one named configuration end to end from the monthly table."""
-    rs_kw, kind, p_kw = RUN_CONFIGS[name]
-    rs_kw = dict(rs_kw)
-    if name.startswith("all/"):
-        month_result = month_result.where("price = 'all'")
-    risk = prepare_matching_data(month_result, control_type=control_type, **rs_kw)
-    p_kw = {**p_kw, **kw}
-    if kind == "summary":
-        return run_summary_matching(risk, **p_kw)
-    if kind == "time_series":
-        return run_time_series_matching(risk, **p_kw)
-    return run_calendar_matching(risk, **p_kw)
+    return _run_on(prepare_matching_data(month_result, **_risk_arguments(name, control_type)), name, **kw)
+
+
+def run_batch(month_result: DataFrame, names: Sequence[str] | None = None, control_type: str = "never_treated",
+              **kw) -> dict[str, dict]:
+    """Several named configurations (all by default), each distinct risk set built and written once.
+
+    The monthly table is written once as well; the results are those of ``run_named`` by name.
+    """
+    scratch = Scratch(month_result.sparkSession, "runs")
+    month = scratch.table(month_result, "month")
+    risks: dict[str, DataFrame] = {}
+    out = {}
+    for name in names or RUN_CONFIGS:
+        arguments = _risk_arguments(name, control_type)
+        key = repr(sorted(arguments.items()))
+        if key not in risks:
+            risks[key] = scratch.table(prepare_matching_data(month, **arguments), f"risk-{len(risks)}")
+        out[name] = _run_on(risks[key], name, **kw)
+    return out
+
+
+def tagged_matches(runs: dict[str, dict]) -> DataFrame:
+    """The matches of several runs in one table: ``run``, the columns of N1, and ``valid_dim`` (NULL for summary runs)."""
+    parts = []
+    for name, result in runs.items():
+        m = result["matches"]
+        dim = F.col("valid_dim") if "valid_dim" in m.columns else F.lit(None).cast("int").alias("valid_dim")
+        parts.append(m.select(F.lit(name).alias("run"), "treated_id", "control_id", "adoption_month", "distance", dim,
+                              "match_rank"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -236,6 +236,12 @@ REGISTRY_ATT = [
      lambda s, d: E.att_by_cohort(eff_group(s, d, True), max_post_periods=3)),
     ("att_pairs", "E7", "event_time >= 0", False, True,
      lambda s, d: E.average_treatment_effect(eff_pair(s, d))),
+    ("att_pairs_3m", "E7", "event_time >= 0 AND event_time < 3", False, True,
+     lambda s, d: E.average_treatment_effect(eff_pair(s, d), max_post_periods=3)),
+    ("att_pairs_cohort", "E8", "event_time >= 0", True, True,
+     lambda s, d: E.att_by_cohort(eff_pair(s, d, True))),
+    ("att_pairs_cohort_3m", "E8", "event_time >= 0 AND event_time < 3", True, True,
+     lambda s, d: E.att_by_cohort(eff_pair(s, d, True), max_post_periods=3)),
 ]
 for _n, _ops, _w, _bc, _pairs, _fn in REGISTRY_ATT:
     register(_n, _ops, _att_q(_w, _bc, _pairs, cohort=_bc))(_fn)

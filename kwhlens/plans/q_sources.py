@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from kwhlens.operators import aggregate as A
 from kwhlens.operators import effects as E
 from kwhlens.operators import readings as P
+from kwhlens.operators.profiles import calendar_feature_names
 from kwhlens.plans import oracle as O
+from kwhlens.plans import oracle_matching as OM
 from kwhlens.plans import pipelines as L
 from kwhlens.plans.q_effects import panel_m1, panel_m2
-from kwhlens.plans.q_matching import l1
+from kwhlens.plans.q_matching import l1, sfx, sql_risk
 from kwhlens.plans.registry import REGISTRY, month_result, register
 from kwhlens.session import Scratch
 from kwhlens.sources import fixtures as fx
@@ -111,11 +113,46 @@ register("sink_matching_balance", "L1,L4,S4", REGISTRY["balance_pooled"].sql)(
     lambda s, d: matching_bundle(s, d, "balance"))
 register("sink_matching_config", "L4,S12", "SELECT 5 AS k_neighbors FROM (SELECT count(*) FROM lineitem) r")(
     lambda s, d: matching_bundle(s, d, "config"))
-register("sink_effects_csv", "S11,E9", REGISTRY["effect_group"].sql)(
-    lambda s, d: bundle_member(s, d, "overall_dynamic", False))
-register("sink_pair_effects_csv", "S11,E9", REGISTRY["effect_pair"].sql)(
-    lambda s, d: bundle_member(s, d, "overall_pair_dynamic", True))
+# the nine group-mean and seven pair-level result tables, each written under its name and read back
+_SQL_OF = {
+    False: {"overall": "effect_group", "cohort": "effect_group_cohort", "pretrend": "pretrend", "att_all": "att_all",
+            "att_3m": "att_3m", "att_by_cohort_all": "att_cohort", "att_by_cohort_3m": "att_cohort_3m"},
+    True: {"overall": "effect_pair", "cohort": "effect_pair_cohort", "pretrend": "pretrend_pairs", "att_all": "att_pairs",
+           "att_3m": "att_pairs_3m", "att_by_cohort_all": "att_pairs_cohort", "att_by_cohort_3m": "att_pairs_cohort_3m"},
+}
+for _pairs, _names in ((False, E.GROUP_RESULT_NAMES), (True, E.PAIR_RESULT_NAMES)):
+    for _name, _key in _names.items():
+        register(f"saved_{'pair_' if _pairs else ''}{_name}", "S11,E9", REGISTRY[_SQL_OF[_pairs][_key]].sql)(
+            lambda s, d, name=_name, pairs=_pairs: bundle_member(s, d, name, pairs))
 register("named_run_summary_4", "L1", REGISTRY["knn_summary4"].sql)(lambda s, d: named_run(s, d, "all/summary_4"))
 register("named_run_time_series", "L2", REGISTRY["knn_lags"].sql)(lambda s, d: named_run(s, d, "all/time_series"))
 register("named_run_calendar_1year", "L3", REGISTRY["knn_missing_1year"].sql)(
     lambda s, d: named_run(s, d, "all/calendar_1year"))
+
+
+def _run_sql(name: str) -> str:
+    """The matches of a named run: its risk set, profile, standardisation and matching in SQL."""
+    risk_kw, kind, kw = L.RUN_CONFIGS[name]
+    prices = tuple(risk_kw.get("price_values") or [risk_kw.get("price_value", "all")])
+    chain = sql_risk(risk_kw["lookback_months"], prices, match_months=risk_kw.get("match_months"))
+    k = kw.get("k_neighbors", 5)
+    if kind == "summary":
+        features = kw["summary_vars"]
+        chain += "," + OM.summary_profile(OM.value_cols(list(prices)), sfx(prices), features)
+        match = OM.knn_blocked(features, k, 0.3, next(f for f in features if f.startswith("peak_mean")))
+    elif kind == "time_series":
+        features = [f"peak_lag_{i}" for i in range(1, kw["lookback_months"] + 1)]
+        chain += "," + OM.lag_profile(kw["lookback_months"], OM.value_cols(list(prices)))
+        match = OM.knn_missing(features, k)
+    else:
+        features = calendar_feature_names(list(L.CALENDAR_MONTHS), kw["lookback_years"], sfx(prices))
+        chain += "," + OM.calendar_profile(list(L.CALENDAR_MONTHS), kw["lookback_years"], sfx(prices))
+        match = OM.knn_missing(features, k)
+    dim = "CAST(NULL AS INTEGER) AS valid_dim" if kind == "summary" else "CAST(valid_dim AS INTEGER) AS valid_dim"
+    return O.with_ctes(chain + "," + OM.standardize(features) + "," + match, f"""
+SELECT '{name}' AS run, treated_id, control_id, adoption_month, distance, {dim}, match_rank FROM matches""")
+
+
+register("named_runs_all", "L1,L2,L3,R11", "SELECT * FROM (" + ")\nUNION ALL SELECT * FROM (".join(
+    _run_sql(name) for name in L.RUN_CONFIGS) + ")")(
+    lambda s, d: L.tagged_matches(L.run_batch(month_result(s, d))))
