@@ -18,7 +18,8 @@ Distribution:
    M and R with numpy, folds them batch by batch into one group's running
    matrices, and emits only T² + T·p sums per partition and group;
 2. partial sums are summed by Spark; one ``applyInPandas`` per group solves
-   with a pseudo-inverse (group input ≤ T² rows);
+   with a pseudo-inverse (group input ≤ T² rows) and counts the components of the
+   entity–month graph and the ranks of both systems (``identification``);
 3. b is broadcast back (≤ groups × T rows), entity means are a window over
    (group, entity) — bounded by months per entity;
 4. WLS: the first pass also sums the within-entity cross products Q of [y, x], so the
@@ -85,74 +86,6 @@ class _TimeSums:
             "b": np.concatenate([times[j], c.astype(str)]), "v": np.concatenate([self.M[i, j], self.R[t, c]])})
 
 
-def _fe_partials_fn(p: int):
-    """mapInPandas body: complete entities → partial M / R sums per group."""
-
-    def add(part: pd.DataFrame, sums: _TimeSums) -> None:
-        ent, e_idx = np.unique(part["_e"].to_numpy(), return_inverse=True)
-        tim, t_idx = np.unique(part["_t"].to_numpy(), return_inverse=True)
-        E, Tn = len(ent), len(tim)
-        w = part["_w"].to_numpy(dtype=float)
-        S = np.zeros((E, Tn))
-        np.add.at(S, (e_idx, t_idx), w)
-        Sx = np.zeros((E, Tn, p))
-        for j in range(p):
-            np.add.at(Sx[:, :, j], (e_idx, t_idx), w * part[f"_x{j}"].to_numpy(dtype=float))
-        W = S.sum(axis=1)
-        X = Sx.sum(axis=1)  # E x p
-        A = S / np.sqrt(W)[:, None]
-        sums.add(tim, np.diag(S.sum(axis=0)) - A.T @ A, Sx.sum(axis=0) - S.T @ (X / W[:, None]))
-
-    def fn(it):
-        # rows come sorted by group and entity: one group's sums at a time
-        sums, carry = None, None
-        for pdf in it:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            tail = (pdf["_g"] == pdf["_g"].iloc[-1]) & (pdf["_e"] == pdf["_e"].iloc[-1])
-            carry = pdf[tail]
-            for g, part in pdf[~tail].groupby("_g", sort=False):
-                if sums is not None and sums.group != g:
-                    yield sums.frame()
-                    sums = None
-                sums = sums or _TimeSums(g, p)
-                add(part, sums)
-        if carry is not None and len(carry):
-            g = carry["_g"].iloc[0]
-            if sums is not None and sums.group != g:
-                yield sums.frame()
-                sums = None
-            sums = sums or _TimeSums(g, p)
-            add(carry, sums)
-        if sums is not None:
-            yield sums.frame()
-
-    return fn
-
-
-def _solve_fe_fn(p: int):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf["_g"].iloc[0]
-        m = pdf[pdf["kind"] == "M"]
-        r = pdf[pdf["kind"] == "R"]
-        times = np.unique(np.concatenate([m["a"].to_numpy(), m["b"].to_numpy(), r["a"].to_numpy()]).astype(str))
-        pos = {t: i for i, t in enumerate(times)}
-        Tn = len(times)
-        M = np.zeros((Tn, Tn))
-        M[[pos[a] for a in m["a"]], [pos[b] for b in m["b"]]] = m["v"].to_numpy()
-        R = np.zeros((Tn, p))
-        R[[pos[a] for a in r["a"]], r["b"].astype(int).to_numpy()] = r["v"].to_numpy()
-        b = np.linalg.pinv(M, rcond=PINV_RCOND) @ R
-        out = pd.DataFrame({"_g": g, "_t": times})
-        for j in range(p):
-            out[f"_b{j}"] = b[:, j]
-        return out
-
-    return solve
-
-
 def residualize_twfe(
     data: DataFrame,
     cols: Sequence[str],
@@ -168,28 +101,18 @@ def residualize_twfe(
     ``<c>__r`` residual columns.
     """
     cols = list(cols)
-    p = len(cols)
-    need = [entity_col, time_col, weight_col, *cols]
-    work = data.dropna(subset=need)
-    slim = work.select(
+    work = data.dropna(subset=[entity_col, time_col, weight_col, *cols])
+    rows = work.select(
         F.col(group_key).alias("_g"),
         F.col(entity_col).cast("string").alias("_e"),
         F.col(time_col).cast("string").alias("_t"),
         F.col(weight_col).cast("double").alias("_w"),
-        *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(cols)],
-    )
-    partial_schema = "_g string, kind string, a string, b string, v double"
-    sums = (
-        slim.repartition("_g", "_e")
-        .sortWithinPartitions("_g", "_e")
-        .mapInPandas(_fe_partials_fn(p), partial_schema)
-        .groupBy("_g", "kind", "a", "b")
-        .agg(F.sum("v").alias("v"))
-    )
-    b_schema = "_g string, _t string, " + ", ".join(f"_b{j} double" for j in range(p))
-    b = sums.groupBy("_g").applyInPandas(_solve_fe_fn(p), b_schema)
+        *[F.col(c).cast("double").alias(f"_x{j - 1}" if j else "_y") for j, c in enumerate(cols)],
+    ).repartition("_g", "_e").sortWithinPartitions("_g", "_e")
+    solved = _solved(rows, len(cols) - 1, False)
     # time effects: one row per (group, month) — bounded by the calendar
-    bt = b.withColumnRenamed("_g", group_key).withColumnRenamed("_t", "__t")
+    bt = solved.select(F.col("_g").alias(group_key), F.explode(F.arrays_zip("times", "effects")).alias("z")).select(
+        group_key, F.col("z.times").alias("__t"), *[F.col("z.effects")[j].alias(f"_b{j}") for j in range(len(cols))])
     out = work.withColumn("__t", F.col(time_col).cast("string")).join(F.broadcast(bt), [group_key, "__t"], "inner")
     # wide expression lists are written as SQL strings: one call per projection
     win = f"OVER (PARTITION BY `{group_key}`, `{entity_col}`)"
@@ -198,7 +121,7 @@ def residualize_twfe(
     out = out.selectExpr(
         "*", *[f"`{c}__d` - sum({w} * `{c}__d`) {win} / sum({w}) {win} AS `{c}__r`" for c in cols]
     )
-    return out.drop("__t", *[f"_b{j}" for j in range(p)], *[f"{c}__d" for c in cols])
+    return out.drop("__t", *[f"_b{j}" for j in range(len(cols))], *[f"{c}__d" for c in cols])
 
 
 # --------------------------------------------------------------------------- WLS
@@ -322,7 +245,22 @@ def _normal_map(K: int, one_hot: bool):
 
 
 def _normal_solve(K: int):
-    """One group's time effects b (T x (K + 1)), coefficients, Gram matrix and counts."""
+    """One group's time effects b (T x (K + 1)), coefficients, Gram matrix, counts and what is identified."""
+
+    def rank(x: np.ndarray) -> int:
+        s = np.linalg.svd(x, compute_uv=False) if x.size else np.zeros(0)
+        return int((s > PINV_RCOND * s.max()).sum()) if len(s) and s.max() > 0 else 0
+
+    def components(M: np.ndarray) -> int:
+        """Parts of the graph of months that are linked by an entity."""
+        left, n = set(range(len(M))), 0
+        while left:
+            n, stack = n + 1, [left.pop()]
+            while stack:
+                near = left & set(np.flatnonzero(M[stack.pop()]).tolist())
+                left -= near
+                stack += near
+        return n
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {k: d for k, d in pdf.groupby("kind")}
@@ -341,11 +279,22 @@ def _normal_solve(K: int):
         return pd.DataFrame([{
             "_g": pdf["_g"].iloc[0], "times": times.tolist(), "effects": b.tolist(), "beta": beta.tolist(),
             "gram": G[1:, 1:][np.triu_indices(K)].tolist(), "varies": ((ones > 0) & (ones < n)).tolist(),
-            "n_obs": int(n), "n_entities": int(c[str(K + 1)])}])
+            "n_obs": int(n), "n_entities": int(c[str(K + 1)]), "n_components": components(M), "rank_time": rank(M),
+            "rank_gram": rank(G[1:, 1:])}])
 
     return solve
 
 
+def _solved(rows: DataFrame, K: int, one_hot: bool) -> DataFrame:
+    """One row per group of ``rows`` (partitioned and sorted by group and entity); its arrays are bounded by the calendar and the regressors."""
+    sums = rows.mapInArrow(_normal_map(K, one_hot), "_g string, kind string, a string, b string, v double").groupBy(
+        "_g", "kind", "a", "b").agg(F.sum("v").alias("v"))
+    return sums.groupBy("_g").applyInPandas(
+        _normal_solve(K), "_g string, times array<string>, effects array<array<double>>, beta array<double>, "
+                          "gram array<double>, varies array<boolean>, n_obs long, n_entities long, n_components int, "
+                          "rank_time int, rank_gram int")
+
+
 def _score_map(K: int, one_hot: bool):
     """(group, cluster, score): sums of w * x~ * e over each entity's rows of a cluster."""
 
@@ -400,12 +349,7 @@ def twfe_wls(
         F.col(cluster_col).cast("string").alias("_c"), F.col(outcome_col).cast("double").alias("_y"), *xs,
     ).dropna().repartition("_g", "_e")
     order = ["_g", "_e", "_c"]
-    sums = rows.sortWithinPartitions(*order).mapInArrow(_normal_map(K, hot), "_g string, kind string, a string, b string, v double").groupBy(
-        "_g", "kind", "a", "b").agg(F.sum("v").alias("v"))
-    # one row per group; its arrays are bounded by the calendar and the regressors
-    solved = sums.groupBy("_g").applyInPandas(
-        _normal_solve(K), "_g string, times array<string>, effects array<array<double>>, beta array<double>, "
-                          "gram array<double>, varies array<boolean>, n_obs long, n_entities long")
+    solved = _solved(rows.sortWithinPartitions(*order), K, hot)
     effects = solved.select("_g", "beta", F.explode(F.arrays_zip("times", "effects")).alias("z")).select(
         "_g", F.col("z.times").alias("_t"), F.col("z.effects").alias("_b"), F.col("beta").alias("_beta"))
     # sorted behind the join: the optimizer drops a sort in front of one
@@ -509,15 +453,12 @@ def event_terms(event_window=(-12, 12), reference: int = -1) -> list[int]:
     return [k for k in range(event_window[0], event_window[1] + 1) if k != reference]
 
 
-def make_event_dummies(panel: DataFrame, event_window=(-12, 12), reference: int = -1,
-                       event_col: str = "event_time", treatment_col: str = "treatment") -> DataFrame:
-    """Keep rows inside the window; ``event_k = 1(event_time = k ∧ treated)``."""
-    lo, hi = event_window
-    df = panel.where(F.col(event_col).between(lo, hi))
-    return df.selectExpr("*", *[
-        f"CAST(`{event_col}` = {k} AND `{treatment_col}` = 1 AS INT) AS _ev_{i}"
-        for i, k in enumerate(event_terms(event_window, reference))
-    ])
+def _with_event_index(data: DataFrame, ks: Sequence[int], event_window) -> DataFrame:
+    """The rows inside the window with ``_event``, the number of the one dummy that is 1 (-1: none)."""
+    index = F.create_map(*[F.lit(x) for i, k in enumerate(ks) for x in (k, i)])
+    return data.where(F.col("event_time").between(*event_window)).withColumn("_event", F.when(
+        F.col("treatment") == 1, F.coalesce(F.try_element_at(index, F.col("event_time").cast("int")), F.lit(-1)))
+        .otherwise(-1))
 
 
 def fit_event_study(
@@ -555,10 +496,7 @@ def fit_event_study(
         cs = _cohort_stats(keyed, group_cols)
         data = keyed.join(F.broadcast(cs.where(F.col("n_treated") >= least).select("_g")), "_g", "left_semi")
     lo, hi = event_window
-    index = F.create_map(*[F.lit(x) for i, k in enumerate(ks) for x in (k, i)])
-    data = data.where(F.col("event_time").between(lo, hi)).withColumn("_event", F.when(
-        F.col("treatment") == 1, F.coalesce(F.try_element_at(index, F.col("event_time").cast("int")), F.lit(-1)))
-        .otherwise(-1))
+    data = _with_event_index(data, ks, event_window)
     if not group_cols and data.where("_event >= 0").isEmpty():
         raise ValueError(f"no treated row has an event time in {lo}..{hi} other than {reference}")
     res = twfe_wls(data, outcome_col, [str(k) for k in ks], "_g", entity_col, time_col, weight_col, cluster_col,
@@ -573,6 +511,40 @@ def fit_event_study(
                       "std_error", "p_value", "ci_lower", "ci_upper")
 
 
+def identification(
+    panel: DataFrame,
+    outcome_col: str = "top3_mean_consumption",
+    event_window=None,
+    reference: int = -1,
+    group_cols: Sequence[str] = (),
+    entity_col: str = "entity_id",
+    time_col: str = "month_id",
+    weight_col: str = "match_weight",
+) -> DataFrame:
+    """What a fit can identify, per group: of the basic DiD, or with ``event_window`` of the event study.
+
+    ``n_components`` counts the parts of the entity–month graph: across parts months can't be compared, and each
+    part has a free month, so ``rank_time`` = ``n_periods`` − ``n_components`` unless weights degenerate.
+    ``rank_gram`` below ``n_regressors`` means that some direction of the coefficients is not identified and is
+    set to 0 by the pseudo-inverse (estimates of least norm); ``identified`` says whether none is.
+    Output: ``[group cols,] n_obs, n_entities, n_periods, n_components, rank_time, n_regressors, rank_gram, identified``.
+    """
+    keyed = _group_key(panel, group_cols)
+    hot = event_window is not None
+    ks = event_terms(event_window, reference) if hot else []
+    K = len(ks) if hot else 1
+    x = F.col("_event").cast("int").alias("_k") if hot else F.col("D").cast("double").alias("_x0")
+    rows = (_with_event_index(keyed, ks, event_window) if hot else keyed).select(
+        "_g", F.col(entity_col).cast("string").alias("_e"), F.col(time_col).cast("string").alias("_t"),
+        F.col(weight_col).cast("double").alias("_w"), F.col(outcome_col).cast("double").alias("_y"), x,
+    ).dropna().repartition("_g", "_e").sortWithinPartitions("_g", "_e")
+    used = F.size(F.filter("varies", lambda v: v)) if hot else F.lit(K)
+    out = _solved(rows, K, hot).select(
+        "_g", "n_obs", "n_entities", F.size("times").alias("n_periods"), "n_components", "rank_time",
+        used.alias("n_regressors"), "rank_gram", (F.col("rank_gram") >= used).alias("identified"))
+    return _attach_groups(out, keyed, group_cols).select(*group_cols, *[c for c in out.columns if c != "_g"])
+
+
 # --------------------------------------------------------------------------- D8-D10
 def round_results(df: DataFrame, digits: int = 4) -> DataFrame:
     """Report rounding of the estimate columns."""

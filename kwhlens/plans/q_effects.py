@@ -342,3 +342,25 @@ register("event_study_chart", "D8,D9", "SELECT * REPLACE (" + ", ".join(
     + _EVENT_SQL + ") r")(
     lambda s, d: D.round_results(D.coefficient_chart_data(
         D.fit_event_study(panel_m3(s, d), OUT, (-12, 12), -1), OUT)))
+
+
+
+def _identification_sql(src: str, regressors, drop_empty: bool, more: str = "") -> str:
+    """Components of the months by recursion over shared entities; ranks by the pivots of both eliminations."""
+    return _fit_sql(W_SQL, "'pooled'", regressors, src, """,
+linked AS (SELECT DISTINCT a.t AS u, b.t AS v FROM dat a JOIN dat b USING (e)),
+walk AS (SELECT u, v FROM linked UNION SELECT w.u, l.v FROM walk w JOIN linked l ON l.u = w.v),
+part AS (SELECT u, min(v) AS c FROM walk GROUP BY u),
+pivots AS (SELECT count(*) AS r FROM fe, unnest(range(1, n + 1)) a(i) WHERE abs(m[i][i] - 1) < 1e-6),
+lost AS (SELECT count(*) AS f FROM free)
+SELECT n_obs, n_entities, CAST(n AS INTEGER) AS n_periods, (SELECT CAST(count(DISTINCT c) AS INTEGER) FROM part) AS n_components,
+       CAST(r AS INTEGER) AS rank_time, CAST(kk AS INTEGER) AS n_regressors, CAST(kk - f AS INTEGER) AS rank_gram,
+       f = 0 AS identified
+FROM num, nt, size, pivots, lost""", drop_empty, more)
+
+
+register("did_identification", "D2,D3", _identification_sql("wp", _D, False))(
+    lambda s, d: D.identification(panel_m3(s, d), OUT))
+register("event_identification", "D5,D6", _identification_sql(
+    "win", OD.event_regressors(-12, 12, -1), True, _events("wp", -12, 12)))(
+    lambda s, d: D.identification(panel_m3(s, d), OUT, (-12, 12), -1))

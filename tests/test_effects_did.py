@@ -117,6 +117,34 @@ def test_residuals_orthogonal_to_effects(spark):
         assert s.abs().max() < 1e-9
 
 
+def test_identification_of_disconnected_panels(spark):
+    """Two sets of entities without a common month: two components, one more free month, and the fit still works."""
+    pdf = planted_panel(seed=5)
+    other = pdf.copy()
+    other["entity_id"] = "z" + other.entity_id.astype(str)
+    other["aID"] = "z" + other.aID.astype(str)
+    other["month_id"] = "z" + other.month_id.astype(str)
+    months = pdf.month_id.nunique()
+    one = D.identification(spark.createDataFrame(pdf), "y").first()
+    assert (one.n_periods, one.n_components, one.rank_time, one.rank_gram, one.identified) == (months, 1, months - 1, 1, True)
+    both = spark.createDataFrame(pd.concat([pdf, other]))
+    two = D.identification(both, "y").first()
+    assert (two.n_periods, two.n_components, two.rank_time, two.n_entities) == (
+        2 * months, 2, 2 * months - 2, 2 * one.n_entities)
+    coef = [D.fit_basic_did(x, "y", persist="none").first().coef for x in (spark.createDataFrame(pdf), both)]
+    assert coef[0] == pytest.approx(coef[1], rel=1e-9)
+
+
+def test_identification_sees_what_effects_absorb(spark):
+    """D that is constant per entity is taken out by the entity effects."""
+    pdf = planted_panel(seed=6)
+    pdf["D"] = pdf.treatment
+    r = D.identification(spark.createDataFrame(pdf), "y").first()
+    assert (r.n_regressors, r.rank_gram, r.identified) == (1, 0, False)
+    events = D.identification(spark.createDataFrame(planted_panel(seed=6)), "y", (-3, 3)).first()
+    assert events.n_regressors >= events.rank_gram > 0
+
+
 def test_group_effects_match_pandas(spark):
     rng = np.random.default_rng(2)
     rows = []
