@@ -76,14 +76,18 @@ def love_data(balance: DataFrame, threshold: float = SMD_THRESHOLD) -> DataFrame
     )
 
 
+def _check_window(start: int, end: int) -> None:
+    if start <= end:
+        raise ValueError(f"a window from {start} to {end} months before adoption is empty")
+
+
 def validation_rows(matched: DataFrame, base: DataFrame, start_month: int, end_month: int) -> DataFrame:
     """V1: base rows of matched units in ``[Ti − start, Ti − end)`` months.
 
     Equi-join on the unit id (a unit has at most one row per month and is
     matched in a handful of cohorts), then the range filter.
     """
-    if start_month <= end_month:
-        raise ValueError("start_month must be greater than end_month")
+    _check_window(start_month, end_month)
     value_cols = [c for c in base.columns if c not in PANEL_KEYS]
     m = matched.select("id", "Ti", "group")
     return (
@@ -132,8 +136,7 @@ def validation_balance(
         cols = calendar_feature_names(calendar_months, calendar_years, detect_price_suffixes(base.columns))
         groups.setdefault(("calendar", calendar_start_month, calendar_end_month), []).append(("calendar", cols))
     for _, start, end in groups:
-        if start <= end:
-            raise ValueError("start_month must be greater than end_month")
+        _check_window(start, end)
     rows = materialize(validation_rows(
         matched_ids(matches), base, max(g[1] for g in groups), min(g[2] for g in groups)), persist)
     parts: list[DataFrame] = []

@@ -204,7 +204,7 @@ def _mode_value(mode: str):
         return F.count(F.lit(1)).cast("double")
     if mode == "consumption":
         return F.sum("consumption")
-    raise ValueError("mode must be 'count' or 'consumption'")
+    raise ValueError(f"peaks are counted (count) or summed (consumption), not {mode!r}")
 
 
 def peak_hours(df: DataFrame, mode: str = "count") -> DataFrame:

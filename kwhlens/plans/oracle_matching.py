@@ -9,12 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from kwhlens.functions.dates import MONTH_ABBR
-from kwhlens.operators.matching import default_min_valid_dim
-from kwhlens.operators.panel import VALUE_COLS, price_suffix
-from kwhlens.operators.profiles import SUMMARY_BASE, calendar_feature_names
-
 Q = '"group"'
+# Fixed values, written out here so that the SQL does not lean on the operators: outcome columns, summary
+# features and month names.
+VALUE_COLS = ["top3_mean_consumption", "mean_consumption", "variance_consumption", "total_consumption"]
+SUMMARY_BASE = ["peak_mean", "peak_sd", "peak_volatility", "mean_consumption", "variance_consumption", "total_consumption", "trend"]
+MONTH_ABBR = {1: "jan", 2: "feb", 3: "mar", 4: "apr", 5: "may", 6: "jun", 7: "jul", 8: "aug", 9: "sep", 10: "oct", 11: "nov", 12: "dec"}
+
+
+def price_suffix(price: str) -> str:
+    return price.replace("-", "_").replace(" ", "_")
+
+
+def calendar_feature_names(months: Sequence[int], years: int, suffixes: Sequence[str]) -> list[str]:
+    return sorted((f"{s}_" if s else "") + f"{MONTH_ABBR[m]}_{y + 1}" for m in months for y in range(years) for s in suffixes)
 
 
 def base_single(price: str | None) -> str:
@@ -194,7 +202,7 @@ cand0 AS (
 
 
 def knn_missing(features: Sequence[str], k: int, min_valid: int | None = None) -> str:
-    mv = default_min_valid_dim(len(features)) if min_valid is None else min_valid
+    mv = max(2, len(features) * 3 // 10) if min_valid is None else min_valid  # 30 % of the features, 2 at least
     return knn_candidates_missing(features) + f""",
 cand AS (SELECT *, sqrt(sq / valid_dim) AS distance FROM cand0 WHERE valid_dim >= {mv}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY Ti, tid ORDER BY distance, cid) AS match_rank FROM cand),
