@@ -142,8 +142,8 @@ _DIGITS = {
     "ocho": "8", "nueve": "9",
 }
 _SPOKEN = {"plus": "+", "dot": ".", "punkt": ".", "punto": "."}
-#: Spelled digits in a row that count as a number.
-_LEAST_SPELLED = 7
+#: Spelled digits and groups of figures in a row that are read together; the detectors' own counts and checks decide.
+_LEAST_SPELLED = 4
 
 
 @functools.lru_cache(maxsize=65536)
@@ -161,20 +161,24 @@ def _plain(c: str) -> str:
 _GLYPHS = re.compile(
     "[" + "".join(_LOOK) + _INVISIBLE + "".join(_MARKS) + "\u00a0\u2000-\u200a\u202f\u205f\u00b2\u00b3\u00b9"
     "\u2070-\u2089\u2460-\u24ff\uff01-\uff5e\ufe52\ufe6b\U0001d400-\U0001d7ff\U0001fbf0-\U0001fbf9]")
-_OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
-_AT = re.compile(rf"(?i)(?<=[a-z0-9._%+-]){_OPEN}(?:at|ät|arroba|arobase|@){_CLOSE}(?=[a-z0-9-])")
-_DOT = re.compile(rf"(?i)(?<=[a-z0-9-]){_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}(?=[a-z0-9-])")
+_OPENS, _AT_WORDS, _DOT_WORDS = "[({<", ("at", "ät", "arroba", "arobase", "@"), ("dot", "punkt", "point", "punto", ".")
+_OPEN, _CLOSE = rf"\s?[{re.escape(_OPENS)}]\s?", r"\s?[\])}>]\s?"
+_AT = re.compile(rf"(?i)(?<=[a-z0-9._%+-]){_OPEN}(?:{'|'.join(_AT_WORDS)}){_CLOSE}(?=[a-z0-9-])")
+_DOT = re.compile(rf"(?i)(?<=[a-z0-9-]){_OPEN}(?:{'|'.join(map(re.escape, _DOT_WORDS))}){_CLOSE}(?=[a-z0-9-])")
 _SAID = re.compile(
     r"(?i)(?<![a-z0-9._%+@-])([a-z0-9._%+-]{1,64})(?:\sat\s|@)([a-z0-9-]{1,63})((?:\s(?:dot|punkt|punto)\s[a-z0-9-]{1,63})+)"
     r"(?![a-z0-9-])")
 _SAID_DOT = re.compile(r"(?i)\s(?:dot|punkt|punto)\s")
-#: One of these is in every text with an at/dot disguise.
-_SIGNS = ("dot", "punkt", "punto", "point", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", "(@", "[@",
-          "( @", "[ @", "arroba", "arobase", "(ät", "[ät", "(.", "[.", "( .", "[ .")
+#: One of these is in every text with an at/dot disguise: what the patterns above can begin with, and spoken dots.
+_SIGNS = ("dot", "punkt", "punto", *(
+    o + space + word for o in _OPENS for space in ("", " ", "\t", "\n", "\u00a0") for word in (*_AT_WORDS, *_DOT_WORDS)))
 _WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _JOIN = r"(?:[ ,-]{1,3}|\s(?:dot|punkt|punto)\s)"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,3}})?(?:{_WORD})(?:{_JOIN}(?:{_WORD})){{{_LEAST_SPELLED - 1},}}(?!\w)")
-_SPELLED_PART = re.compile(rf"plus|dot|punkt|punto|{_WORD}")
+_ITEM = rf"(?:{_WORD}|[0-9]{{1,19}})"
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,3}})?{_ITEM}(?:{_JOIN}{_ITEM}){{{_LEAST_SPELLED - 1},}}(?!\w)")
+_SPELLED_PART = re.compile(rf"plus|dot|punkt|punto|{_WORD}|[0-9]+")
+#: A text without one of these has no spelled number.
+_SPELLED_SIGN = re.compile(rf"(?<!\w)(?:{_WORD}|dot|punkt|punto)(?!\w)")
 
 
 def _said(m: re.Match) -> list:
@@ -190,7 +194,7 @@ def deobfuscate(text: str) -> Tape | None:
     low = text.lower()
     glyphs = None if text.isascii() else _GLYPHS.search(text)
     said = any(sign in low for sign in _SIGNS)
-    spelled = _SPELLED.search(low)
+    spelled = _SPELLED_SIGN.search(low) and _SPELLED.search(low)
     if not (glyphs or said or spelled):
         return None
     tape = Tape.of(text)
@@ -203,16 +207,22 @@ def deobfuscate(text: str) -> Tape | None:
 
 
 def _spell(tape: Tape) -> Tape:
-    """Spelled digits, each mapped to its own word."""
+    """Spelled digits, each mapped to its own word; figures among them stay, and so does what parts two groups of figures."""
     lower = tape.text.lower()
     if len(lower) != len(tape.text):  # a capital whose small form is longer: only its own case is read
         lower = tape.text
     text, low, high, done = [], [], [], 0
     for m in _SPELLED.finditer(lower):
+        items = list(_SPELLED_PART.finditer(lower, m.start(), m.end()))
+        figures = [x[0][0].isascii() and x[0][0].isdigit() for x in items]
+        if all(figures):
+            continue
         tape._keep(text, low, high, done, m.start())
-        for x in _SPELLED_PART.finditer(lower, m.start(), m.end()):
-            word = x[0]
-            text.append(_SPOKEN.get(word) or _DIGITS[word])
+        for i, x in enumerate(items):
+            if figures[i]:
+                tape._keep(text, low, high, items[i - 1].end() if i and figures[i - 1] else x.start(), x.end())
+                continue
+            text.append(_SPOKEN.get(x[0]) or _DIGITS[x[0]])
             low.append(tape.low[x.start()])
             high.append(tape.high[x.end() - 1])
         done = m.end()

@@ -71,7 +71,8 @@ def test_disguises_map_to_source(text, kind, source):
 
 @pytest.mark.parametrize("text", [
     "we met at noon, the dot on the map", "look at me dot", "one two three four five six", "naïve café at 10.5.1",
-    "meet me at example.com today", "Цена в рублях и 12 штук", "point (.) of view [at] last"])
+    "meet me at example.com today", "one, two, three, four and 10, 20, 30, 40", "un deux trois 2019 2020",
+    "rows 1 2 3 4 dot 5", "chapter six 12 13 14", "Цена в рублях и 12 штук", "point (.) of view [at] last"])
 def test_clean_text_has_no_added_span(text):
     assert pii.find(text)[1] == []
 
@@ -94,3 +95,75 @@ def test_odd_rows(odd, empty):
     assert got == {(d, len(plain(t or ""))) for d, t, *_ in ODD}
     assert pii.personal_data(odd).count() == len(ODD)
     assert pii.personal_data(empty).count() == 0
+
+
+def slow_tape(text):
+    """The spelled numbers of an ASCII text, read word by word; (characters, source starts, source ends)."""
+    items = [(m[0], m.start(), m.end()) for m in re.finditer(r"\w+|[^\w]", text)]
+    out, i = [], 0
+
+    def value(j):
+        word = items[j][0] if j < len(items) else ""
+        return word if re.fullmatch("[0-9]{1,19}", word) else pii._DIGITS.get(word)
+
+    def join(j):  # items of a joint that begins at j: its end, or None
+        k = j
+        while k < len(items) and k - j < 3 and items[k][0] in " ,-":
+            k += 1
+        if k > j and value(k) is not None:
+            return k
+        if [x[0] for x in items[j:j + 3:2]] == [" ", " "] and items[j + 1][0] in ("dot", "punkt", "punto") and value(j + 3) is not None:
+            return j + 3
+        return None
+
+    while i < len(items):
+        first = i
+        plus = items[i][0] == "plus"
+        start = i
+        if plus:
+            start = i + 1
+            while start < len(items) and start - i <= 3 and items[start][0] in " ,-":
+                start += 1
+            plus = start > i + 1 and value(start) is not None
+            start = start if plus else i
+        run = [start] if value(start) is not None else []
+        while run and (k := join(run[-1] + 1)) is not None:
+            run.append(k)
+        spoken = any(items[k - 2][0] in ("dot", "punkt", "punto") for k in run[1:])
+        words = any(not items[k][0].isdigit() for k in run)
+        if len(run) < 4 or not (words or spoken or plus):
+            out += [(c, items[i][1] + n, items[i][1] + n + 1) for n, c in enumerate(items[i][0])]
+            i += 1
+            continue
+        if plus:
+            out.append(("+", items[first][1], items[first][2]))
+        for n, k in enumerate(run):
+            if n:
+                gap = items[run[n - 1] + 1:k]
+                if len(gap) == 3 and gap[1][0] in ("dot", "punkt", "punto"):
+                    out.append((".", gap[1][1], gap[1][2]))
+                elif items[k][0].isdigit() and items[run[n - 1]][0].isdigit():
+                    out += [(c, a, b) for c, a, b in gap]
+            w, a, b = items[k]
+            out += [(c, a + x, a + x + 1) for x, c in enumerate(w)] if w.isdigit() else [(pii._DIGITS[w], a, b)]
+        i = run[-1] + 1
+    return out
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["one", "two", "nine", "zero", "4111", "1", "192", "plus", "dot", "x", "+", " ", " ", " ", ", ", "-"]),
+                max_size=24))
+def test_spelled_numbers_equal_a_slow_reading(words):
+    text = " ".join(words)
+    tape = slow_tape(text)
+    normal = "".join(c for c, _, _ in tape)
+    base = plain(text)
+    taken, want = {k: [(a, b) for x, a, b in base if x == k] for k in pii.KINDS}, []
+    for kind, a, b in plain(normal):
+        span = tape[a][1], tape[b - 1][2]
+        if not any(span[0] < y and x < span[1] for x, y in taken[kind]):
+            want.append((kind, *span))
+            taken[kind].append(span)
+    got = pii.find(text)
+    assert got[0] == base
+    assert sorted(got[1]) == sorted(want)
