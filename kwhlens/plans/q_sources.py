@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kwhlens.operators import aggregate as A
 from kwhlens.operators import effects as E
 from kwhlens.operators import readings as P
+from kwhlens.operators.panel import prepare_matching_data
 from kwhlens.operators.profiles import calendar_feature_names
 from kwhlens.plans import oracle as O
 from kwhlens.plans import oracle_matching as OM
@@ -82,6 +83,15 @@ def matching_bundle(spark: SparkSession, d: str, part: str) -> DataFrame:
     return R.read_stage_output(spark, f"{path}/{part}")
 
 
+def risk_set_from_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The risk set from the monthly table stored in buckets by household (the catalog entry goes, the files stay)."""
+    name = f"month_{uuid.uuid4().hex}"
+    month = K.save_bucketed(month_result(spark, d), name, path=folder(spark))
+    out = prepare_matching_data(month, lookback_months=12)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return out
+
+
 def named_run(spark: SparkSession, d: str, name: str) -> DataFrame:
     return L.run_named(month_result(spark, d), name)["matches"]
 
@@ -113,6 +123,7 @@ register("sink_matching_balance", "L1,L4,S4", REGISTRY["balance_pooled"].sql)(
     lambda s, d: matching_bundle(s, d, "balance"))
 register("sink_matching_config", "L4,S12", "SELECT 5 AS k_neighbors FROM (SELECT count(*) FROM lineitem) r")(
     lambda s, d: matching_bundle(s, d, "config"))
+register("risk_set_bucketed", "S9,R5,R8", REGISTRY["risk_set_never"].sql)(risk_set_from_buckets)
 # the nine group-mean and seven pair-level result tables, each written under its name and read back
 _SQL_OF = {
     False: {"overall": "effect_group", "cohort": "effect_group_cohort", "pretrend": "pretrend", "att_all": "att_all",

@@ -19,6 +19,23 @@ def save_table(df: DataFrame, table_name: str, fmt: str = "parquet", mode: str =
     w.saveAsTable(table_name)
 
 
+def save_bucketed(df: DataFrame, table_name: str, by: str = "aID", sort_by: tuple[str, ...] = ("aID", "TIDPUNKT"),
+                  buckets: int | None = None, path: str | None = None, mode: str = "overwrite") -> DataFrame:
+    """A stage table dealt into ``buckets`` files by ``by`` and sorted in each; returns the table.
+
+    What groups, windows or joins by ``by`` (or an alias of it) then needs no exchange: the monthly table by
+    household serves panels, status windows and matched panels.  The rows are dealt by the bucket hash first, so
+    each bucket is one file.  ``buckets`` defaults to the shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    w = df.repartition(n, by).write.format("parquet").mode(mode).bucketBy(n, by).sortBy(*sort_by)
+    if path is not None:
+        w = w.option("path", path)
+    w.saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def save_parquet(df: DataFrame, path: str, mode: str = "overwrite",
                  partition_by: list[str] | None = None) -> None:
     """Parquet sink; month/hour/weekday tables are best split by ``price``."""

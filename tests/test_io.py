@@ -59,3 +59,28 @@ def test_save_run_bundle(spark, tmp_path):
     K.save_tables({"balance": res["balance"]}, str(tmp_path / "tables"))
     back = spark.read.option("header", True).csv(str(tmp_path / "tables" / "balance"))
     assert back.columns == ["covariate", "treated_mean", "control_mean", "SMD"]
+
+
+def test_bucketed_table_needs_no_exchange_by_household(spark, tmp_path):
+    import datetime as dt
+
+    from kwhlens.operators.panel import VALUE_COLS, prepare_matching_data
+    from kwhlens.sources.sinks import save_bucketed
+
+    rows = [(str(i), dt.datetime(2022 + m // 12, m % 12 + 1, 1), "all", 0, dt.datetime(2023, 3, 1) if i % 3 == 0 else None,
+             float(i), float(m), 1.0, 2.0) for i in range(12) for m in range(24)]
+    df = spark.createDataFrame(rows, "aID string, TIDPUNKT timestamp_ntz, price string, tariff_active int, tariff_start timestamp_ntz, "
+                               + ", ".join(f"{c} double" for c in VALUE_COLS))
+    stored = save_bucketed(df, "month_buckets", path=f"{tmp_path}/month", buckets=4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        risk = prepare_matching_data(stored, lookback_months=6)
+        plan = risk._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(aID" not in plan and "hashpartitioning(id" not in plan and "Bucketed: true" in plan
+        from_rows = prepare_matching_data(df, lookback_months=6)
+        assert "hashpartitioning(id" in from_rows._jdf.queryExecution().executedPlan().toString()
+        assert risk.exceptAll(from_rows).count() == 0 and risk.count() == from_rows.count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql("DROP TABLE IF EXISTS month_buckets")
+    assert len(list((tmp_path / "month").glob("part-*.parquet"))) == 4
