@@ -365,6 +365,6 @@ register("event_identification", "D5,D6", _identification_sql(
     "win", OD.event_regressors(-12, 12, -1), True, _events("wp", -12, 12)))(
     lambda s, d: D.identification(panel_m3(s, d), OUT, (-12, 12), -1))
 register("twfe_residuals", "D2", _fit_sql(
-    W_SQL, "'pooled'", _D, "wp", "SELECT e AS entity_id, t AS month_id, r AS residual FROM res JOIN dat USING (rid) WHERE p = 0"))(
+    W_SQL, "'pooled'", _D, "wp", "SELECT dat.e AS entity_id, dat.t AS month_id, res.r AS residual FROM res JOIN dat ON dat.rid = res.rid WHERE res.p = 0"))(
     lambda s, d: D.residualize_twfe(panel_m3(s, d).withColumn("_g", F.lit("pooled")), [OUT, "D"]).select(
         "entity_id", "month_id", F.col(f"{OUT}__r").alias("residual")))
