@@ -400,7 +400,11 @@ def brute_scores(texts, targets, least, mix=0.7):
 
 
 @pytest.mark.parametrize("common", [1e-6, 1e-3, 1.0])
-def test_scores_equal_brute_force(spark, docs, common):
+@pytest.mark.parametrize("slot, chunk", [(4_000_000, 1_000_000), (5_000, 10_000)])
+def test_scores_equal_brute_force(spark, docs, common, slot, chunk, monkeypatch):
+    """With words and bigrams broadcast or dealt, in one slot and chunk or in many."""
+    monkeypatch.setattr(lm_score, "SLOT_WORDS", slot)
+    monkeypatch.setattr(lm_score, "CHUNK", chunk)
     df = docs.where("doc_id < 60")
     texts = {r.doc_id: r.text for r in df.collect()}
     targets = np.arange(0, 60, 4)
@@ -443,6 +447,21 @@ def test_rare_words_keep_their_own_loss(spark, common):
     assert got[0][1] < got[1][1]
 
 
+def test_packed_blocks_and_keys():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(-(1 << 63), (1 << 63) - 1, 1000), rng.random(1000)
+    a, b = lm_score._unpack(lm_score._pack(x, y), 2)
+    assert (a == x).all() and (b.view(np.float64) == y).all()
+    for size in (2, 3, 70_000, 1_000_002):
+        keys = lm_score._Keys(size, 4)
+        v, w = rng.integers(0, size, (2, 1000))
+        key = np.sort(keys.of(v, w))
+        slots = list(lm_score._by_slot(key, keys.bits, 4))
+        assert sum(hi - lo for _, lo, hi in slots) == 1000 and all(0 <= s < 16 for s, _, _ in slots)
+        got = keys.ranks(key.view(np.int64))
+        assert sorted(zip(*(z.tolist() for z in got))) == sorted(zip(v.tolist(), w.tolist()))
+
+
 def test_scores_odd_rows(odd, empty):
     got = {r.doc_id: r for r in lm_score.cross_entropy_difference(odd, np.array([1, 9])).collect()}
     assert got[3].score is None and got[4].n_words == 0 and got[2].n_words == 20
