@@ -15,8 +15,8 @@ All documents are counted, and no count is pruned.  Common words and bigrams (of
 at least ``common_share``, so at most 1 / common_share each) are broadcast, which is what keeps a
 hot one from being a hot key.  Every other bigram goes, with the document it is in, to a slot: one
 of two common words by its key, one with a rare word by the hash of that word.  A slot
-sees all of its bigrams, and all of its rare words, so it counts them and returns the losses by document; no
-bigram table is written or joined.  The few bigrams of two rare words are joined to the
+sees all of its bigrams, and all of its rare words, so it counts them and sends the losses, summed by document, to the slots of the
+documents (at most one sum for each bigram of a document); no bigram table is written or joined.  The few bigrams of two rare words are joined to the
 word counts.  A chunk's bigrams for a slot travel as one block: sorted keys as differences, in
 byte planes, compressed.  Slots grow in number with the corpus, so that each holds about ``SLOT_WORDS`` words.
 Common words are named by their rank, others by a 63-bit hash.
@@ -312,7 +312,10 @@ def _log_p(c2: np.ndarray, c1: np.ndarray, w: np.ndarray, total: int, size: int,
 
 
 def _slot_map(shared, keys: _Keys, total: tuple[int, int], size: int, mix: float):
-    """(doc_id, n_words, loss) from all blocks of a slot; ``loss`` is log p_background - log p_target, summed by document."""
+    """Sums by document from all blocks of a slot, as blocks by the document's slot.
+
+    A loss is log p_background - log p_target.
+    """
 
     def loss(c2, t2, c1, t1, c, t) -> np.ndarray:
         return _log_p(c2, c1, c, total[0], size, mix) - _log_p(t2, t1, t, total[1], size, mix)
@@ -359,20 +362,37 @@ def _slot_map(shared, keys: _Keys, total: tuple[int, int], size: int, mix: float
             else:
                 ids, none, part = of_ranks(ranked, *columns) if kind == _RANKS else of_rare(ranked, kind, *columns)
                 parts.append((ids, none, np.zeros(len(ids), np.int64), part))
-        if not parts:
-            return
-        ids, none, n, part = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((ids, none))
-        ids, none = ids[order], none[order]
-        _, first = _runs(ids, none)
-        if len(first):
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids[first], mask=none[first].astype(bool)), pa.array(np.add.reduceat(n[order], first)),
-                pa.array(np.add.reduceat(part[order], first))], names=["doc_id", "n_words", "total"])
+        if parts:
+            ids, none, *sums = _by_document(*(np.concatenate(x) for x in zip(*parts)))
+            slot = (ids.view(np.uint64) * np.uint64(_SPREAD) >> np.uint64(32)).astype(np.int64) & ((1 << keys.log_slots) - 1)
+            order = np.argsort(slot, kind="stable")
+            edges = np.searchsorted(slot[order], np.arange((1 << keys.log_slots) + 1))
+            yield pa.RecordBatch.from_pylist([
+                {"slot": s, "kind": _OWN, "block": _pack(*(x[order[edges[s] : edges[s + 1]]] for x in (ids, none, *sums)))}
+                for s in np.flatnonzero(np.diff(edges)).tolist()], _BLOCKS)
 
     return tidy(run)
 
 
+def _by_document(ids: np.ndarray, none: np.ndarray, n: np.ndarray, part: np.ndarray) -> tuple:
+    """Ids, whether they are missing, and the sums of words and losses, by id."""
+    order = np.lexsort((ids, none))
+    ids, none = ids[order], none[order]
+    _, first = _runs(ids, none)
+    sums = [np.add.reduceat(x[order], first) if len(first) else x for x in (n, part)]
+    return ids[first], none[first], *sums
+
+
+def _document_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_words, total) of the documents of a slot, from what all slots of bigrams have for them."""
+    held = [_unpack(x, 4) for batch in batches for x in batch.column(2).to_pylist()]
+    if held:
+        ids, none, n, part = (np.concatenate(x) for x in zip(*held))
+        ids, none, n, part = _by_document(ids, none, n, part.view(np.float64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=none.astype(bool)), pa.array(n), pa.array(part)], names=["doc_id", "n_words", "total"])
+
+
 def _rare_rows(words: np.ndarray, n: np.ndarray, rows: tuple, names: tuple) -> tuple:
     v, w = _bigrams(words, n, names)
     at = np.flatnonzero((v < 0) & (w < 0))
@@ -462,8 +482,10 @@ def cross_entropy_difference(docs: DataFrame, targets: np.ndarray | DataFrame, i
     v, w = keys.ranks(common)
     losses = (_log_p(c2, ranked[2][v], ranked[0][w], n, size, mix) - _log_p(t2, ranked[3][v], ranked[1][w], t, size, mix))
     by_slot = dealt((names, common.astype(np.uint64), losses), _entry_rows(keys), _entry_blocks(keys)).mapInArrow(
-        _slot_map(sc.broadcast(ranked), keys, (n, t), size, mix), "doc_id long, n_words long, total double")
+        _slot_map(sc.broadcast(ranked), keys, (n, t), size, mix), blocks)
+    by_document = by_slot.repartitionById(1 << log_slots, F.col("slot")).mapInArrow(
+        tidy(_document_map), "doc_id long, n_words long, total double")
     both = chunks(names, _rare_rows, _rare_batch, "doc_id long, v long, w long, t long")
-    return by_slot.union(_rare_losses(both, rest, (n, t), size, mix)).groupBy("doc_id").agg(
+    return by_document.union(_rare_losses(both, rest, (n, t), size, mix)).groupBy("doc_id").agg(
         F.sum("n_words").alias("n_words"), F.sum("total").alias("total")
     ).select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).alias("score"))
