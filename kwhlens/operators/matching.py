@@ -7,12 +7,9 @@ never runs on ``Ti`` alone:
 * **salting** — a cohort's controls are dealt over as many salts as its
   measured size asks for (``rows_per_salt`` controls each); treated rows are
   replicated to their cohort's salts only.
-* **blocking** (summary matching) — the admissible band
-  ``|c − t| <= thr·|t|`` is turned into an equi-join on
-  ``(sign, floor(ln|f| / w))`` with ``w = −ln(1−thr)``: the band spans at most
-  three adjacent log-buckets, so treated rows probe buckets −1/0/+1 and the
-  exact predicate is re-checked.  Work then scales with pairs inside the band
-  instead of the full cohort product.
+* **blocking** (summary matching) — pairs in the admissible band
+  ``|c − t| <= thr·|t|`` are a fixed share of all, so they aren't listed: each
+  salt searches its controls by boxes (``band_knn``), exactly.
 * **top-k** uses ``row_number() <= k``; Spark inserts a partial
   ``WindowGroupLimit`` before the shuffle, so at most k candidates per treated
   unit and map task cross the network.
@@ -25,12 +22,12 @@ Equal distances are ordered by control id.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kwhlens.operators.band_knn import nearest_in_band
 from kwhlens.operators.pivot_knn import nearest_controls
 
 #: Without blocking, treated × control pairs of all cohorts up to which they are simply compared; beyond it by pivots.
@@ -58,49 +55,24 @@ def _prefix(df: DataFrame, p: str, keys: Sequence[str]) -> DataFrame:
     return df.selectExpr(*[f"`{x}`" if x in keys else f"`{x}` AS `{p}{x}`" for x in df.columns])
 
 
-def _bucket(f: Column, w: float) -> tuple[Column, Column]:
-    sign = F.signum(f).cast("int")
-    bkt = F.when(f == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs(f)) / F.lit(w))).cast("long")
-    return sign, bkt
-
-
 def candidate_pairs(
     profiles_z: DataFrame,
     feature_cols: Sequence[str],
     complete_case: bool,
-    block_col: str | None = None,
-    blocking_threshold: float = 0.3,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Treated × control pairs of one cohort: ``Ti, t_id, c_id, t_<f>_z, c_<f>_z``."""
     zc = [f"{c}_z" for c in feature_cols]
-    cols = zc + ([block_col] if block_col else [])
-    t, c = _split(profiles_z, list(dict.fromkeys(cols)))
+    t, c = _split(profiles_z, zc)
     if complete_case:
         ok = F.lit(True)
         for z in zc:
             ok = ok & F.col(z).isNotNull()
         t, c = t.where(ok), c.where(ok)
     keys = ["Ti", "_salt"]
-    theta = None
-    if block_col:
-        t = t.where(F.col(block_col).isNotNull())
-        c = c.where(F.col(block_col).isNotNull())
-        thr = float(blocking_threshold)
-        if 0.0 < thr < 1.0:
-            w = -math.log(1.0 - thr) * (1.0 + 1e-9)
-            cs, cb = _bucket(F.col(block_col), w)
-            ts, tb = _bucket(F.col(block_col), w)
-            c = c.withColumn("_sgn", cs).withColumn("_bkt", cb)
-            t = t.withColumn("_sgn", ts).withColumn("_bkt", F.explode(F.array(tb - 1, tb, tb + 1)))
-            keys += ["_sgn", "_bkt"]
-        theta = F.abs(F.col(f"c_{block_col}") - F.col(f"t_{block_col}")) <= F.lit(thr) * F.abs(F.col(f"t_{block_col}"))
     t, c = _salt(t, c, rows_per_salt)
     tp, cp = _prefix(t, "t_", keys), _prefix(c, "c_", keys)
-    cand = tp.join(cp, keys).where(F.col("t_id") != F.col("c_id"))
-    if theta is not None:
-        cand = cand.where(theta)
-    return cand
+    return tp.join(cp, keys).where(F.col("t_id") != F.col("c_id"))
 
 
 def _by_pivots(profiles_z: DataFrame, prune: bool | None) -> bool:
@@ -152,9 +124,15 @@ def match_topk(
     Without blocking, ``prune`` chooses the pivot join (None: by the measured number of pairs).
     """
     block = peak_block_col if (use_peak_blocking and peak_block_col in feature_cols) else None
-    if block is None and _by_pivots(profiles_z, prune):
+    zc = [f"{c}_z" for c in feature_cols]
+    if block is not None:
+        cols = list(dict.fromkeys([*zc, block]))
+        complete = " AND ".join(f"`{x}` IS NOT NULL" for x in ["id", *cols])
+        t, c = (side.where(complete) for side in _split(profiles_z, cols))
+        return _top_k(nearest_in_band(t, c, zc, block, k_neighbors, float(blocking_threshold), rows_per_salt), k_neighbors)
+    if _by_pivots(profiles_z, prune):
         return _pivot_matches(profiles_z, feature_cols, True, k_neighbors, rows_per_salt).drop("valid_dim")
-    cand = candidate_pairs(profiles_z, feature_cols, True, block, blocking_threshold, rows_per_salt)
+    cand = candidate_pairs(profiles_z, feature_cols, True, rows_per_salt)
     d2 = sum((F.pow(F.col(f"t_{c}_z") - F.col(f"c_{c}_z"), 2) for c in feature_cols), F.lit(0.0))
     return _top_k(cand.withColumn("distance", F.sqrt(d2)), k_neighbors)
 
@@ -190,7 +168,7 @@ def match_topk_allow_missing(
     if _by_pivots(profiles_z, prune):
         return _pivot_matches(profiles_z, feature_cols, False, k_neighbors, rows_per_salt, min_valid=min_valid_dim,
                               per_feature=True)
-    cand = _missing_aware(candidate_pairs(profiles_z, feature_cols, False, None, rows_per_salt=rows_per_salt), feature_cols)
+    cand = _missing_aware(candidate_pairs(profiles_z, feature_cols, False, rows_per_salt), feature_cols)
     cand = cand.where(F.col("valid_dim") >= min_valid_dim).withColumn(
         "distance", F.sqrt(F.col("_sq") / F.col("valid_dim"))
     )
