@@ -21,14 +21,14 @@ OUT = "top3_mean_consumption"
 
 
 # ------------------------------------------------------------------ matches used downstream
-def matches_s4(s, d):
+def matches_s4(s, d, mr=None):
     """summary_4 on price 'all' (the matches the group-mean inference reads)."""
-    return L.run_summary_matching(risk(s, d, 12), k_neighbors=5, summary_vars=S4)["matches"]
+    return L.run_summary_matching(risk(s, d, 12, mr=mr), k_neighbors=5, summary_vars=S4)["matches"]
 
 
-def matches_cal_high(s, d):
+def matches_cal_high(s, d, mr=None):
     """calendar2 (2 years, k=5) on price 'high' (the matches the DiD analyses read)."""
-    return L.run_calendar_matching(risk(s, d, 24, ("high",)), 2, CAL_MONTHS, k_neighbors=5)["matches"]
+    return L.run_calendar_matching(risk(s, d, 24, ("high",), mr=mr), 2, CAL_MONTHS, k_neighbors=5)["matches"]
 
 
 SQL_M_S4 = sql_summary_z(S4) + "," + OM.knn_blocked(S4, 5, 0.3, "peak_mean")
@@ -163,19 +163,19 @@ FROM a1"""
 
 # ------------------------------------------------------------------ Spark chains
 def panel_m1(s, d, price=None):
-    p = M.unweighted_panel(matches_s4(s, d), month_result(s, d))
+    mr = month_result(s, d)
+    p = M.unweighted_panel(matches_s4(s, d, mr), mr)
     return p.where(F.col("price") == price) if price else p
 
 
 def panel_m2(s, d, price="all"):
     mr = month_result(s, d)
-    if price:
-        mr = mr.where(F.col("price") == price)
-    return M.pair_panel(matches_s4(s, d), mr)
+    return M.pair_panel(matches_s4(s, d, mr), mr.where(F.col("price") == price) if price else mr)
 
 
 def panel_m3(s, d, price="high"):
-    return M.weighted_panel(matches_cal_high(s, d), prepare_price_panel(month_result(s, d), price, OUT), OUT)
+    mr = month_result(s, d)
+    return M.weighted_panel(matches_cal_high(s, d, mr), prepare_price_panel(mr, price, OUT), OUT)
 
 
 def eff_group(s, d, by_cohort=False):
@@ -331,11 +331,14 @@ register("event_study_by_cohort", "D7", _fit_sql(
     f"SELECT {OD.estimates('g AS cohort_id, n_treated, ')}, CAST(term AS INTEGER) AS event_time FROM est JOIN kept USING (g)",
     True, _COUNTS + _events("big", -12, 6)))(
     lambda s, d: D.fit_event_study(panel_m3(s, d), OUT, (-12, 6), -1, group_cols=["cohort_id"], min_treated=5))
+def _did_by_price(s, d):
+    mr = month_result(s, d)
+    return D.fit_basic_did(D.price_panels(matches_cal_high(s, d, mr), mr), OUT, group_cols=["price"])
+
+
 register("did_by_price", "D10", _fit_sql(
     sql_m3(SQL_M_CAL, "high").replace("WHERE price = 'high') mr", "WHERE price IN ('high', 'low', 'all')) mr"), "price", _D, "wp",
-    f"SELECT {OD.estimates('g AS price, ')}, n_obs, n_entities FROM est"))(
-    lambda s, d: D.fit_basic_did(D.price_panels(matches_cal_high(s, d), month_result(s, d)), OUT,
-                                 group_cols=["price"]))
+    f"SELECT {OD.estimates('g AS price, ')}, n_obs, n_entities FROM est"))(_did_by_price)
 register("event_study_chart", "D8,D9", "SELECT * REPLACE (" + ", ".join(
     f"round({c}, 4) AS {c}" for c in ("coef", "std_error", "p_value", "ci_lower", "ci_upper"))
     + "), coef - 1.96::DOUBLE * std_error AS err_low, coef + 1.96::DOUBLE * std_error AS err_high FROM ("
