@@ -5,7 +5,8 @@ measured numbers; every part meets every salt in one task (``cogroup``).  There
 their widest feature until small, which gives leaves with a box each.  A leaf of treated units is compared with the
 leaves of controls in order of the distance of their boxes, and stops where that distance exceeds the
 k-th distance that each of its units has found.  So a unit meets a few leaves per salt, and k rows per unit
-and salt are left for the final order, instead of all pairs in the band.
+and salt are left for the final order, instead of all pairs in the band.  Of controls with the same values only as
+many are searched as can be among the k nearest, so ties don't grow with the number of copies.
 
 Distances are summed feature by feature as the SQL expression does, so both give the same doubles.
 """
@@ -50,6 +51,25 @@ def _boxes(x: np.ndarray, leaves: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return np.array([x[rows].min(0) for rows in leaves]), np.array([x[rows].max(0) for rows in leaves])
 
 
+def _needed(x: np.ndarray, b: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Ascending row numbers of the controls that can be among the ``k`` nearest of any unit.
+
+    Rows of equal values have equal distances, so they are taken in their order, without those of the unit's own key.
+    Of such rows ``k`` of a key and ``2 * k`` in all serve every unit, however many copies there are.
+    """
+    values = np.ascontiguousarray(np.column_stack([x, b]), dtype=float)
+    _, point = np.unique(values.view(np.dtype((np.void, values.itemsize * values.shape[1])))[:, 0], return_inverse=True)
+
+    def first(groups: Sequence[np.ndarray], most: int) -> np.ndarray:
+        order = np.lexsort(groups)  # stable: rows of a group stay in their order
+        starts = np.flatnonzero(np.any([np.diff(g[order], prepend=g[order[:1]] - 1) != 0 for g in groups], axis=0))
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order)))
+        return np.sort(order[rank < most])
+
+    rows = first([key, point], k)
+    return rows[first([point[rows]], 2 * k)]
+
+
 def nearest_rows(tx: np.ndarray, tb: np.ndarray, t_key: np.ndarray, cx: np.ndarray, cb: np.ndarray, c_key: np.ndarray,
                  k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(treated row, control row, distance) of the ``k`` nearest controls of each treated row, and the pairs compared.
@@ -59,10 +79,12 @@ def nearest_rows(tx: np.ndarray, tb: np.ndarray, t_key: np.ndarray, cx: np.ndarr
     distances that are not a number come last.
     """
     found, compared = [], 0
-    leaves = _leaves(cx, CONTROL_LEAF)
-    if not leaves:
+    if not len(cx):
         none = np.empty(0, np.int64)
         return none, none, np.empty(0), 0
+    needed = _needed(cx, cb, c_key, k)
+    cx, cb, c_key = cx[needed], cb[needed], c_key[needed]
+    leaves = _leaves(cx, CONTROL_LEAF)
     low, high = _boxes(cx, leaves)
     b_low, b_high = (b[:, 0] for b in _boxes(cb[:, None], leaves))
     with np.errstate(invalid="ignore", over="ignore"):
@@ -105,7 +127,7 @@ def nearest_rows(tx: np.ndarray, tb: np.ndarray, t_key: np.ndarray, cx: np.ndarr
                 u, c, d = u[order], c[order], d[order]
                 first = np.searchsorted(u, u)
                 kept = np.arange(len(u)) - first < k
-                found.append((own[u[kept]], c[kept], d[kept]))
+                found.append((own[u[kept]], needed[c[kept]], d[kept]))
     if not found:
         none = np.empty(0, np.int64)
         return none, none, np.empty(0), compared

@@ -60,6 +60,31 @@ def test_few_pairs_are_compared():
     assert share[1] < 0.1 and share[1] < share[0] / 2
 
 
+@pytest.mark.parametrize("copies", [3, 40])
+def test_copies_do_not_multiply_the_pairs(copies):
+    """Equal controls of many units, repeated keys and treated units that are controls too: all pairs' rows, few compared."""
+    r = np.random.default_rng(3)
+    points = r.normal(size=(30, 3))
+    c = np.repeat(points, copies, axis=0)[r.permutation(30 * copies)]
+    c_key = np.sort(r.integers(0, 20 * copies, len(c)))
+    t_rows = np.arange(0, len(c), copies)
+    t, t_key, k, thr = c[t_rows], c_key[t_rows], 4, 0.9
+    u, v, d, _ = nearest_rows(t, t[:, 0], t_key, c, c[:, 0], c_key, k, thr)
+    wanted = []
+    for i in range(len(t)):
+        near = sorted((distance(t[i], c[j]), int(c_key[j])) for j in range(len(c))
+                      if c_key[j] != t_key[i] and abs(c[j, 0] - t[i, 0]) <= thr * abs(t[i, 0]))
+        wanted += [(i, x, y) for x, y in near[:k]]
+    assert sorted(zip(u.tolist(), d.tolist(), c_key[v].tolist())) == sorted(wanted)
+
+
+def test_pairs_of_copies_are_bounded():
+    """All controls alike: the pairs compared don't grow with their number."""
+    _, v, _, compared = nearest_rows(np.zeros((100, 2)), np.ones(100), np.full(100, -1), np.zeros((5000, 2)), np.ones(5000),
+                                     np.arange(5000), 5, 0.3)
+    assert v.reshape(100, 5).tolist() == [[0, 1, 2, 3, 4]] * 100 and compared <= 100 * 10
+
+
 def test_distances_that_are_no_numbers_come_last():
     c = np.array([[np.nan], [2.0], [np.inf], [1.0]])
     u, v, _, _ = nearest_rows(np.zeros((1, 1)), np.ones(1), np.array([-1]), c, np.ones(4), np.arange(4), 4, 0.3)
