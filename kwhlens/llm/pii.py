@@ -178,7 +178,7 @@ _ITEM = rf"(?:{_WORD}|[0-9]{{1,19}})"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,3}})?{_ITEM}(?:{_JOIN}{_ITEM}){{{_LEAST_SPELLED - 1},}}(?!\w)")
 _SPELLED_PART = re.compile(rf"plus|dot|punkt|punto|{_WORD}|[0-9]+")
 #: A text without one of these has no spelled number.
-_SPELLED_SIGN = re.compile(rf"(?<!\w)(?:{_WORD}|dot|punkt|punto)(?!\w)")
+_SPELLED_SIGN = re.compile(rf"(?<!\w)(?:{_WORD}|plus|dot|punkt|punto)(?!\w)")
 
 
 def _said(m: re.Match) -> list:

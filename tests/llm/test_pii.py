@@ -97,6 +97,12 @@ def test_odd_rows(odd, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_spoken_plus_before_groups_of_figures():
+    """The word plus alone is a sign of a spelled number."""
+    assert pii.find("call plus 4111 4111 4111 1 now") == ([], [("phone", 5, 26)])
+    assert pii.find("4111 plus 4111 items and 10 more") == ([], [])
+
+
 def slow_tape(text):
     """The spelled numbers of an ASCII text, read word by word; (characters, source starts, source ends)."""
     items = [(m[0], m.start(), m.end()) for m in re.finditer(r"\w+|[^\w]", text)]
