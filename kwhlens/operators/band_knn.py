@@ -150,12 +150,8 @@ def _nearest_map(features: Sequence[str], block: str, k: int, threshold: float):
     return fn
 
 
-def nearest_in_band(t: DataFrame, c: DataFrame, features: Sequence[str], block: str, k: int, threshold: float,
-                    rows_per_salt: int) -> DataFrame:
-    """``Ti, t_id, c_id, distance``: of each salt and treated row the ``k`` nearest controls of its cohort in the band.
-
-    ``t`` and ``c`` have Ti, id, the features and ``block``, none NULL.  A caller keeps the k least per unit.
-    """
+def deal(t: DataFrame, c: DataFrame, columns: Sequence[str], rows_per_salt: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with Ti, id and ``columns`` (prefixed), dealt so that every part meets every salt of its cohort once."""
     rows = max(1, int(rows_per_salt))
 
     def sized(df: DataFrame, name: str, most: int) -> DataFrame:
@@ -167,11 +163,20 @@ def nearest_in_band(t: DataFrame, c: DataFrame, features: Sequence[str], block:
     def side(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
         return df.join(dealt, "Ti").select(
             F.col("Ti").alias(f"{name}_Ti"), F.col("id").alias(f"{name}_id"),
-            *[F.col(x).alias(f"{name}_{x}") for x in dict.fromkeys([*features, block])],
+            *[F.col(x).alias(f"{name}_{x}") for x in dict.fromkeys(columns)],
             F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
 
-    left, right = side(t, "t", "_parts", "_salts"), side(c, "c", "_salts", "_parts")
+    return side(t, "t", "_parts", "_salts"), side(c, "c", "_salts", "_parts")
+
+
+def nearest_in_band(t: DataFrame, c: DataFrame, features: Sequence[str], block: str, k: int, threshold: float,
+                    rows_per_salt: int) -> DataFrame:
+    """``Ti, t_id, c_id, distance``: of each salt and treated row the ``k`` nearest controls of its cohort in the band.
+
+    ``t`` and ``c`` have Ti, id, the features and ``block``, none NULL.  A caller keeps the k least per unit.
+    """
+    left, right = deal(t, c, [*features, block], rows_per_salt)
     kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
     return left.groupBy("t_Ti", "_parts", "_salts").cogroup(right.groupBy("c_Ti", "_parts", "_salts")).applyInArrow(
         _nearest_map(features, block, k, threshold),

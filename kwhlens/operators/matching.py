@@ -14,8 +14,8 @@ never runs on ``Ti`` alone:
   ``WindowGroupLimit`` before the shuffle, so at most k candidates per treated
   unit and map task cross the network.
 
-Without blocking, cohorts of many pairs are matched by pivots (``pivot_knn``), exactly but
-without comparing all treated × control pairs.
+Without blocking, cohorts of many pairs are matched by pivots (``pivot_knn``), exactly and
+without listing the treated × control pairs.
 
 Equal distances are ordered by control id.
 """
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from kwhlens.operators.band_knn import nearest_in_band
 from kwhlens.operators.pivot_knn import nearest_controls
+from kwhlens.session import Scratch
 
 #: Without blocking, treated × control pairs of all cohorts up to which they are simply compared; beyond it by pivots.
 PLAIN_PAIRS = 20_000_000
@@ -84,6 +85,14 @@ def _by_pivots(profiles_z: DataFrame, prune: bool | None) -> bool:
     return (sizes.agg(F.sum(F.col("treated") * F.col("control"))).first()[0] or 0) > PLAIN_PAIRS
 
 
+def _written(profiles_z: DataFrame, feature_cols: Sequence[str], prune: bool | None) -> DataFrame:
+    """The columns that matching reads as a table, unless only one plan reads them: counting, dealing and searching do."""
+    if prune is False:
+        return profiles_z
+    return Scratch(profiles_z.sparkSession, "units").table(
+        profiles_z.select("Ti", "id", "group", *[f"{c}_z" for c in feature_cols]), "z")
+
+
 def _pivot_matches(profiles_z: DataFrame, feature_cols: Sequence[str], complete_case: bool, k: int, rows_per_salt: int,
                    **options) -> DataFrame:
     zc = [f"{c}_z" for c in feature_cols]
@@ -130,6 +139,7 @@ def match_topk(
         complete = " AND ".join(f"`{x}` IS NOT NULL" for x in ["id", *cols])
         t, c = (side.where(complete) for side in _split(profiles_z, cols))
         return _top_k(nearest_in_band(t, c, zc, block, k_neighbors, float(blocking_threshold), rows_per_salt), k_neighbors)
+    profiles_z = _written(profiles_z, feature_cols, prune)
     if _by_pivots(profiles_z, prune):
         return _pivot_matches(profiles_z, feature_cols, True, k_neighbors, rows_per_salt).drop("valid_dim")
     cand = candidate_pairs(profiles_z, feature_cols, True, rows_per_salt)
@@ -165,6 +175,7 @@ def match_topk_allow_missing(
     """
     if min_valid_dim is None:
         min_valid_dim = default_min_valid_dim(len(feature_cols), min_valid_share)
+    profiles_z = _written(profiles_z, feature_cols, prune)
     if _by_pivots(profiles_z, prune):
         return _pivot_matches(profiles_z, feature_cols, False, k_neighbors, rows_per_salt, min_valid=min_valid_dim,
                               per_feature=True)
